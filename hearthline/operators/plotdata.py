@@ -50,7 +50,8 @@ def common_range(df: DataFrame, x: str, y: str) -> DataFrame:
 def correlation_cells(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Correlations with a two-decimal label per cell."""
     r = correlation_long(df, cols)
-    return r.select("col_a", "col_b", "r", F.format_string("%.2f", F.col("r")).alias("label"))
+    label = F.when(F.col("r").isNotNull(), F.format_string("%.2f", F.col("r")))
+    return r.select("col_a", "col_b", "r", label.alias("label"))
 
 
 def vector_norms(df: DataFrame, order: str, vector: str = "embedding") -> DataFrame:

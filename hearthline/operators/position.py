@@ -9,10 +9,11 @@ row per chunk (positions, runs) or by repeating the rows next to a chunk border
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from hearthline.functions.numbers import order_integer, ref, shift_right
 
@@ -83,7 +84,7 @@ def with_position(
 def with_neighbours(
     df: DataFrame,
     position: str,
-    values: dict[str, callable],
+    values: dict[str, Callable[[WindowSpec], Column]],
     keys: Sequence[str] = (),
     before: int = 0,
     after: int = 0,
@@ -93,8 +94,9 @@ def with_neighbours(
 
     ``position`` must number the rows of a series without gaps. ``values`` maps
     a new column to a function of the window, for example
-    ``{"d": lambda w: F.lag("x").over(w)}``. Only the rows within reach of a
-    chunk border are sent twice, so long series stay split.
+    ``{"d": lambda w: F.lag("x").over(w)}``; a later one may use an earlier one,
+    and the reach is that of all of them together. Only the rows within reach of
+    a chunk border are sent twice, so long series stay split.
     """
     width = 2**bits
     if max(before, after) >= width:
@@ -109,11 +111,9 @@ def with_neighbours(
         targets.append(F.when(offset < after, home - 1))
     spread = df.withColumn(CHUNK, F.explode(F.array_compact(F.array(*targets))))
     w = Window.partitionBy(*[ref(k) for k in keys], CHUNK).orderBy(p)
-    return (
-        spread.withColumns({n: make(w) for n, make in values.items()})
-        .where(F.col(CHUNK) == home)
-        .drop(CHUNK)
-    )
+    for name, make in values.items():
+        spread = spread.withColumn(name, make(w))
+    return spread.where(F.col(CHUNK) == home).drop(CHUNK)
 
 
 def value_runs(

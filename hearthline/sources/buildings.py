@@ -22,7 +22,8 @@ def parse_building_objects(texts: DataFrame) -> DataFrame:
     """The object table of ``(building_id, text)`` documents.
 
     Nested maps keep the order of the file and let the last of several equal
-    keys win; only the leaf properties are VARIANT. A text that is no such
+    keys win; only the leaf properties are VARIANT. A type without objects keeps
+    one row with an empty object name. A text that is no such
     document yields no rows here and is counted by ``malformed_buildings``.
     """
     parsed = texts.select("building_id", F.from_json("text", SHAPE).alias("_m"))
@@ -31,7 +32,7 @@ def parse_building_objects(texts: DataFrame) -> DataFrame:
         "building_id",
         "type_pos",
         "object_type",
-        F.posexplode("_o").alias("obj_pos", "object_name", "props"),
+        F.posexplode_outer("_o").alias("obj_pos", "object_name", "props"),
     )
 
 
