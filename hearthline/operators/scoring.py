@@ -108,8 +108,8 @@ def zip_lists(df: DataFrame, prompts: str, expectations: str) -> DataFrame:
     ).select(
         *[ref(c) for c in df.columns if c not in (prompts, expectations)],
         "prompt_id",
-        F.col("_p.0").alias("prompt"),
-        F.col("_p.1").alias("expected"),
+        F.col("_p.prompt").alias("prompt"),
+        F.col("_p.expected").alias("expected"),
     )
 
 
