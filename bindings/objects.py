@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from bindings.base import query, table
 from hearthline.operators import objects as ob
 from hearthline.plans import building
+from hearthline.session import scratch_path
+from hearthline.sources.buildings import write_building_objects
 
 
 def _objects(df: DataFrame, kind: str | Column, pos: Column, key: Column, /, **props) -> DataFrame:
@@ -28,8 +30,11 @@ def _tag(prefix: str, c: Column) -> Column:
     return F.concat(F.lit(prefix), c.cast("string"))
 
 
-def city(spark, sf) -> DataFrame:
-    """The object table. Nation 7 is no defined zone; many references dangle."""
+def city(spark, sf, *kinds: str) -> DataFrame:
+    """The object table, of all or the given types.
+
+    Nation 7 is no defined zone, and many references dangle.
+    """
     # Nations and regions are fixed lists of a few dozen rows.
     places = F.broadcast(
         table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -58,85 +63,92 @@ def city(spark, sf) -> DataFrame:
     )
     terminal = F.when(s % 2 == 0, "AirTerminal:A").otherwise("AirTerminal:B")
     zone_field = F.when(s % 3 == 0, F.concat(nation, F.lit(" List"))).otherwise(nation)
-    parts = [
-        _objects(
+    parts = {
+        "Zone": lambda: _objects(
             places.where(n != 7), "Zone", n, nation,
             ceiling_height=n / 2.0, volume=n * 10.0, multiplier=F.lit(1),
             name=F.when(n % 2 == 0, _tag("Hall ", n)), direction_of_relative_north=n * 3,
         ),
-        _objects(
+        "BuildingSurface:Detailed": lambda: _objects(
             customers, "BuildingSurface:Detailed", c, F.col("c_name"),
             name=_tag("N", c % 300), zone_name=nation, surface_type=F.col("c_mktsegment"), outside_boundary_condition=boundary,
             outside_boundary_condition_object=F.when(c % 3 == 1, F.when(c % 2 == 0, _tag("N", (c * 7 + 1) % 300)).otherwise(
                 F.concat(F.lit("Customer#"), F.lpad((c + 4).cast("string"), 9, "0")))),
             sun_exposure=F.when(c % 2 == 0, "SunExposed"), wind_exposure=F.lit("WindExposed"), construction_name=_tag("C", c % 120),
         ),
-        _objects(
+        "FenestrationSurface:Detailed": lambda: _objects(
             orders, "FenestrationSurface:Detailed", o, _tag("W", o),
             building_surface_name=F.when(o % 11 != 0, F.col("c_name")).otherwise("none"),
             construction_name=F.when(o % 5 != 0, _tag("C", o % 90)), view_factor_to_ground=o % 10,
         ),
-        _objects(suppliers, "Construction", s, _tag("C", s), outside_layer=F.col("s_name"), layers=F.array(s, s + 1)),
-        _objects(
+        "Construction": lambda: _objects(suppliers, "Construction", s, _tag("C", s), outside_layer=F.col("s_name"), layers=F.array(s, s + 1)),
+        "ZoneInfiltration:DesignFlowRate": lambda: _objects(
             suppliers, "ZoneInfiltration:DesignFlowRate", s, _tag("INF", s),
             zone_or_zonelist_or_space_or_spacelist_name=zone_field, design_flow_rate=F.col("s_acctbal"), schedule_name=_tag("SCH", s),
         ),
-        _objects(
+        "ZoneHVAC:EquipmentConnections": lambda: _objects(
             suppliers, "ZoneHVAC:EquipmentConnections", s, _tag("EC", s),
             zone_name=nation, zone_conditioning_equipment_list_name=_tag("EL", s),
         ),
-        _objects(suppliers.where(s % 13 != 0), "ZoneHVAC:EquipmentList", s, _tag("EL", s), equipment=units),
-        _objects(
+        "ZoneHVAC:EquipmentList": lambda: _objects(suppliers.where(s % 13 != 0), "ZoneHVAC:EquipmentList", s, _tag("EL", s), equipment=units),
+        "ZoneHVAC:AirDistributionUnit": lambda: _objects(
             suppliers, "ZoneHVAC:AirDistributionUnit", s, _tag("ADU", s),
             air_terminal_object_type=terminal, air_terminal_name=_tag("T", s),
         ),
-        _objects(
+        "AirTerminal": lambda: _objects(
             suppliers.where(s % 5 != 0), terminal, s, _tag("T", s),
             maximum_air_flow_rate=F.when(s % 4 == 0, "Autosize").otherwise((s * 2).cast("string")),
             reheat_coil_object_type=F.lit("Coil:Heating"), reheat_coil_name=_tag("K", s),
         ),
-        _objects(suppliers.where(s % 3 == 0), "Coil:Heating", s, _tag("K", s), efficiency=F.lit(1), nominal_capacity=s * 100),
-        _objects(
+        "Coil:Heating": lambda: _objects(suppliers.where(s % 3 == 0), "Coil:Heating", s, _tag("K", s), efficiency=F.lit(1), nominal_capacity=s * 100),
+        "AirLoopHVAC:ZoneSplitter": lambda: _objects(
             suppliers.where(s % 4 == 0), "AirLoopHVAC:ZoneSplitter", s, _tag("SP", s),
             nodes=F.array(
                 F.struct(F.concat(nation, F.lit(" ATU In Node")).alias("outlet_node_name")),
                 F.struct(F.concat(F.lit("X "), nation, F.lit(" ATU")).alias("outlet_node_name")),
             ),
         ),
-        _objects(
+        "AirLoopHVAC": lambda: _objects(
             places.groupBy("r_name", "r_regionkey").agg(F.max("n_nationkey").alias("n")).where("r_regionkey <> 2"),
             "AirLoopHVAC", F.lit(0), F.lit("VAV Sys 1"), design_supply_air_flow_rate=F.col("r_regionkey") * 5,
         ),
-        _objects(
+        "ZoneControl:Thermostat": lambda: _objects(
             suppliers, "ZoneControl:Thermostat", s, _tag("TH", s),
             zone_or_zonelist_name=nation, control_type_schedule_name=_tag("CT", s),
             control_1_object_type=F.lit("Setpoint:Heat"), control_1_name=_tag("SH", s),
             control_2_object_type=F.when(s % 2 == 0, "Setpoint:Dual"), control_2_name=_tag("SD", s - 7),
         ),
-        _objects(suppliers.where(s % 6 != 0), "Setpoint:Heat", s, _tag("SH", s), heating_setpoint_temperature_schedule_name=_tag("SCH", s)),
-        _objects(
+        "Setpoint:Heat": lambda: _objects(suppliers.where(s % 6 != 0), "Setpoint:Heat", s, _tag("SH", s), heating_setpoint_temperature_schedule_name=_tag("SCH", s)),
+        "Setpoint:Dual": lambda: _objects(
             suppliers, "Setpoint:Dual", s, _tag("SD", s),
             cooling_setpoint_temperature_schedule_name=_tag("SCH", s), heating_setpoint_temperature_schedule_name=F.lit("H"),
         ),
-        _objects(suppliers.where(s % 9 != 0), "Schedule:Compact", s, _tag("SCH", s), data=schedule),
-        _objects(
+        "Schedule:Compact": lambda: _objects(suppliers.where(s % 9 != 0), "Schedule:Compact", s, _tag("SCH", s), data=schedule),
+        "People": lambda: _objects(
             customers, "People", c, _tag("P", c),
             zone_or_zonelist_or_space_or_spacelist_name=nation, number_of_people=c % 50, fraction_radiant=F.when(c % 2 == 0, 0.3),
             number_of_people_schedule_name=_tag("SCH", c % 100),
         ),
-        _objects(
+        "Lights": lambda: _objects(
             suppliers, "Lights", s, _tag("L", s),
             zone_or_zonelist_or_space_or_spacelist_name=nation, lighting_level=s * 3, schedule_name=_tag("SCH", s),
         ),
-        _objects(
+        "ElectricEquipment": lambda: _objects(
             suppliers, "ElectricEquipment", s, _tag("E", s),
             zone_or_zonelist_or_space_or_spacelist_name=zone_field, design_level=s * 4, fraction_latent=F.lit(0.5),
         ),
-        _objects(places, "Building", n, nation, name=nation, terrain=F.lit("City")),
-        _objects(places, "Site:Location", -n, nation, name=nation, latitude=n * 1.5),
-        _objects(places.where("r_regionkey < 3"), "Output:Variable", n, nation, key_value=F.lit("*")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+        "Building": lambda: _objects(places, "Building", n, nation, name=nation, terrain=F.lit("City")),
+        "Site:Location": lambda: _objects(places, "Site:Location", -n, nation, name=nation, latitude=n * 1.5),
+        "Output:Variable": lambda: _objects(places.where("r_regionkey < 3"), "Output:Variable", n, nation, key_value=F.lit("*")),
+    }
+    return reduce(DataFrame.unionByName, [parts[k]() for k in kinds or parts])
+
+
+def stored_city(spark, sf) -> DataFrame:
+    """The object table written by type, as operators that read it often want it."""
+    path = scratch_path(spark, "objects")
+    write_building_objects(city(spark, sf), path)
+    return spark.read.parquet(path)
 
 
 PLACES_SQL = "places AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey)"
@@ -217,7 +229,7 @@ def validate_buildings(spark, sf):
     f"{BASE_SQL} SELECT r_name AS building_id, arg_min(c_name, c_custkey) AS object_name FROM cust GROUP BY 1",
 )
 def first_object(spark, sf):
-    return ob.first_object(city(spark, sf), "BuildingSurface:Detailed").select("building_id", "object_name")
+    return ob.first_object(city(spark, sf, "BuildingSurface:Detailed"), "BuildingSurface:Detailed").select("building_id", "object_name")
 
 
 @query(
@@ -226,7 +238,7 @@ def first_object(spark, sf):
  arg_max(n_name, n_nationkey) AS location_name, round(max(n_nationkey) * 1.5, 6)::DOUBLE AS latitude FROM places GROUP BY 1""",
 )
 def building_summary(spark, sf):
-    return ob.building_summary(city(spark, sf)).select(
+    return ob.building_summary(city(spark, sf, "Building", "Site:Location")).select(
         "building_id", "building_name", "north_axis", "terrain", "location_name", F.col("latitude").cast("double").alias("latitude")
     )
 
@@ -238,7 +250,7 @@ def building_summary(spark, sf):
  FROM places WHERE n_nationkey <> 7""",
 )
 def zone_properties(spark, sf):
-    z = ob.zones(city(spark, sf))
+    z = ob.zones(city(spark, sf, "Zone"))
     return z.withColumns({c: F.col(c).cast("double") for c in ("ceiling_height", "volume")})
 
 
@@ -248,7 +260,7 @@ def zone_properties(spark, sf):
  JOIN surf b ON a.building_id = b.building_id AND a.boundary_object = b.name AND a.zone <> b.zone WHERE a.boundary = 'Surface'""",
 )
 def zone_adjacency_by_name(spark, sf):
-    return ob.zone_adjacency(city(spark, sf), by="name")
+    return ob.zone_adjacency(city(spark, sf, "BuildingSurface:Detailed"), by="name")
 
 
 @query(
@@ -257,7 +269,7 @@ def zone_adjacency_by_name(spark, sf):
  JOIN surf b ON a.building_id = b.building_id AND a.boundary_object = b.surface AND a.zone <> b.zone WHERE a.boundary = 'Surface'""",
 )
 def zone_adjacency_by_key(spark, sf):
-    return ob.zone_adjacency(city(spark, sf), by="key")
+    return ob.zone_adjacency(city(spark, sf, "BuildingSurface:Detailed"), by="key")
 
 
 @query(
@@ -269,7 +281,7 @@ SELECT e.building_id, e.zone, e.other_zone, coalesce(x.shown, e.zone) AS zone_na
 FROM e LEFT JOIN d x ON x.building_id = e.building_id AND x.zone = e.zone LEFT JOIN d y ON y.building_id = e.building_id AND y.zone = e.other_zone""",
 )
 def named_adjacency(spark, sf):
-    return ob.named_adjacency(city(spark, sf))
+    return ob.named_adjacency(city(spark, sf, "Zone", "BuildingSurface:Detailed"))
 
 
 @query(
@@ -280,7 +292,7 @@ SELECT r_name AS building_id, n_name AS zone, CASE WHEN n_nationkey % 2 = 0 THEN
 FROM places LEFT JOIN e ON e.building_id = r_name AND e.zone = n_name WHERE n_nationkey <> 7""",
 )
 def zone_connections(spark, sf):
-    return ob.zone_connections(city(spark, sf))
+    return ob.zone_connections(city(spark, sf, "Zone", "BuildingSurface:Detailed"))
 
 
 @query(
@@ -289,12 +301,12 @@ def zone_connections(spark, sf):
  CASE WHEN boundary = 'Outdoors' THEN sun END AS sun_exposure, CASE WHEN boundary = 'Outdoors' THEN 'WindExposed' END AS wind_exposure FROM surf""",
 )
 def zone_surfaces(spark, sf):
-    return ob.zone_surfaces(city(spark, sf))
+    return ob.zone_surfaces(city(spark, sf, "BuildingSurface:Detailed"))
 
 
 @query("J8_zone_windows", f"{BASE_SQL}, {WINDOWS_SQL} SELECT * FROM win")
 def zone_windows(spark, sf):
-    return ob.zone_windows(city(spark, sf))
+    return ob.zone_windows(city(spark, sf, "BuildingSurface:Detailed", "FenestrationSurface:Detailed"))
 
 
 @query(
@@ -303,7 +315,7 @@ def zone_windows(spark, sf):
 SELECT used.*, s_name AS outside_layer FROM used JOIN supp ON used.building_id = r_name AND construction = 'C' || s_suppkey""",
 )
 def zone_constructions(spark, sf):
-    found = ob.zone_constructions(city(spark, sf))
+    found = ob.zone_constructions(city(spark, sf, "BuildingSurface:Detailed", "FenestrationSurface:Detailed", "Construction"))
     return found.select("building_id", "zone", "construction", ob.prop(F.col("definition"), "outside_layer").alias("outside_layer"))
 
 
@@ -312,7 +324,7 @@ def zone_constructions(spark, sf):
     f"""{BASE_SQL}, {SURFACES_SQL}, {WINDOWS_SQL} SELECT building_id, construction FROM surf UNION SELECT building_id, construction FROM win""",
 )
 def used_constructions(spark, sf):
-    objs = city(spark, sf)
+    objs = city(spark, sf, "BuildingSurface:Detailed", "FenestrationSurface:Detailed")
     names = [f(objs).select("building_id", "construction") for f in (ob.zone_surfaces, ob.zone_windows)]
     return names[0].union(names[1]).distinct()
 
@@ -323,7 +335,7 @@ def used_constructions(spark, sf):
  JOIN surf b ON a.building_id = b.building_id AND a.boundary_object = b.surface AND a.zone <> b.zone WHERE a.boundary = 'Surface'""",
 )
 def distinct_neighbours(spark, sf):
-    return ob.zone_adjacency(city(spark, sf), by="key").select("building_id", "zone", "adjacent_zone").distinct()
+    return ob.zone_adjacency(city(spark, sf, "BuildingSurface:Detailed"), by="key").select("building_id", "zone", "adjacent_zone").distinct()
 
 
 @query(
@@ -332,7 +344,7 @@ def distinct_neighbours(spark, sf):
  CASE WHEN s_suppkey % 4 = 0 THEN 'Autosize' ELSE CAST(s_suppkey * 2 AS VARCHAR) END END AS max_flow_rate FROM supp""",
 )
 def resolve_ref(spark, sf):
-    objs = city(spark, sf)
+    objs = city(spark, sf, "ZoneHVAC:AirDistributionUnit", "AirTerminal", "Coil:Heating")
     units = ob.of_type(objs, "ZoneHVAC:AirDistributionUnit").select(
         "building_id",
         F.col("object_name").alias("unit"),
@@ -355,7 +367,7 @@ best AS (SELECT building_id, zone, arg_max(k, place) AS k, arg_max(k, place) FIL
  CASE WHEN k % 4 = 0 THEN 'Autosize' ELSE CAST(k * 2 AS VARCHAR) END AS max_flow_rate, 'K' || coil AS coil_name, CAST(coil * 100 AS VARCHAR) AS capacity FROM best""",
 )
 def zone_hvac(spark, sf):
-    return ob.zone_hvac(city(spark, sf)).select(
+    return ob.zone_hvac(city(spark, sf, "ZoneHVAC:EquipmentConnections", "ZoneHVAC:EquipmentList", "ZoneHVAC:AirDistributionUnit", "AirTerminal", "Coil:Heating")).select(
         "building_id",
         "zone",
         F.col("terminal_unit.name").alias("terminal_name"),
@@ -372,7 +384,7 @@ def zone_hvac(spark, sf):
  FROM supp WHERE s_suppkey % 4 = 0 AND r_regionkey <> 2 AND (n_nationkey <> 7 OR EXISTS (SELECT 1 FROM customer WHERE c_nationkey = 7))""",
 )
 def zone_air_loop(spark, sf):
-    return ob.zone_air_loop(city(spark, sf)).select("building_id", "zone", "air_loop.*")
+    return ob.zone_air_loop(city(spark, sf, "Zone", "BuildingSurface:Detailed", "AirLoopHVAC:ZoneSplitter", "AirLoopHVAC")).select("building_id", "zone", "air_loop.*")
 
 
 INFILTRATION_SQL = """zone AS (SELECT r_name AS building_id, n_name AS zone FROM places WHERE n_nationkey <> 7 UNION SELECT r_name, n_name FROM cust),
@@ -385,7 +397,7 @@ inf AS (SELECT r_name AS building_id, s_suppkey, s_acctbal, CASE WHEN s_suppkey
  FROM inf JOIN zone USING (building_id) WHERE contains(field, zone) GROUP BY 1, 2""",
 )
 def zone_infiltration(spark, sf):
-    return ob.zone_infiltration(city(spark, sf)).select(
+    return ob.zone_infiltration(city(spark, sf, "Zone", "BuildingSurface:Detailed", "ZoneInfiltration:DesignFlowRate")).select(
         "building_id", "zone", F.col("infiltration.design_flow_rate").cast("double").alias("design_flow_rate"), "infiltration.schedule"
     )
 
@@ -396,7 +408,7 @@ def zone_infiltration(spark, sf):
  FROM inf JOIN zone USING (building_id) WHERE field = zone GROUP BY 1, 2""",
 )
 def zone_infiltration_equal(spark, sf):
-    return ob.zone_infiltration(city(spark, sf), match="equals").select("building_id", "zone", "infiltration.schedule")
+    return ob.zone_infiltration(city(spark, sf, "Zone", "BuildingSurface:Detailed", "ZoneInfiltration:DesignFlowRate"), match="equals").select("building_id", "zone", "infiltration.schedule")
 
 
 THERMOSTAT_SQL = """last AS (SELECT r_name AS building_id, n_name AS zone, max(s_suppkey) AS k FROM supp GROUP BY 1, 2),
@@ -412,7 +424,7 @@ setp AS (SELECT building_id, zone, 1 AS slot, 'Setpoint:Heat' AS type, 'SH' || k
 )
 def zone_thermostat(spark, sf):
     parts = F.transform("control_objects", lambda c: F.concat_ws("/", c["slot"].cast("string"), c["type"], c["name"], c["schedule"]))
-    return ob.zone_thermostat(city(spark, sf)).select(
+    return ob.zone_thermostat(city(spark, sf, "ZoneControl:Thermostat", "Setpoint:Heat", "Setpoint:Dual")).select(
         "building_id", "zone", "control_name", "control_type_schedule", F.array_join(parts, ";").alias("objects")
     )
 
@@ -427,7 +439,7 @@ FROM d JOIN supp ON r_name = d.building_id AND s_suppkey = s""",
 )
 def zone_schedules(spark, sf):
     points = F.col("points")
-    return ob.zone_schedules(city(spark, sf)).select(
+    return ob.zone_schedules(city(spark, sf, "ZoneControl:Thermostat", "Setpoint:Heat", "Setpoint:Dual", "Schedule:Compact")).select(
         "building_id",
         "zone",
         "schedule",
@@ -447,7 +459,7 @@ UNION ALL SELECT r_name, n_name, 'Lights', 'L' || max(s_suppkey), max(s_suppkey)
 UNION ALL SELECT r_name, n_name || CASE WHEN s_suppkey % 3 = 0 THEN ' List' ELSE '' END, 'ElectricEquipment', 'E' || max(s_suppkey), max(s_suppkey) * 4, NULL, NULL FROM supp GROUP BY 1, 2""",
 )
 def zone_loads(spark, sf):
-    return ob.zone_loads(city(spark, sf)).select(
+    return ob.zone_loads(city(spark, sf, "People", "Lights", "ElectricEquipment")).select(
         "building_id",
         "zone",
         "kind",
@@ -464,7 +476,7 @@ def zone_loads(spark, sf):
 UNION ALL SELECT r_name, 'SCH' || s_suppkey, '24:00', s_acctbal FROM supp WHERE s_suppkey % 9 <> 0 AND s_suppkey % 2 <> 0""",
 )
 def schedule_points(spark, sf):
-    s = ob.of_type(city(spark, sf), "Schedule:Compact")
+    s = ob.of_type(city(spark, sf, "Schedule:Compact"), "Schedule:Compact")
     return s.select(
         "building_id", F.col("object_name").alias("schedule"), F.explode(ob.schedule_points(F.col("props"))).alias("_p")
     ).select("building_id", "schedule", "_p.time", "_p.value")
@@ -477,7 +489,7 @@ UNION ALL SELECT r_name, 'SD' || s_suppkey, 'SCH' || s_suppkey FROM supp""",
 )
 def schedule_fallback(spark, sf):
     keys = [f"{k}setpoint_temperature_schedule_name" for k in ("", "cooling_", "heating_")]
-    s = city(spark, sf).where(F.col("object_type").startswith("Setpoint:"))
+    s = city(spark, sf, "Setpoint:Heat", "Setpoint:Dual").where(F.col("object_type").startswith("Setpoint:"))
     return s.select("building_id", F.col("object_name").alias("name"), ob.first_prop(F.col("props"), keys).alias("schedule"))
 
 
@@ -491,7 +503,7 @@ SELECT s.building_id, s.zone, md5(string_agg(surface, ';' ORDER BY obj_pos)) AS
  max(coalesce(w.n, 0))::INTEGER AS n_windows FROM surf s LEFT JOIN w ON w.building_id = s.building_id AND w.zone = s.zone GROUP BY 1, 2""",
 )
 def surface_lists(spark, sf):
-    z = ob.zone_features(city(spark, sf)).where(F.size("zone_properties.surfaces") > 0)
+    z = ob.zone_features(stored_city(spark, sf)).where(F.size("zone_properties.surfaces") > 0)
     return z.select(
         "building_id",
         "zone",
@@ -519,9 +531,9 @@ UNION ALL SELECT 'setpoint_schedules', count(DISTINCT (building_id, zone, s)) FR
 UNION ALL SELECT 'occupancy_loads', (SELECT count(DISTINCT n_name) FROM cust) + (SELECT count(DISTINCT n_name) FROM supp) + (SELECT count(DISTINCT (n_name, s_suppkey % 3 = 0)) FROM supp)""",
 )
 def zone_feature_rows(spark, sf):
-    return ob.zone_feature_rows(city(spark, sf)).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+    return ob.zone_feature_rows(stored_city(spark, sf)).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("C10_zone_features")
 def zone_features(spark, sf):
-    return building.extract_zone_features(city(spark, sf))
+    return building.extract_zone_features(stored_city(spark, sf))
