@@ -79,6 +79,18 @@ def quantiles_by_key(spark, sf):
     return rounded(stats.quantiles(table(spark, sf, "events"), ["value"], [0.25, 0.5, 0.9], keys=["event_type"]))
 
 
+@query(
+    "A6_quantiles_by_bucket",
+    """SELECT l_returnflag, 'l_extendedprice' AS "column", q, round(CASE q WHEN 0.25 THEN a ELSE b END, 6) AS quantile
+FROM (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b
+      FROM lineitem GROUP BY 1), (VALUES (0.25::DOUBLE), (0.75::DOUBLE)) t(q)""",
+)
+def quantiles_by_bucket(spark, sf):
+    """The form for large tables, whatever the size."""
+    df = table(spark, sf, "lineitem")
+    return rounded(stats.quantiles(df, ["l_extendedprice"], [0.25, 0.75], keys=["l_returnflag"], one_task_rows=0))
+
+
 IQR_SQL = """b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)"""
 
 

@@ -58,13 +58,15 @@ def column_range(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 # --- exact quantiles --------------------------------------------------------
 #
-# A value's order-preserving integer is read in three parts. Counting rows per
+# ``percentile`` keeps the distinct values of a group in one task, so it serves
+# tables of a checked size. For larger ones a value's order-preserving integer is read in three parts. Counting rows per
 # leading part tells which bucket holds a wanted rank; only those buckets are
 # counted again by the middle part, and only what is left is counted by value.
 # Every pass is a plain hash aggregate, so no task ever holds a whole group.
-
+#
 LEAD_SHIFT = 40
 MID_SHIFT = 20
+ONE_TASK_ROWS = 2_000_000
 
 
 def _holding(counted: DataFrame, by: Sequence[Column | str], bucket: str) -> DataFrame:
@@ -78,12 +80,25 @@ def _holding(counted: DataFrame, by: Sequence[Column | str], bucket: str) -> Dat
     return inside.withColumn("ranks", kept).where(F.size("ranks") > 0).drop("_from", "n")
 
 
-def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles with linear interpolation: keys, column, q, quantile."""
+def quantiles(
+    df: DataFrame,
+    cols: Sequence[str],
+    qs: Sequence[float],
+    keys: Sequence[str] = (),
+    one_task_rows: int = ONE_TASK_ROWS,
+) -> DataFrame:
+    """Exact quantiles with linear interpolation: keys, column, q, quantile.
+
+    Counts the rows first; a parquet scan answers that from its footers.
+    """
     group = [*keys, "column"]
     by = [ref(g) for g in group]
-    values = _long(df, cols, keys).withColumn("_o", order_bits(F.col("value")))
-    values = values.select(
+    values = _long(df, cols, keys)
+    if df.count() <= one_task_rows:
+        found = values.groupBy(*by).agg(F.percentile("value", F.array(*[F.lit(float(q)) for q in qs])).alias("_q"))
+        named = F.arrays_zip(F.array(*[F.lit(float(q)) for q in qs]).alias("q"), F.col("_q").alias("quantile"))
+        return found.select(*by, F.explode(named).alias("_z")).select(*by, "_z.q", "_z.quantile")
+    values = values.withColumn("_o", order_bits(F.col("value"))).select(
         *by,
         "value",
         F.shiftright("_o", LEAD_SHIFT).alias("_b1"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hearthline.operators import objects as ob
-from hearthline.plans.validation import CheckReport
+from hearthline.plans.validation import CheckReport, Tables
 from hearthline.sources.buildings import malformed_buildings, parse_building_objects, read_building_texts
 from hearthline.sources.tables import load_report
 
@@ -19,14 +19,14 @@ def validate_buildings(objs: DataFrame) -> CheckReport:
     return CheckReport(
         ob.presence_checks(objs),
         ob.required_objects(objs),
-        {
-            "summary": ob.building_summary(objs),
-            "object_counts": ob.object_counts(objs),
-            "category_counts": ob.category_counts(objs),
-            "zones": ob.zones(objs).select("building_id", "zone", "display_name"),
-            "adjacency": ob.named_adjacency(objs),
-            "connections": ob.zone_connections(objs),
-        },
+        Tables(
+            summary=lambda: ob.building_summary(objs),
+            object_counts=lambda: ob.object_counts(objs),
+            category_counts=lambda: ob.category_counts(objs),
+            zones=lambda: ob.zones(objs).select("building_id", "zone", "display_name"),
+            adjacency=lambda: ob.named_adjacency(objs),
+            connections=lambda: ob.zone_connections(objs),
+        ),
     )
 
 

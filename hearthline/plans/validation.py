@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -62,16 +62,35 @@ from hearthline.sources.weather import field_count_violations, parse_weather, we
 SAMPLE_ROWS = 5
 
 
+class Tables(Mapping):
+    """Named frames, each planned when it is first asked for."""
+
+    def __init__(self, **makers: Callable[[], DataFrame]):
+        self._makers = makers
+        self._made: dict[str, DataFrame] = {}
+
+    def add(self, **makers: Callable[[], DataFrame]) -> None:
+        self._makers |= makers
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 @dataclass
 class CheckReport:
-    """What a validation found. ``tables`` holds its profiles and plot data.
-
-    All frames are lazy; nothing is computed before one of them is used.
-    """
+    """What a validation found. ``tables`` holds its profiles and plot data."""
 
     summary: DataFrame
     violations: DataFrame
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    tables: Tables = field(default_factory=Tables)
 
 
 def _head_rows(df: DataFrame, expected: Sequence[str], data_cols: Sequence[str], strict: bool) -> DataFrame:
@@ -97,7 +116,7 @@ def _report(
     nulls = [present_rule(c) for c in data_cols]
     summary = _head_rows(df, expected, data_cols, strict).unionByName(evaluate(df, [*nulls, *rules]))
     found = violations(df, list(listed if listed is not None else rules), [position], SAMPLE_ROWS)
-    return CheckReport(summary, found, {"shape": shape(df.drop(position))})
+    return CheckReport(summary, found, Tables(shape=lambda: shape(df.drop(position))))
 
 
 def _action_rules() -> list[Rule]:
@@ -108,7 +127,7 @@ def _action_rules() -> list[Rule]:
 def validate_actions(df: DataFrame, position: str = "position", strict: bool = False) -> CheckReport:
     """Setpoint ranges and heating below cooling."""
     report = _report(df, ACTION_COLUMNS, _action_rules(), position, strict)
-    report.tables["profile"] = profile_numeric(df, [c for c in numeric_columns(df) if c != position])
+    report.tables.add(profile=lambda: profile_numeric(df, [c for c in numeric_columns(df) if c != position]))
     return report
 
 
@@ -118,13 +137,15 @@ def validate_simulated_actions(
     """As ``validate_actions``, plus constant columns, plots and the agent's actions."""
     report = validate_actions(df, position, strict)
     cols = [c for c in df.columns if c != position]
-    report.tables["constants"] = constant_columns(df, cols)
+    report.tables.add(constants=lambda: constant_columns(df, cols))
     if all(c in df.columns for c in ACTION_COLUMNS):
-        report.tables["series"] = series(df, position, ACTION_COLUMNS)
-        report.tables["points"] = point_pairs(df, *ACTION_COLUMNS)
-        report.tables["equal_line"] = common_range(df, *ACTION_COLUMNS)
+        report.tables.add(
+            series=lambda: series(df, position, ACTION_COLUMNS),
+            points=lambda: point_pairs(df, *ACTION_COLUMNS),
+            equal_line=lambda: common_range(df, *ACTION_COLUMNS),
+        )
         if agent is not None:
-            report.tables["comparison"] = compare_series(agent, df, [position], ACTION_COLUMNS)
+            report.tables.add(comparison=lambda: compare_series(agent, df, [position], ACTION_COLUMNS))
     return report
 
 
@@ -146,14 +167,14 @@ def validate_rewards(df: DataFrame, position: str = "position", col: str = "rewa
         rules.append(iqr_rule(df, col))
     report = _report(df, (col,) if col != "reward" else REWARD_COLUMNS, rules, position, strict)
     if col in df.columns:
-        report.tables |= {
-            "profile": profile_numeric(df, [c for c in numeric_columns(df) if c != position]),
-            "iqr_bounds": iqr_bounds(df, col, REWARD_IQR_FACTOR),
-            "constants": constant_columns(df, [col]),
-            "runs": value_runs(df.withColumn(col, clean(df, col)), col, position, min_len=REWARD_RUN_MIN_LENGTH),
-            "histogram": histogram(df, col, HISTOGRAM_BINS),
-            "series": series(df, position, [col]),
-        }
+        report.tables.add(
+            profile=lambda: profile_numeric(df, [c for c in numeric_columns(df) if c != position]),
+            iqr_bounds=lambda: iqr_bounds(df, col, REWARD_IQR_FACTOR),
+            constants=lambda: constant_columns(df, [col]),
+            runs=lambda: value_runs(df.withColumn(col, clean(df, col)), col, position, min_len=REWARD_RUN_MIN_LENGTH),
+            histogram=lambda: histogram(df, col, HISTOGRAM_BINS),
+            series=lambda: series(df, position, [col]),
+        )
     return report
 
 
@@ -165,16 +186,16 @@ def validate_observations(df: DataFrame, position: str = "position", strict: boo
     report = _report(df, OBSERVATION_COLUMNS, rules, position, strict)
     numbers = [c for c in numeric_columns(df) if c != position]
     texts = [c for c in df.columns if c not in numbers and c != position]
-    report.tables["ranges"] = column_range_check(df, ranges)
+    report.tables.add(ranges=lambda: column_range_check(df, ranges))
     if numbers:
-        report.tables["profile"] = profile_numeric(df, numbers)
+        report.tables.add(profile=lambda: profile_numeric(df, numbers))
     if texts:
-        report.tables["text_profile"] = profile_text(df, texts)
+        report.tables.add(text_profile=lambda: profile_text(df, texts))
     plotted = [c for c in OBSERVATION_PLOT_COLUMNS if c in df.columns]
     if plotted:
-        report.tables["series"] = series(df, position, plotted)
+        report.tables.add(series=lambda: series(df, position, plotted))
         if len(numbers) > 1:
-            report.tables["correlation"] = correlation_cells(df, numbers)
+            report.tables.add(correlation=lambda: correlation_cells(df, numbers))
     return report
 
 
@@ -184,22 +205,21 @@ def validate_weather(lines: DataFrame, hour24: str = "null") -> CheckReport:
     time_rules = [valid_range_rule(c, lo, hi, f"invalid_{c.lower()}") for c, (lo, hi) in WEATHER_TIME_RANGES.items()]
     value_rules = [range_rule(c, lo, hi) for c, (lo, hi) in WEATHER_PHYSICAL_RANGES.items()]
     nulls = [present_rule(c) for c in WEATHER_NUMERIC_COLUMNS]
-    dated = weather.select(
-        "file",
-        "row",
-        weather_time(*[ref(c) for c in ("Year", "Month", "Day", "Hour")], hour24=hour24).alias("date"),
-        *[ref(c) for c in WEATHER_PLOT_COLUMNS],
-    )
+
+    def dated() -> DataFrame:
+        time = weather_time(*[ref(c) for c in ("Year", "Month", "Day", "Hour")], hour24=hour24)
+        return weather.select("file", "row", time.alias("date"), *[ref(c) for c in WEATHER_PLOT_COLUMNS])
+
     return CheckReport(
         evaluate(weather, [*nulls, *time_rules, *value_rules], keys=["file"]),
         time_field_violations(weather, WEATHER_TIME_RANGES, ["file", "row"]),
-        {
-            "location": weather_location(lines),
-            "line_counts": row_count_check(weather, WEATHER_ROW_COUNTS, by=["file"]),
-            "field_counts": field_count_violations(weather),
-            "ranges": column_range_check(weather, WEATHER_PHYSICAL_RANGES, keys=["file"]),
-            "monthly": grouped_stats(weather, ["file", "Month"], "Dry Bulb Temperature"),
-            "continuity": continuity_check(weather, ["Year", "Month", "Day"], keys=["file"]),
-            "series": dated,
-        },
+        Tables(
+            location=lambda: weather_location(lines),
+            line_counts=lambda: row_count_check(weather, WEATHER_ROW_COUNTS, by=["file"]),
+            field_counts=lambda: field_count_violations(weather),
+            ranges=lambda: column_range_check(weather, WEATHER_PHYSICAL_RANGES, keys=["file"]),
+            monthly=lambda: grouped_stats(weather, ["file", "Month"], "Dry Bulb Temperature"),
+            continuity=lambda: continuity_check(weather, ["Year", "Month", "Day"], keys=["file"]),
+            series=dated,
+        ),
     )

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -65,8 +66,4 @@ def broadcast_if_small(materialized: DataFrame, limit: int = BROADCAST_ROW_LIMIT
     Above the limit the frame is returned without a hint and the join shuffles.
     Call it on a materialized or otherwise cheap frame: the check is an action.
     """
-    from pyspark.sql import functions as F
-
-    if materialized.limit(limit + 1).count() <= limit:
-        return F.broadcast(materialized)
-    return materialized
+    return F.broadcast(materialized) if materialized.count() <= limit else materialized
