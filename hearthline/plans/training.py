@@ -158,9 +158,8 @@ def sizing_structure(df: DataFrame, zone: str = SIZING_ZONE, order: str | None =
     if order is None:
         sample = text
     else:
-        # The two first rows, kept as the two least positions of each task.
-        head = df.orderBy(ref(order)).limit(2).agg(F.array_sort(F.collect_list(F.struct(ref(order).alias("o"), body.alias("b")))).alias("s"))
-        sample = F.transform(head.scalar(), lambda s: s["b"])
+        head = df.orderBy(ref(order)).limit(2).agg(F.collect_list(F.struct(ref(order).alias("o"), body.alias("b"))).alias("s"))
+        sample = head.select(F.transform(F.array_sort("s"), lambda s: s["b"])).scalar()
     return df.agg(F.count(F.lit(1)).alias("rows")).select(
         "rows",
         F.lit(len(cols)).alias("columns"),

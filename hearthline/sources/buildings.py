@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthline.sources.tables import write_table
@@ -18,22 +18,38 @@ def read_building_texts(spark: SparkSession, path: str | list[str]) -> DataFrame
     )
 
 
+def _last_wins(m: Column) -> Column:
+    """Map entries in file order; of several equal keys the last value stays.
+
+    The slower form is only evaluated for maps that do repeat a key.
+    """
+    keys, values = F.map_keys(m), F.map_values(m)
+    distinct = F.array_distinct(keys)
+    last = F.transform(
+        distinct,
+        lambda k: F.struct(
+            k.alias("key"), F.element_at(values, -F.array_position(F.reverse(keys), k).cast("int")).alias("value")
+        ),
+    )
+    return F.when(F.size(distinct) == F.size(keys), F.map_entries(m)).otherwise(last)
+
+
 def parse_building_objects(texts: DataFrame) -> DataFrame:
     """The object table of ``(building_id, text)`` documents.
 
-    Nested maps keep the order of the file and let the last of several equal
-    keys win; only the leaf properties are VARIANT. A type without objects keeps
-    one row with an empty object name. A text that is no such
-    document yields no rows here and is counted by ``malformed_buildings``.
+    Nested maps keep the order of the file; only the leaf properties are
+    VARIANT. A type without objects keeps one row with an empty object name. A
+    text that is no such document yields no rows here and is counted by
+    ``malformed_buildings``.
     """
     parsed = texts.select("building_id", F.from_json("text", SHAPE).alias("_m"))
-    types = parsed.select("building_id", F.posexplode("_m").alias("type_pos", "object_type", "_o"))
+    types = parsed.select("building_id", F.posexplode(_last_wins(F.col("_m"))).alias("type_pos", "_t"))
     return types.select(
         "building_id",
         "type_pos",
-        "object_type",
-        F.posexplode_outer("_o").alias("obj_pos", "object_name", "props"),
-    )
+        F.col("_t.key").alias("object_type"),
+        F.posexplode_outer(_last_wins(F.col("_t.value"))).alias("obj_pos", "_o"),
+    ).select("building_id", "type_pos", "object_type", "obj_pos", F.col("_o.key").alias("object_name"), F.col("_o.value").alias("props"))
 
 
 def read_building_objects(spark: SparkSession, path: str | list[str]) -> DataFrame:
