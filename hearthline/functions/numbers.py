@@ -105,7 +105,3 @@ def order_integer(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.NumericType):
         return order_bits(c.cast("double"))
     raise TypeError(f"cannot order positions by {name}: {kind.simpleString()}")
-
-
-def shift_right(c: Column, bits: int) -> Column:
-    return F.shiftright(c, bits) if bits else c

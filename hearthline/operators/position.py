@@ -15,45 +15,75 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from hearthline.functions.numbers import order_integer, ref, shift_right
+from hearthline.functions.numbers import order_integer, ref
+from hearthline.session import broadcast_if_small, materialize
 
 CHUNK = "_hl_chunk"
-ROWS_PER_CHUNK_BITS = 20
+TASK_ROWS_BITS = 20  # a series of up to 2**20 rows is one task's work
+WHOLE = 63
 
 
-def chunk_bits(df: DataFrame, order_by: str, keys: Sequence[str] = (), target_bits: int = ROWS_PER_CHUNK_BITS) -> int:
-    """How many low bits of the order column a chunk spans.
+def largest_series(df: DataFrame, keys: Sequence[str] = ()) -> int:
+    """Rows of the longest series, by one small aggregate."""
+    sizes = df.groupBy(*[ref(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
 
-    Starts from an even spread over the column's range and narrows the chunks
-    until none holds much more than ``2**target_bits`` rows. Reads only the
-    order and key columns and returns scalars to the driver.
+
+def _chunk_of(value: Column, bits: Column) -> Column:
+    return F.when(bits < WHOLE, F.call_function("shiftright", value, bits)).otherwise(F.lit(0).cast("bigint"))
+
+
+def series_bits(df: DataFrame, order_by: str, keys: Sequence[str], target_bits: int = TASK_ROWS_BITS) -> DataFrame:
+    """Per long series, how many low bits of the order column a chunk spans.
+
+    Starts from an even spread over the series' range and narrows the chunks of
+    those series where one still holds much more than ``2**target_bits`` rows.
+    The result has a row only for series longer than that, so at most one per
+    ``2**target_bits`` rows of input. Each round reads only key and order.
     """
+    by = [ref(k) for k in keys]
     value = order_integer(df, order_by)
-    row = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n")).first()
-    if row["n"] <= 2**target_bits:
-        return 63
-    spread = max(int(row["hi"]) - int(row["lo"]) + 1, 1)
-    parts = max(row["n"] >> target_bits, 1)
-    bits = max(min((spread // parts).bit_length(), 62), 0)
-    limit = 4 * 2**target_bits
-    while bits > 0:
-        largest = (
-            df.groupBy(*[ref(k) for k in keys], shift_right(value, bits).alias(CHUNK))
-            .count()
-            .agg(F.max("count"))
-            .first()[0]
+    limit = 2**target_bits
+    sizes = df.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") / limit)
+    # In floating point, since the range of a BIGINT can exceed a BIGINT.
+    width = (F.col("hi").cast("double") - F.col("lo").cast("double") + 1.0) / parts
+    first = F.least(F.greatest(F.ceil(F.log2(width)), F.lit(0)), F.lit(62)).cast("int")
+    found = materialize(sizes.where(F.col("n") > limit).select(*by, first.alias("_bits")))
+    while True:
+        held = (
+            df.withColumn("_v", value)
+            .join(broadcast_if_small(found), list(keys))
+            .groupBy(*by, "_bits", _chunk_of(F.col("_v"), F.col("_bits")).alias(CHUNK))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .groupBy(*by, "_bits")
+            .agg(F.max("n").alias("n"))
         )
-        if largest <= limit:
-            break
-        bits = max(bits - 4, 0)
-    return bits
+        crowded = (F.col("n") > 4 * limit) & (F.col("_bits") > 0)
+        narrowed = F.when(crowded, F.greatest(F.col("_bits") - 4, F.lit(0))).otherwise(F.col("_bits"))
+        checked = materialize(held.select(*by, narrowed.alias("_bits"), crowded.alias("_again")))
+        found = checked.select(*by, "_bits")
+        if not checked.where("_again").count():
+            return found
+
 
+def with_chunk(
+    df: DataFrame, order_by: str, keys: Sequence[str] = (), bits: int | None = None, target_bits: int = TASK_ROWS_BITS
+) -> DataFrame:
+    """Add the chunk number: consecutive order values of a long series.
 
-def with_chunk(df: DataFrame, order_by: str, keys: Sequence[str] = (), bits: int | None = None) -> DataFrame:
-    if bits is None:
-        bits = chunk_bits(df, order_by, keys)
+    A short series is a single chunk. ``bits`` fixes the chunk width instead.
+    """
     value = order_integer(df, order_by)
-    return df.withColumn(CHUNK, F.shiftright(value, bits) if bits < 63 else F.lit(0).cast("bigint"))
+    if bits is not None:
+        return df.withColumn(CHUNK, F.shiftright(value, bits))
+    # A series without keys is handled as the series of one constant key.
+    names = list(keys) or ["_hl_all"]
+    keyed = df if keys else df.withColumn("_hl_all", F.lit(0))
+    long_ones = broadcast_if_small(series_bits(keyed, order_by, names, target_bits))
+    chunked = keyed.withColumn("_v", value).join(long_ones, names, "left")
+    width = F.coalesce("_bits", F.lit(WHOLE))
+    return chunked.select(*[ref(c) for c in df.columns], _chunk_of(F.col("_v"), width).alias(CHUNK))
 
 
 def with_position(
@@ -63,18 +93,24 @@ def with_position(
     name: str = "timestep",
     start: int = 0,
     bits: int | None = None,
+    target_bits: int = TASK_ROWS_BITS,
 ) -> DataFrame:
     """Number the rows of each series 0, 1, 2, ... in the given order.
 
-    One exchange on (keys, chunk). ``order_by`` should identify a row within
-    its series, or equal rows are numbered in no particular order.
+    One exchange of the rows, on the keys and, for long series, the chunk.
+    ``order_by`` should identify a row within its series, or equal rows are
+    numbered in no particular order.
     """
-    chunked = with_chunk(df, order_by[0], keys, bits)
     by = [ref(k) for k in keys]
+    order = [ref(c) for c in order_by]
+    if bits is None and largest_series(df, keys) <= 2**target_bits:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        return df.withColumn(name, place.cast("bigint") - 1 + start)
+    chunked = with_chunk(df, order_by[0], keys, bits, target_bits)
     sizes = chunked.groupBy(*by, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(*by, CHUNK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*by, CHUNK).orderBy(*[ref(c) for c in order_by])
+    inside = Window.partitionBy(*by, CHUNK).orderBy(*order)
     numbered = chunked.withColumn("_inside", F.row_number().over(inside))
     return numbered.join(before, [*keys, CHUNK]).select(
         *[ref(c) for c in df.columns], (F.col("_before") + F.col("_inside") - 1 + start).alias(name)
@@ -116,6 +152,15 @@ def with_neighbours(
     return spread.where(F.col(CHUNK) == home).drop(CHUNK)
 
 
+def _folded(pieces: DataFrame, by: Sequence[Column], group: str) -> DataFrame:
+    return pieces.groupBy(*by, group).agg(
+        F.max("value").alias("value"),
+        F.sum("length").alias("length"),
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+    )
+
+
 def value_runs(
     df: DataFrame,
     col: Column | str,
@@ -123,49 +168,40 @@ def value_runs(
     keys: Sequence[str] = (),
     min_len: int = 1,
     bits: int | None = None,
+    target_bits: int = TASK_ROWS_BITS,
 ) -> DataFrame:
     """Runs of equal consecutive values: keys, value, length, start, end.
 
-    A missing value equals nothing, so it is a run of its own. Runs are found
-    inside chunks; only the first and last run of a chunk can go on in the next
-    one, so only those are stitched.
+    A missing value equals nothing, so it is a run of its own. Runs of long
+    series are found inside chunks; only the first and last run of a chunk can
+    go on in the next one, so only those are stitched.
     """
     value = ref(col) if isinstance(col, str) else col
     by = [ref(k) for k in keys]
-    chunked = with_chunk(df, order_by, keys, bits).select(
-        *by, CHUNK, ref(order_by).alias("_o"), value.alias("value")
+    wanted = [*by, "value", "length", "start", "end"]
+    short = bits is None and largest_series(df, keys) <= 2**target_bits
+    chunked = df if short else with_chunk(df, order_by, keys, bits, target_bits)
+    part = by if short else [*by, F.col(CHUNK)]
+    rows = chunked.select(
+        *part, value.alias("value"), F.lit(1).cast("bigint").alias("length"), ref(order_by).alias("start"), ref(order_by).alias("end")
     )
-    inside = Window.partitionBy(*by, CHUNK).orderBy("_o")
+    inside = Window.partitionBy(*part).orderBy("start")
     same = F.coalesce(F.col("value") == F.lag("value").over(inside), F.lit(False))
-    pieces = (
-        chunked.withColumn("_new", F.when(same, 0).otherwise(1))
-        .withColumn("_run", F.sum("_new").over(inside))
-        .groupBy(*by, CHUNK, "_run")
-        .agg(
-            F.max("value").alias("value"),
-            F.count(F.lit(1)).alias("length"),
-            F.min("_o").alias("start"),
-            F.max("_o").alias("end"),
-        )
-        .withColumn("_last", F.max("_run").over(Window.partitionBy(*by, CHUNK)))
-    )
+    numbered = rows.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(inside))
+    pieces = _folded(numbered, part, "_run")
+    if short:
+        return pieces.select(*wanted).where(F.col("length") >= min_len)
+    pieces = pieces.withColumn("_last", F.max("_run").over(Window.partitionBy(*part)))
     at_edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_last"))
     inner = pieces.where(~at_edge)
     along = Window.partitionBy(*by).orderBy(CHUNK, "_run")
     goes_on = F.coalesce(
         (F.col("value") == F.lag("value").over(along)) & (F.col(CHUNK) != F.lag(CHUNK).over(along)), F.lit(False)
     )
-    stitched = (
+    edges = (
         pieces.where(at_edge)
         .withColumn("_new", F.when(goes_on, 0).otherwise(1))
         .withColumn("_group", F.sum("_new").over(along))
-        .groupBy(*by, "_group")
-        .agg(
-            F.max("value").alias("value"),
-            F.sum("length").alias("length"),
-            F.min("start").alias("start"),
-            F.max("end").alias("end"),
-        )
     )
-    wanted = [*by, "value", "length", "start", "end"]
+    stitched = _folded(edges, by, "_group")
     return inner.select(*wanted).unionByName(stitched.select(*wanted)).where(F.col("length") >= min_len)

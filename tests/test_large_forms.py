@@ -40,14 +40,17 @@ def test_order_bits_is_monotone(spark):
     assert len({o for _, o in ordinary}) == len({v for v, _ in ordinary})
 
 
-@pytest.mark.parametrize("bits", [None, 3, 9])
-def test_positions(hot, bits):
+FORMS = [{}, {"bits": 3}, {"bits": 9}, {"target_bits": 6}]
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_positions(hot, form):
     df, pdf = hot
-    got = position.with_position(df, ["o"], keys=["k"], bits=bits).toPandas().sort_values(["k", "o"])
+    got = position.with_position(df, ["o"], keys=["k"], **form).toPandas().sort_values(["k", "o"])
     want = pdf.sort_values(["k", "o"])
     want["timestep"] = want.groupby("k").cumcount()
     assert list(got["timestep"]) == list(want["timestep"])
-    one = position.with_position(df, ["o"], bits=bits).toPandas().sort_values("o")
+    one = position.with_position(df, ["o"], **form).toPandas().sort_values("o")
     assert list(one["timestep"]) == list(range(len(pdf)))
 
 
@@ -65,10 +68,10 @@ def brute_runs(pdf):
     return sorted(tuple(r) for r in out if r[2] >= 2)
 
 
-@pytest.mark.parametrize("bits", [None, 2, 6])
-def test_runs(hot, bits):
+@pytest.mark.parametrize("form", FORMS)
+def test_runs(hot, form):
     df, pdf = hot
-    got = position.value_runs(df, "v", "o", keys=["k"], min_len=2, bits=bits)
+    got = position.value_runs(df, "v", "o", keys=["k"], min_len=2, **form)
     assert sorted(tuple(r) for r in got.collect()) == brute_runs(pdf)
 
 
@@ -79,11 +82,16 @@ def test_run_over_many_chunks(spark):
 
 
 def test_chunks_adapt_to_dense_ranges(spark):
-    dense = spark.range(9000).selectExpr("id AS o").union(spark.createDataFrame([(10**15,)], "o bigint"))
-    bits = position.chunk_bits(dense, "o", target_bits=8)
-    largest = dense.groupBy(F.shiftright("o", bits)).count().agg(F.max("count")).first()[0]
-    assert largest <= 4 * 2**8
-    assert position.chunk_bits(dense, "o") == 63
+    """One far value makes the even spread useless; short series stay whole."""
+    dense = spark.range(9000).selectExpr("'a' AS k", "id AS o").union(
+        spark.createDataFrame([("a", 10**15), ("b", 1), ("b", 10**14)], "k string, o bigint")
+    )
+    chunked = position.with_chunk(dense, "o", ["k"], target_bits=8)
+    sizes = {(r["k"], r[position.CHUNK]): r["count"] for r in chunked.groupBy("k", position.CHUNK).count().collect()}
+    assert max(sizes.values()) <= 4 * 2**8
+    assert sizes["b", 0] == 2
+    assert len(sizes) < 80
+    assert position.largest_series(dense, ["k"]) == 9001
 
 
 def test_neighbours(spark):
