@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,3 +107,18 @@ def order_integer(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.NumericType):
         return order_bits(c.cast("double"))
     raise TypeError(f"cannot order positions by {name}: {kind.simpleString()}")
+
+
+PACKED = "_hl_key"
+
+
+def packed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the keys as one struct, which joins and groups by NULL keys as well.
+
+    Without keys it is a constant, the key of the only group.
+    """
+    return df.withColumn(PACKED, F.struct(*[ref(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all")))
+
+
+def unpacked(keys: Sequence[str]) -> list[Column]:
+    return [F.col(f"{PACKED}.{quoted(k)}").alias(k) for k in keys]

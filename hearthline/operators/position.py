@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from hearthline.functions.numbers import order_integer, ref
+from hearthline.functions.numbers import PACKED, order_integer, packed, ref, unpacked
 from hearthline.session import broadcast_if_small, materialize
 
 CHUNK = "_hl_chunk"
@@ -30,39 +30,40 @@ def largest_series(df: DataFrame, keys: Sequence[str] = ()) -> int:
 
 
 def _chunk_of(value: Column, bits: Column) -> Column:
-    return F.when(bits < WHOLE, F.call_function("shiftright", value, bits)).otherwise(F.lit(0).cast("bigint"))
+    """Chunk number; rows without an order value come first, as in a sort."""
+    number = F.when(bits < WHOLE, F.call_function("shiftright", value, bits)).otherwise(F.lit(0).cast("bigint"))
+    return F.coalesce(number, F.lit(-(2**62)))
 
 
-def series_bits(df: DataFrame, order_by: str, keys: Sequence[str], target_bits: int = TASK_ROWS_BITS) -> DataFrame:
-    """Per long series, how many low bits of the order column a chunk spans.
+def series_bits(df: DataFrame, order_by: str, target_bits: int = TASK_ROWS_BITS) -> DataFrame:
+    """Per long series of a ``packed`` frame, how many low bits of the order column a chunk spans.
 
     Starts from an even spread over the series' range and narrows the chunks of
     those series where one still holds much more than ``2**target_bits`` rows.
     The result has a row only for series longer than that, so at most one per
     ``2**target_bits`` rows of input. Each round reads only key and order.
     """
-    by = [ref(k) for k in keys]
     value = order_integer(df, order_by)
     limit = 2**target_bits
-    sizes = df.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("n"))
+    sizes = df.groupBy(PACKED).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("n"))
     parts = F.ceil(F.col("n") / limit)
     # In floating point, since the range of a BIGINT can exceed a BIGINT.
     width = (F.col("hi").cast("double") - F.col("lo").cast("double") + 1.0) / parts
     first = F.least(F.greatest(F.ceil(F.log2(width)), F.lit(0)), F.lit(62)).cast("int")
-    found = materialize(sizes.where(F.col("n") > limit).select(*by, first.alias("_bits")))
+    found = materialize(sizes.where(F.col("n") > limit).select(PACKED, first.alias("_bits")))
     while True:
         held = (
             df.withColumn("_v", value)
-            .join(broadcast_if_small(found), list(keys))
-            .groupBy(*by, "_bits", _chunk_of(F.col("_v"), F.col("_bits")).alias(CHUNK))
+            .join(broadcast_if_small(found), PACKED)
+            .groupBy(PACKED, "_bits", _chunk_of(F.col("_v"), F.col("_bits")).alias(CHUNK))
             .agg(F.count(F.lit(1)).alias("n"))
-            .groupBy(*by, "_bits")
+            .groupBy(PACKED, "_bits")
             .agg(F.max("n").alias("n"))
         )
         crowded = (F.col("n") > 4 * limit) & (F.col("_bits") > 0)
         narrowed = F.when(crowded, F.greatest(F.col("_bits") - 4, F.lit(0))).otherwise(F.col("_bits"))
-        checked = materialize(held.select(*by, narrowed.alias("_bits"), crowded.alias("_again")))
-        found = checked.select(*by, "_bits")
+        checked = materialize(held.select(PACKED, narrowed.alias("_bits"), crowded.alias("_again")))
+        found = checked.select(PACKED, "_bits")
         if not checked.where("_again").count():
             return found
 
@@ -70,20 +71,18 @@ def series_bits(df: DataFrame, order_by: str, keys: Sequence[str], target_bits:
 def with_chunk(
     df: DataFrame, order_by: str, keys: Sequence[str] = (), bits: int | None = None, target_bits: int = TASK_ROWS_BITS
 ) -> DataFrame:
-    """Add the chunk number: consecutive order values of a long series.
+    """Add the packed keys and the chunk: consecutive order values of a series.
 
     A short series is a single chunk. ``bits`` fixes the chunk width instead.
     """
     value = order_integer(df, order_by)
+    keyed = packed(df, keys)
     if bits is not None:
-        return df.withColumn(CHUNK, F.shiftright(value, bits))
-    # A series without keys is handled as the series of one constant key.
-    names = list(keys) or ["_hl_all"]
-    keyed = df if keys else df.withColumn("_hl_all", F.lit(0))
-    long_ones = broadcast_if_small(series_bits(keyed, order_by, names, target_bits))
-    chunked = keyed.withColumn("_v", value).join(long_ones, names, "left")
+        return keyed.withColumn(CHUNK, _chunk_of(value, F.lit(bits)))
+    long_ones = broadcast_if_small(series_bits(keyed, order_by, target_bits))
+    chunked = keyed.withColumn("_v", value).join(long_ones, PACKED, "left")
     width = F.coalesce("_bits", F.lit(WHOLE))
-    return chunked.select(*[ref(c) for c in df.columns], _chunk_of(F.col("_v"), width).alias(CHUNK))
+    return chunked.select(*[ref(c) for c in df.columns], PACKED, _chunk_of(F.col("_v"), width).alias(CHUNK))
 
 
 def with_position(
@@ -101,18 +100,17 @@ def with_position(
     ``order_by`` should identify a row within its series, or equal rows are
     numbered in no particular order.
     """
-    by = [ref(k) for k in keys]
     order = [ref(c) for c in order_by]
     if bits is None and largest_series(df, keys) <= 2**target_bits:
-        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        place = F.row_number().over(Window.partitionBy(*[ref(k) for k in keys]).orderBy(*order))
         return df.withColumn(name, place.cast("bigint") - 1 + start)
     chunked = with_chunk(df, order_by[0], keys, bits, target_bits)
-    sizes = chunked.groupBy(*by, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(*by, CHUNK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*by, CHUNK).orderBy(*order)
+    sizes = chunked.groupBy(PACKED, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(PACKED).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(PACKED, CHUNK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(PACKED, CHUNK).orderBy(*order)
     numbered = chunked.withColumn("_inside", F.row_number().over(inside))
-    return numbered.join(before, [*keys, CHUNK]).select(
+    return numbered.join(before, [PACKED, CHUNK]).select(
         *[ref(c) for c in df.columns], (F.col("_before") + F.col("_inside") - 1 + start).alias(name)
     )
 
@@ -152,7 +150,7 @@ def with_neighbours(
     return spread.where(F.col(CHUNK) == home).drop(CHUNK)
 
 
-def _folded(pieces: DataFrame, by: Sequence[Column], group: str) -> DataFrame:
+def _folded(pieces: DataFrame, by: Sequence[str], group: str) -> DataFrame:
     return pieces.groupBy(*by, group).agg(
         F.max("value").alias("value"),
         F.sum("length").alias("length"),
@@ -177,11 +175,10 @@ def value_runs(
     go on in the next one, so only those are stitched.
     """
     value = ref(col) if isinstance(col, str) else col
-    by = [ref(k) for k in keys]
-    wanted = [*by, "value", "length", "start", "end"]
     short = bits is None and largest_series(df, keys) <= 2**target_bits
-    chunked = df if short else with_chunk(df, order_by, keys, bits, target_bits)
-    part = by if short else [*by, F.col(CHUNK)]
+    chunked = packed(df, keys) if short else with_chunk(df, order_by, keys, bits, target_bits)
+    part = [PACKED] if short else [PACKED, CHUNK]
+    wanted = [*unpacked(keys), "value", "length", "start", "end"]
     rows = chunked.select(
         *part, value.alias("value"), F.lit(1).cast("bigint").alias("length"), ref(order_by).alias("start"), ref(order_by).alias("end")
     )
@@ -194,7 +191,7 @@ def value_runs(
     pieces = pieces.withColumn("_last", F.max("_run").over(Window.partitionBy(*part)))
     at_edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_last"))
     inner = pieces.where(~at_edge)
-    along = Window.partitionBy(*by).orderBy(CHUNK, "_run")
+    along = Window.partitionBy(PACKED).orderBy(CHUNK, "_run")
     goes_on = F.coalesce(
         (F.col("value") == F.lag("value").over(along)) & (F.col(CHUNK) != F.lag(CHUNK).over(along)), F.lit(False)
     )
@@ -203,5 +200,5 @@ def value_runs(
         .withColumn("_new", F.when(goes_on, 0).otherwise(1))
         .withColumn("_group", F.sum("_new").over(along))
     )
-    stitched = _folded(edges, by, "_group")
+    stitched = _folded(edges, [PACKED], "_group")
     return inner.select(*wanted).unionByName(stitched.select(*wanted)).where(F.col("length") >= min_len)

@@ -7,7 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.functions.numbers import clean, is_fractional, is_missing, is_numeric, order_bits, ref
+from hearthline.functions.numbers import (
+    PACKED,
+    clean,
+    is_missing,
+    is_numeric,
+    order_bits,
+    packed,
+    ref,
+    unpacked,
+)
 from hearthline.operators.columns import numeric_columns
 from hearthline.session import broadcast_if_small, materialize
 
@@ -69,7 +78,7 @@ MID_SHIFT = 20
 ONE_TASK_ROWS = 2_000_000
 
 
-def _holding(counted: DataFrame, by: Sequence[Column | str], bucket: str) -> DataFrame:
+def _holding(counted: DataFrame, by: Sequence[str], bucket: str) -> DataFrame:
     """Buckets that hold one of ``ranks``; ranks become relative to the bucket."""
     upto = Window.partitionBy(*by).orderBy(bucket)
     inside = counted.withColumn("_from", F.sum("n").over(upto) - F.col("n"))
@@ -91,35 +100,35 @@ def quantiles(
 
     Counts the rows first; a parquet scan answers that from its footers.
     """
-    group = [*keys, "column"]
-    by = [ref(g) for g in group]
-    values = _long(df, cols, keys)
+    values = packed(_long(df, cols, keys), keys).select(PACKED, "column", "value")
+    group = [PACKED, "column"]
+    out = [*unpacked(keys), F.col("column")]
+    listed = F.array(*[F.lit(float(q)) for q in qs])
     if df.count() <= one_task_rows:
-        found = values.groupBy(*by).agg(F.percentile("value", F.array(*[F.lit(float(q)) for q in qs])).alias("_q"))
-        named = F.arrays_zip(F.array(*[F.lit(float(q)) for q in qs]).alias("q"), F.col("_q").alias("quantile"))
-        return found.select(*by, F.explode(named).alias("_z")).select(*by, "_z.q", "_z.quantile")
+        found = values.groupBy(*group).agg(F.percentile("value", listed).alias("_q"))
+        pairs = F.arrays_zip(listed.alias("q"), F.col("_q").alias("quantile"))
+        return found.select(*group, F.explode(pairs).alias("_z")).select(*out, "_z.q", "_z.quantile")
     values = values.withColumn("_o", order_bits(F.col("value"))).select(
-        *by,
+        *group,
         "value",
         F.shiftright("_o", LEAD_SHIFT).alias("_b1"),
         F.shiftright("_o", MID_SHIFT).alias("_b2"),
     )
 
-    lead = values.groupBy(*by, "_b1").agg(F.count(F.lit(1)).alias("n"))
-    lead = lead.withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
+    lead = values.groupBy(*group, "_b1").agg(F.count(F.lit(1)).alias("n"))
+    lead = lead.withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
     places = [F.lit(float(q)) * (F.col("total") - 1) for q in qs]
     wanted = F.array_distinct(F.array(*[end(p) for p in places for end in (F.floor, F.ceil)]))
     lead = lead.withColumn("ranks", F.transform(wanted, lambda r: F.struct(r.alias("rank"), r.alias("at"))))
-    first = _holding(lead, by, "_b1")
-    first = _probe_side(first, bool(keys))
+    first = _probe_side(_holding(lead, group, "_b1"), bool(keys))
     found = _narrow(values, first, group, "_b1", "_b2")
-    second = _probe_side(_holding(found, [*by, "_b1"], "_b2").drop("_b1"), bool(keys))
+    second = _probe_side(_holding(found, [*group, "_b1"], "_b2").drop("_b1"), bool(keys))
     found = _narrow(values, second, group, "_b2", "value")
-    last = _holding(found, [*by, "_b2"], "value")
+    last = _holding(found, [*group, "_b2"], "value")
 
     at_rank = (
-        last.select(*by, "total", "value", F.explode("ranks").alias("_r"))
-        .groupBy(*by, "total")
+        last.select(*group, "total", "value", F.explode("ranks").alias("_r"))
+        .groupBy(*group, "total")
         .agg(F.map_from_entries(F.collect_list(F.struct(F.col("_r.rank"), F.col("value")))).alias("_at"))
     )
     place = F.col("q") * (F.col("total") - 1)
@@ -127,9 +136,7 @@ def quantiles(
     part = place - F.floor(place)
     # At a whole rank no neighbour is involved, so infinities stay what they are.
     between = F.when((part == 0.0) | (low == high), low).otherwise(low * (1.0 - part) + high * part)
-    return at_rank.select(
-        *by, "total", "_at", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")
-    ).select(*by, "q", between.alias("quantile"))
+    return at_rank.select(*group, "total", "_at", F.explode(listed).alias("q")).select(*out, "q", between.alias("quantile"))
 
 
 def _probe_side(buckets: DataFrame, keyed: bool) -> DataFrame:
@@ -139,10 +146,9 @@ def _probe_side(buckets: DataFrame, keyed: bool) -> DataFrame:
 
 
 def _narrow(values: DataFrame, buckets: DataFrame, group: Sequence[str], outer: str, inner: str) -> DataFrame:
-    by = [ref(g) for g in group]
     return (
         values.join(buckets, [*group, outer])
-        .groupBy(*by, outer, inner)
+        .groupBy(*group, outer, inner)
         .agg(F.count(F.lit(1)).alias("n"), F.any_value("ranks").alias("ranks"), F.any_value("total").alias("total"))
     )
 
@@ -261,8 +267,8 @@ def iqr_outliers(df: DataFrame, col: str, k: float = 1.5, keys: Sequence[str] =
     value = clean(df, col)
     outside = (value < F.col("lower")) | (value > F.col("upper"))
     if keys:
-        limits = broadcast_if_small(materialize(bounds)).select(*[ref(x) for x in keys], "lower", "upper")
-        return df.join(limits, list(keys)).where(outside)
+        limits = materialize(packed(bounds, keys).select(PACKED, "lower", "upper"))
+        return packed(df, keys).join(broadcast_if_small(limits), PACKED).where(outside).drop(PACKED)
     limits = bounds.select(F.struct("lower", "upper")).scalar()
     return df.withColumn("_b", limits).withColumns({"lower": F.col("_b.lower"), "upper": F.col("_b.upper")}).drop(
         "_b"

@@ -19,7 +19,7 @@ def hot(spark):
     rng = random.Random(7)
     data = []
     for i in range(4000):
-        key = "hot" if rng.random() < 0.5 else f"k{rng.randrange(20)}"
+        key = "hot" if rng.random() < 0.5 else rng.choice([None, *(f"k{j}" for j in range(20))])
         value = rng.choice([0.0, 1.0, 1.0, 1.0, None, rng.random() * 1e3, -rng.random()])
         data.append((key, i * 3 + rng.randrange(3), value))
     pdf = pd.DataFrame(data, columns=["k", "o", "v"])
@@ -48,7 +48,7 @@ def test_positions(hot, form):
     df, pdf = hot
     got = position.with_position(df, ["o"], keys=["k"], **form).toPandas().sort_values(["k", "o"])
     want = pdf.sort_values(["k", "o"])
-    want["timestep"] = want.groupby("k").cumcount()
+    want["timestep"] = want.groupby("k", dropna=False).cumcount()
     assert list(got["timestep"]) == list(want["timestep"])
     one = position.with_position(df, ["o"], **form).toPandas().sort_values("o")
     assert list(one["timestep"]) == list(range(len(pdf)))
@@ -56,7 +56,7 @@ def test_positions(hot, form):
 
 def brute_runs(pdf):
     out = []
-    for k, part in pdf.sort_values(["k", "o"]).groupby("k"):
+    for k, part in pdf.sort_values(["k", "o"]).groupby(pdf["k"].fillna("none")):
         last = None
         for o, v in zip(part["o"], part["v"]):
             if last is not None and v == last[1]:
@@ -65,14 +65,14 @@ def brute_runs(pdf):
             else:
                 last = [k, v, 1, o, o]
                 out.append(last)
-    return sorted(tuple(r) for r in out if r[2] >= 2)
+    return sorted(tuple(r) for r in out if r[2] >= 2)  # the missing key shows as "none"
 
 
 @pytest.mark.parametrize("form", FORMS)
 def test_runs(hot, form):
     df, pdf = hot
     got = position.value_runs(df, "v", "o", keys=["k"], min_len=2, **form)
-    assert sorted(tuple(r) for r in got.collect()) == brute_runs(pdf)
+    assert sorted((r[0] or "none", *r[1:]) for r in got.collect()) == brute_runs(pdf)
 
 
 def test_run_over_many_chunks(spark):
@@ -122,10 +122,10 @@ def test_quantiles(hot, one_task_rows):
     qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
     got = stats.quantiles(df, ["v", "o"], qs, keys=["k"], one_task_rows=one_task_rows).collect()
     found = {(r["k"], r["column"], r["q"]): r["quantile"] for r in got}
-    for k, part in pdf.groupby("k"):
+    for k, part in pdf.groupby(pdf["k"].fillna("none")):
         for c in ("v", "o"):
             for q in qs:
-                assert found[k, c, q] == pytest.approx(part[c].quantile(q), abs=1e-9)
+                assert found[None if k == "none" else k, c, q] == pytest.approx(part[c].quantile(q), abs=1e-9)
     whole = stats.quantiles(df, ["v"], qs, one_task_rows=one_task_rows).collect()
     assert {r["q"]: r["quantile"] for r in whole} == pytest.approx({q: pdf["v"].quantile(q) for q in qs})
 
