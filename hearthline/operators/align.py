@@ -55,32 +55,40 @@ def full_outer(left: DataFrame, right: DataFrame, on: Sequence[str], suffixes: t
 
 
 def assemble(
-    observations: DataFrame,
-    actions: DataFrame,
+    observations: DataFrame | None,
+    actions: DataFrame | Sequence[DataFrame | None],
     on: str = "timestep",
     keys: Sequence[str] = (),
     align: str = "reference",
-) -> DataFrame:
+) -> DataFrame | None:
     """Observations against actions with the row for the moment before any action.
 
     ``align="reference"`` adds an empty action row at 0 and leaves the other
     action keys alone, so key 0 occurs twice. ``align="shift"`` moves every
     action one step on, which makes an observation meet the action before it.
-    Both sides must have unique keys. One exchange in either mode.
+    All series must have unique keys. One exchange for any number of series;
+    None without any action series.
     """
     by = [*keys, on]
+    moves = [d for d in ([actions] if isinstance(actions, DataFrame) else actions) if d is not None]
+    if not moves:
+        return None
     if align == "shift":
-        actions = actions.withColumn(on, ref(on) + 1)
-        return align_series([observations, actions], by)
-    both = align_series([observations, actions], by, flags=["_has_obs", "_has_action"])
-    action_cols = [c for c in actions.columns if c not in by]
-    twice = F.when(ref(on) == 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
-    # Key 0 belongs to the empty row alone when no real action has it.
-    twice = F.when((ref(on) == 0) & ~F.col("_has_action"), F.array(F.lit(True))).otherwise(twice)
-    spread = both.withColumn("_empty", F.explode(twice))
+        return align_series([observations, *[d.withColumn(on, ref(on) + 1) for d in moves]], by)
+    flags = ["_has_obs", *[f"_has_{i}" for i in range(len(moves))]]
+    both = align_series([observations, *moves], by, flags=flags)
+    acted = reduce(lambda a, b: a | b, [F.col(f) for f in flags[1:]])
+    action_cols = {c for d in moves for c in d.columns} - set(by)
+    # Key 0 gets the empty row, and its own row if some action has that key.
+    kinds = F.when(ref(on) != 0, F.array(F.lit(False))).when(acted, F.array(F.lit(False), F.lit(True)))
+    spread = both.withColumn("_empty", F.explode(kinds.otherwise(F.array(F.lit(True)))))
     return spread.select(
-        *[F.when(~F.col("_empty"), ref(c)).alias(c) if c in action_cols else ref(c) for c in both.columns]
-    ).drop("_has_obs", "_has_action")
+        *[
+            F.when(~F.col("_empty"), ref(c)).alias(c) if c in action_cols else ref(c)
+            for c in both.columns
+            if c not in flags
+        ]
+    )
 
 
 def assemble_by_join(observations: DataFrame, actions: DataFrame, on: str = "timestep") -> DataFrame:

@@ -67,12 +67,13 @@ def column_range(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 # --- exact quantiles --------------------------------------------------------
 #
-# ``percentile`` keeps the distinct values of a group in one task, so it serves
-# tables of a checked size. For larger ones a value's order-preserving integer is read in three parts. Counting rows per
-# leading part tells which bucket holds a wanted rank; only those buckets are
-# counted again by the middle part, and only what is left is counted by value.
-# Every pass is a plain hash aggregate, so no task ever holds a whole group.
-#
+# In a table of a counted size the distinct values of a group are ranked
+# directly. In a larger one a value's order-preserving integer is read in three
+# parts: counting rows per leading part tells which bucket holds a wanted rank,
+# only those buckets are counted again by the middle part, and only what is left
+# is ranked by value. Every pass is a plain hash aggregate folded in the map
+# tasks, and no task ranks more than about 2**20 values of a group.
+
 LEAD_SHIFT = 40
 MID_SHIFT = 20
 ONE_TASK_ROWS = 2_000_000
@@ -104,27 +105,29 @@ def quantiles(
     group = [PACKED, "column"]
     out = [*unpacked(keys), F.col("column")]
     listed = F.array(*[F.lit(float(q)) for q in qs])
-    if df.count() <= one_task_rows:
-        found = values.groupBy(*group).agg(F.percentile("value", listed).alias("_q"))
-        pairs = F.arrays_zip(listed.alias("q"), F.col("_q").alias("quantile"))
-        return found.select(*group, F.explode(pairs).alias("_z")).select(*out, "_z.q", "_z.quantile")
-    values = values.withColumn("_o", order_bits(F.col("value"))).select(
-        *group,
-        "value",
-        F.shiftright("_o", LEAD_SHIFT).alias("_b1"),
-        F.shiftright("_o", MID_SHIFT).alias("_b2"),
-    )
 
-    lead = values.groupBy(*group, "_b1").agg(F.count(F.lit(1)).alias("n"))
-    lead = lead.withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
-    places = [F.lit(float(q)) * (F.col("total") - 1) for q in qs]
-    wanted = F.array_distinct(F.array(*[end(p) for p in places for end in (F.floor, F.ceil)]))
-    lead = lead.withColumn("ranks", F.transform(wanted, lambda r: F.struct(r.alias("rank"), r.alias("at"))))
-    first = _probe_side(_holding(lead, group, "_b1"), bool(keys))
-    found = _narrow(values, first, group, "_b1", "_b2")
-    second = _probe_side(_holding(found, [*group, "_b1"], "_b2").drop("_b1"), bool(keys))
-    found = _narrow(values, second, group, "_b2", "value")
-    last = _holding(found, [*group, "_b2"], "value")
+    def ranked(counted: DataFrame) -> DataFrame:
+        """Rows per bucket, with the group's total and the ranks to find."""
+        places = [F.lit(float(q)) * (F.col("total") - 1) for q in qs]
+        wanted = F.array_distinct(F.array(*[end(p) for p in places for end in (F.floor, F.ceil)]))
+        return counted.withColumn("total", F.sum("n").over(Window.partitionBy(*group))).withColumn(
+            "ranks", F.transform(wanted, lambda r: F.struct(r.alias("rank"), r.alias("at")))
+        )
+
+    rows = F.count(F.lit(1)).alias("n")
+    if df.count() <= one_task_rows:
+        last = _holding(ranked(values.groupBy(*group, "value").agg(rows)), group, "value")
+    else:
+        values = values.withColumn("_o", order_bits(F.col("value"))).select(
+            *group,
+            "value",
+            F.shiftright("_o", LEAD_SHIFT).alias("_b1"),
+            F.shiftright("_o", MID_SHIFT).alias("_b2"),
+        )
+        lead = ranked(values.groupBy(*group, "_b1").agg(rows))
+        middle = _narrow(values, _holding(lead, group, "_b1"), group, "_b1", "_b2")
+        exact = _narrow(values, _holding(middle, [*group, "_b1"], "_b2").drop("_b1"), group, "_b2", "value")
+        last = _holding(exact, [*group, "_b2"], "value")
 
     at_rank = (
         last.select(*group, "total", "value", F.explode("ranks").alias("_r"))
@@ -139,18 +142,19 @@ def quantiles(
     return at_rank.select(*group, "total", "_at", F.explode(listed).alias("q")).select(*out, "q", between.alias("quantile"))
 
 
-def _probe_side(buckets: DataFrame, keyed: bool) -> DataFrame:
-    """Without keys there are at most two buckets per column and quantile, so a
-    broadcast is safe; with keys the number of buckets is counted first."""
-    return broadcast_if_small(materialize(buckets)) if keyed else F.broadcast(buckets)
-
-
 def _narrow(values: DataFrame, buckets: DataFrame, group: Sequence[str], outer: str, inner: str) -> DataFrame:
-    return (
-        values.join(buckets, [*group, outer])
+    """Rows per ``inner`` value within the given ``outer`` buckets.
+
+    The buckets, a few per group and quantile, are written once; they are
+    broadcast if their number allows.
+    """
+    known = broadcast_if_small(materialize(buckets))
+    counted = (
+        values.join(known.select(*group, outer), [*group, outer])
         .groupBy(*group, outer, inner)
-        .agg(F.count(F.lit(1)).alias("n"), F.any_value("ranks").alias("ranks"), F.any_value("total").alias("total"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    return counted.join(known, [*group, outer])
 
 
 def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -80,13 +80,9 @@ def combine(
             df = df.withColumnsRenamed({c: f"{c}_{name}" for c in df.columns if c in taken and c not in by})
             taken |= set(df.columns)
         parts.append(df)
-    moves = align_series(parts, by)
-    if moves is None:
+    combined = assemble(observations, parts, POSITION, keys, align)
+    if combined is None:
         return None
-    if observations is None:
-        combined = assemble(moves.select(*[ref(b) for b in by]).where(ref(POSITION) == 0), moves, POSITION, keys, align)
-    else:
-        combined = assemble(observations, moves, POSITION, keys, align)
     chosen = select_training_columns(combined, zone, general=(*keys, *TRAINING_GENERAL_COLUMNS))
     return add_date(chosen, year)
 

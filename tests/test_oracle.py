@@ -11,7 +11,9 @@ from bindings import ORACLE, QUERIES  # noqa: E402
 from tools.check_oracle import compare, connect  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+pytestmark = pytest.mark.skipif(
+    not os.path.isdir(SF) or os.environ.get("HEARTHLINE_FAST") == "1", reason="no tables, or a fast run"
+)
 
 
 @pytest.fixture(scope="module")
