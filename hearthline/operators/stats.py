@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,15 +80,32 @@ MID_SHIFT = 20
 ONE_TASK_ROWS = 2_000_000
 
 
-def _holding(counted: DataFrame, by: Sequence[str], bucket: str) -> DataFrame:
+def _from(counted: DataFrame, by: Sequence[str], bucket: str) -> DataFrame:
+    """Add the rank of each bucket's first row."""
+    upto = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counted.withColumn("_from", F.sum("n").over(upto) - F.col("n"))
+
+
+def _holding(placed: DataFrame) -> DataFrame:
     """Buckets that hold one of ``ranks``; ranks become relative to the bucket."""
-    upto = Window.partitionBy(*by).orderBy(bucket)
-    inside = counted.withColumn("_from", F.sum("n").over(upto) - F.col("n"))
     kept = F.transform(
         F.filter("ranks", lambda r: (r["at"] >= F.col("_from")) & (r["at"] < F.col("_from") + F.col("n"))),
         lambda r: F.struct(r["rank"].alias("rank"), (r["at"] - F.col("_from")).alias("at")),
     )
-    return inside.withColumn("ranks", kept).where(F.size("ranks") > 0).drop("_from", "n")
+    return placed.withColumn("ranks", kept).where(F.size("ranks") > 0).drop("_from", "n")
+
+
+def _holding_first(counted: DataFrame, by: Sequence[str], bucket: str, qs: Sequence[float]) -> DataFrame:
+    """The same for whole groups, whose ranks follow from ``qs`` and their size.
+
+    Plain comparisons drop most buckets before any array is built.
+    """
+    sized = counted.withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
+    places = [F.lit(float(q)) * (F.col("total") - 1) for q in qs]
+    hits = [(F.ceil(p) >= F.col("_from")) & (F.floor(p) < F.col("_from") + F.col("n")) for p in places]
+    ranks = F.array_distinct(F.array(*[end(p) for p in places for end in (F.floor, F.ceil)]))
+    near = _from(sized, by, bucket).where(reduce(lambda a, b: a | b, hits))
+    return _holding(near.withColumn("ranks", F.transform(ranks, lambda r: F.struct(r.alias("rank"), r.alias("at")))))
 
 
 def quantiles(
@@ -106,17 +124,9 @@ def quantiles(
     out = [*unpacked(keys), F.col("column")]
     listed = F.array(*[F.lit(float(q)) for q in qs])
 
-    def ranked(counted: DataFrame) -> DataFrame:
-        """Rows per bucket, with the group's total and the ranks to find."""
-        places = [F.lit(float(q)) * (F.col("total") - 1) for q in qs]
-        wanted = F.array_distinct(F.array(*[end(p) for p in places for end in (F.floor, F.ceil)]))
-        return counted.withColumn("total", F.sum("n").over(Window.partitionBy(*group))).withColumn(
-            "ranks", F.transform(wanted, lambda r: F.struct(r.alias("rank"), r.alias("at")))
-        )
-
     rows = F.count(F.lit(1)).alias("n")
     if df.count() <= one_task_rows:
-        last = _holding(ranked(values.groupBy(*group, "value").agg(rows)), group, "value")
+        last = _holding_first(values.groupBy(*group, "value").agg(rows), group, "value", qs)
     else:
         values = values.withColumn("_o", order_bits(F.col("value"))).select(
             *group,
@@ -124,10 +134,9 @@ def quantiles(
             F.shiftright("_o", LEAD_SHIFT).alias("_b1"),
             F.shiftright("_o", MID_SHIFT).alias("_b2"),
         )
-        lead = ranked(values.groupBy(*group, "_b1").agg(rows))
-        middle = _narrow(values, _holding(lead, group, "_b1"), group, "_b1", "_b2")
-        exact = _narrow(values, _holding(middle, [*group, "_b1"], "_b2").drop("_b1"), group, "_b2", "value")
-        last = _holding(exact, [*group, "_b2"], "value")
+        lead = _holding_first(values.groupBy(*group, "_b1").agg(rows), group, "_b1", qs)
+        middle = _holding(_from(_narrow(values, lead, group, "_b1", "_b2"), [*group, "_b1"], "_b2")).drop("_b1")
+        last = _holding(_from(_narrow(values, middle, group, "_b2", "value"), [*group, "_b2"], "value"))
 
     at_rank = (
         last.select(*group, "total", "value", F.explode("ranks").alias("_r"))
