@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from bindings.base import OBS_SQL, observations, query, rounded, stamp, table
-from hearthline.functions import times
-from hearthline.operators import align, columns, position
+from bindings.base import OBS_SQL, SETPOINTS_SQL, observations, query, rounded, setpoints, stamp, table
+from hearthline.functions import numbers, times
+from hearthline.operators import align, checks, columns, position
 from hearthline.plans import training
 
 
@@ -283,6 +283,60 @@ def joined(spark, sf):
     return table(spark, sf, "events").select("event_id", times.joined(*parts).alias("day"))
 
 
+@query(
+    "F1_split_fields",
+    "SELECT p_partkey, split_part(trim(' ' || p_name || ' '), ' ', 1) AS first, split_part(trim(' ' || p_name || ' '), ' ', 2) AS second FROM part",
+)
+def split_fields(spark, sf):
+    fields = F.split(F.trim(F.concat(F.lit(" "), "p_name", F.lit(" "))), " ")
+    return table(spark, sf, "part").select(
+        "p_partkey", F.get(fields, F.lit(0)).alias("first"), F.coalesce(F.get(fields, F.lit(1)), F.lit("")).alias("second")
+    )
+
+
+@query(
+    "F2_text_tests",
+    """SELECT o_orderkey, lower(o_orderpriority) AS lowered, contains(o_orderpriority, 'U') AS has_u, starts_with(o_orderpriority, '1') AS is_first,
+ ends_with(o_orderpriority, 'LOW') AS is_low, o_orderstatus IN ('F', 'O') AS is_known FROM orders""",
+)
+def text_tests(spark, sf):
+    c = F.col("o_orderpriority")
+    return table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.lower(c).alias("lowered"),
+        c.contains("U").alias("has_u"),
+        c.startswith("1").alias("is_first"),
+        c.endswith("LOW").alias("is_low"),
+        F.col("o_orderstatus").isin("F", "O").alias("is_known"),
+    )
+
+
+@query(
+    "F4_safe_number",
+    """SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE value END AS value FROM events""",
+)
+def safe_number(spark, sf):
+    text = F.when(F.col("event_id") % 9 == 0, F.concat("event_type", F.col("value").cast("string"))).otherwise(
+        F.concat(F.lit(" "), F.col("value").cast("string"))
+    )
+    return table(spark, sf, "events").select("event_id", numbers.to_double(text).alias("value"))
+
+
+@query(
+    "F8_finite_difference",
+    f"""WITH {SETPOINTS_SQL} SELECT position, CASE WHEN isfinite(heating) THEN round(abs(heating - cooling), 6) END AS gap,
+ NOT coalesce(isfinite(heating), false) OR NOT coalesce(isfinite(cooling), false) AS is_bad FROM clean""",
+)
+def finite_difference(spark, sf):
+    df = setpoints(spark, sf)
+    bad = checks.nonfinite(F.col("heating"))
+    return df.select(
+        "position",
+        F.when(~bad, F.round(F.abs(F.col("heating") - F.col("cooling")), 6)).alias("gap"),
+        (bad | checks.nonfinite(F.col("cooling"))).alias("is_bad"),
+    )
+
+
 # --- the assembled set ------------------------------------------------------
 
 TRAINING_SQL = f"""WITH {OBS_SQL},

@@ -77,7 +77,7 @@ def column_range(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 LEAD_SHIFT = 40
 MID_SHIFT = 20
-ONE_TASK_ROWS = 2_000_000
+ONE_TASK_ROWS = 200_000
 
 
 def _from(counted: DataFrame, by: Sequence[str], bucket: str) -> DataFrame:
