@@ -101,7 +101,10 @@ def order_integer(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(c)
     if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(c.cast("timestamp"))
+        # By way of an interval: a cast to a zoned time would turn the clock
+        # back where the session's zone does.
+        since = c - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return (since.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("bigint")
     if isinstance(kind, T.DateType):
         return F.unix_date(c).cast("bigint")
     if isinstance(kind, T.NumericType):

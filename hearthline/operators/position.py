@@ -126,7 +126,8 @@ def with_neighbours(
 ) -> DataFrame:
     """Window expressions that look at most ``before`` rows back and ``after`` on.
 
-    ``position`` must number the rows of a series without gaps. ``values`` maps
+    ``position`` must number the rows of a series without gaps; it is never NULL.
+    ``values`` maps
     a new column to a function of the window, for example
     ``{"d": lambda w: F.lag("x").over(w)}``; a later one may use an earlier one,
     and the reach is that of all of them together. Only the rows within reach of

@@ -68,6 +68,21 @@ def brute_runs(pdf):
     return sorted(tuple(r) for r in out if r[2] >= 2)  # the missing key shows as "none"
 
 
+def test_positions_by_local_time(spark):
+    """Clock times order as written, whatever the session's zone does in spring."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.range(600).selectExpr(
+            "id", "timestamp_ntz'2024-03-10 00:00:00' + make_dt_interval(0, 0, int(id), 0) AS ts"
+        )
+        got = position.with_position(df, ["ts"], bits=28)
+        assert got.where("id <> timestep").count() == 0
+        assert got.count() == 600
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 @pytest.mark.parametrize("form", FORMS)
 def test_runs(hot, form):
     df, pdf = hot
