@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthline.llm.packing import pack
+from hearthline.llm.pii import find_personal_data
+from hearthline.llm.secret_scan import find_secrets
+from hearthline.llm.spans import count_of, listed
 from hearthline.llm.tokencount import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +45,28 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), SEQUENCE_TOKENS)
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _span_digest(find_secrets(docs, into="found"), ("assign", "access", "hex"))
+
+
+@query("op8_personal_data")
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _span_digest(find_personal_data(docs, into="found"), ("email", "ip", "card", "phone"))
+
+
+def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts, checksum of the given kinds' spans, and all spans as text."""
+    base = F.filter(F.col("found"), lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id",
+        *(count_of(F.col("found"), kind).alias(f"n_{kind}") for kind in kinds),
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("found")).alias("spans"),
+    )
