@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthline.llm.language import fit_languages, identified
 from hearthline.llm.packing import pack
 from hearthline.llm.pii import find_personal_data
+from hearthline.llm.quality import fit_rules, judged
 from hearthline.llm.secret_scan import find_secrets
 from hearthline.llm.spans import count_of, listed
 from hearthline.llm.tokencount import count_tokens
@@ -70,3 +72,20 @@ def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("found")).alias("spans"),
     )
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of all documents, by a forest fitted on labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = fit_rules(docs, table(spark, sf_dir, "labels"))
+    return judged(docs, forest, into="judged").select("doc_id", "judged.*")
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = fit_languages(docs.where(~held_out))
+    return identified(docs, model, into="guess").select("doc_id", held_out.alias("held_out"), "guess.*")
