@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthline.llm.extraction import extracted
 from hearthline.llm.language import fit_languages, identified
 from hearthline.llm.packing import pack
 from hearthline.llm.pii import find_personal_data
@@ -89,3 +90,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     model = fit_languages(docs.where(~held_out))
     return identified(docs, model, into="guess").select("doc_id", held_out.alias("held_out"), "guess.*")
+
+
+@query("op7_main_text")
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = extracted(pages, into="text")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
