@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hearthline.llm.extraction import extracted
 from hearthline.llm.language import fit_languages, identified
+from hearthline.llm.neardup import near_classes
 from hearthline.llm.packing import pack
 from hearthline.llm.pii import find_personal_data
 from hearthline.llm.quality import fit_rules, judged
@@ -98,3 +99,9 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = extracted(pages, into="text")
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op2_near_duplicates")
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
