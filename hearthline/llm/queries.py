@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthline.llm.decontamination import leaks
 from hearthline.llm.extraction import extracted
 from hearthline.llm.language import fit_languages, identified
 from hearthline.llm.neardup import near_classes
@@ -105,3 +106,10 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op1_benchmark_leaks")
+def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a document and a benchmark item that stands in it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
