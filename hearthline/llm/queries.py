@@ -13,6 +13,7 @@ from hearthline.llm.extraction import extracted
 from hearthline.llm.language import fit_languages, identified
 from hearthline.llm.neardup import near_classes
 from hearthline.llm.packing import pack
+from hearthline.llm.passages import shared_passages
 from hearthline.llm.pii import find_personal_data
 from hearthline.llm.quality import fit_rules, judged
 from hearthline.llm.secret_scan import find_secrets
@@ -113,3 +114,9 @@ def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a document and a benchmark item that stands in it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@query("op4_shared_passages")
+def op4_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that documents share."""
+    return shared_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
