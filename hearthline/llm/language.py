@@ -128,7 +128,7 @@ def fit_languages(docs: DataFrame, per_language: int = 1024, clusters: int = 4,
 
     made = sample.groupBy("lang").applyInPandas(centroids, "lang string, vector array<float>, farthest double").toPandas()
     made = made.sort_values("lang", kind="stable")
-    vectors = np.array(made["vector"].tolist(), np.float64).reshape(len(made), -1)
+    vectors = np.array(made["vector"].tolist(), np.float64).reshape(len(made), BINS)
     return Centroids(made["lang"].tolist(), idf, vectors, made["farthest"].to_numpy(float))
 
 

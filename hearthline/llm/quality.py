@@ -152,15 +152,16 @@ def fit_rules(
 
     ``labels`` has ``doc_id`` and ``quality`` (1 good, 0 bad); other values, NULLs and
     documents without text are left out. Only the statistics of those rows come to the
-    driver, and those that fail without the forest are set aside. The threshold catches as many bad rows as can be while losing at most the
-    share ``most_good_lost`` of the good ones. Without good rows there is no forest;
+    driver, and those that fail without the forest are set aside. The threshold catches
+    as many bad rows as can be while losing at most the share ``most_good_lost`` of the
+    good ones. Without good rows there is no forest;
     without bad rows the threshold is the highest score of a good one.
     """
     picked = bounded_keys(labels.where(F.col("quality").isin(0, 1)), "doc_id", "quality", per_label)
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.col("text").isNotNull())
     found = sample.select("doc_id", "quality", count_column(F.col("text")).alias("counts")).toPandas()
     found = found.sort_values(["doc_id", "quality"]).drop_duplicates(["doc_id", "quality"])
-    counts = np.array(found["counts"].tolist(), np.int64).reshape(len(found), -1)
+    counts = np.array(found["counts"].tolist(), np.int64).reshape(len(found), len(COUNTS) + len(OTHERS))
     judged_here = ~fails(counts) if len(counts) else np.zeros(0, bool)
     good, features = found["quality"].to_numpy()[judged_here] == 1, features_of(counts[judged_here])
     if not good.any():
@@ -199,7 +200,7 @@ def judged(docs: DataFrame, forest: Forest | None, text: str = "text", into: str
 
     @F.pandas_udf(VERDICT)
     def verdict(texts: pd.Series) -> pd.DataFrame:
-        counts = np.array([statistics_of("" if t is None else t) for t in texts], np.int64).reshape(len(texts), -1)
+        counts = np.array([statistics_of("" if t is None else t) for t in texts], np.int64).reshape(len(texts), len(COUNTS) + len(OTHERS))
         failed = fails(counts)
         anomaly = forest.anomaly(features_of(counts)) if forest else np.zeros(len(texts))
         out = pd.DataFrame(counts[:, : len(COUNTS)], columns=COUNTS)
