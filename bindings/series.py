@@ -40,7 +40,7 @@ def with_position_global(spark, sf):
 def with_position_chunked(spark, sf):
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
     df = table(spark, sf, "lineitem").select("l_returnflag", *order)
-    numbered = position.with_position(df, order, keys=["l_returnflag"], bits=10)
+    numbered = position.with_position(df, order, keys=["l_returnflag"], chunk_rows=2000)
     return numbered.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "timestep")
 
 
@@ -72,7 +72,7 @@ def value_runs(spark, sf):
 )
 def value_runs_by_key(spark, sf):
     df = table(spark, sf, "events").withColumn("k", F.col("user_id") % 3)
-    return position.value_runs(df, "event_type", "event_id", keys=["k"], min_len=2, bits=6)
+    return position.value_runs(df, "event_type", "event_id", keys=["k"], min_len=2, chunk_rows=100)
 
 
 SERIES_SQL = """{n} AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS timestep, event_id AS {n}_event_id, value AS {n}_value
@@ -163,14 +163,25 @@ def compare_series_mismatch(spark, sf):
     "A13_difference_stats",
     """SELECT l_returnflag, 'l_tax' AS "column", 'different' AS status, round(avg(abs(d - t)), 6) AS mean_diff, round(max(abs(d - t)), 6) AS max_diff,
  count(*) FILTER (abs(d - t) > 0) AS n_diff
-FROM (SELECT l_returnflag, l_orderkey, l_linenumber, max(l_discount) AS d, max(l_tax) AS t FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1""",
+FROM (SELECT l_returnflag, l_discount AS d, l_tax AS t FROM lineitem) GROUP BY 1""",
 )
 def difference_stats(spark, sf):
-    keys = ["l_returnflag", "l_orderkey", "l_linenumber"]
-    lines = table(spark, sf, "lineitem").groupBy(*keys).agg(F.max("l_discount").alias("d"), F.max("l_tax").alias("t"))
-    a = lines.select(*keys, F.col("d").alias("l_tax"))
-    b = lines.select(*keys, F.col("t").alias("l_tax"))
-    return rounded(align.compare_series(a, b, keys[1:], ["l_tax"], keys=["l_returnflag"]))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
+    lines = position.with_position(table(spark, sf, "lineitem").select("l_returnflag", *order), order, keys=["l_returnflag"])
+    a = lines.select("l_returnflag", "timestep", F.col("l_discount").alias("l_tax"))
+    b = lines.select("l_returnflag", "timestep", "l_tax")
+    return rounded(align.compare_series(a, b, ["timestep"], ["l_tax"], keys=["l_returnflag"]))
+
+
+@query(
+    "J4_compare_series_repeated",
+    """SELECT 'value' AS "column", 'shape_mismatch' AS status, NULL::DOUBLE AS mean_diff, NULL::DOUBLE AS max_diff, NULL::BIGINT AS n_diff
+FROM (SELECT count(*) AS n, count(DISTINCT user_id) AS k FROM events) WHERE n <> k""",
+)
+def compare_series_repeated(spark, sf):
+    """Several rows per user against one row per user."""
+    events = table(spark, sf, "events").select("user_id", "value")
+    return align.compare_series(events, events.groupBy("user_id").agg(F.max("value").alias("value")), ["user_id"], ["value"])
 
 
 # --- columns ----------------------------------------------------------------

@@ -88,7 +88,7 @@ FROM (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS a, quantile_c
 def quantiles_by_bucket(spark, sf):
     """The form for large tables, whatever the size."""
     df = table(spark, sf, "lineitem")
-    return rounded(stats.quantiles(df, ["l_extendedprice"], [0.25, 0.75], keys=["l_returnflag"], one_task_rows=0))
+    return rounded(stats.quantiles(df, ["l_extendedprice"], [0.25, 0.75], keys=["l_returnflag"], chunk_rows=500))
 
 
 IQR_SQL = """b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)"""

@@ -1,4 +1,4 @@
-"""Numeric expressions: missing values, coercion, order-preserving integers."""
+"""Numeric expressions: missing values, coercion, grouping keys."""
 
 from __future__ import annotations
 
@@ -31,9 +31,6 @@ MISSING_TOKENS = (
     "null",
 )
 
-MANTISSA = float(2**52)
-
-
 def quoted(name: str) -> str:
     """Backtick a column name, so dots, colons and brackets are plain text."""
     return "`" + name.replace("`", "``") + "`"
@@ -69,47 +66,23 @@ def text_or_null(c: Column) -> Column:
     return F.when(~F.trim(c).isin(*MISSING_TOKENS), c)
 
 
-def to_double(c: Column) -> Column:
-    """Text to DOUBLE; blank, unreadable and NaN text become NULL, inf is kept."""
-    return F.nanvl(F.trim(c).try_cast("double"), F.lit(None).cast("double"))
+#: What counts as a number in a text: digits with an optional exponent, or infinity.
+NUMBER = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf(?:inity)?))$"
 
 
-def order_bits(c: Column) -> Column:
-    """A BIGINT that sorts like the DOUBLE ``c``.
+def to_double(c: Column) -> Column:
+    """Text to DOUBLE; blank, unreadable and NaN text become NULL, inf is kept.
 
-    Exponent and mantissa are laid out as one integer, so right shifts of it
-    are value buckets that need no minimum, maximum or sample of the data.
+    Forms that only a program's source has (``5d``, ``0x1p3``) are unreadable.
     """
-    a = F.abs(c)
-    exponent = F.greatest(F.floor(F.log2(a)), F.lit(-1022)).cast("bigint")
-    fraction = a / F.pow(F.lit(2.0), exponent.cast("double")) - 1.0
-    size = (exponent + 1023) * F.lit(2**52) + (fraction * MANTISSA).cast("bigint")
-    return (
-        F.when(c == 0.0, F.lit(0).cast("bigint"))
-        .when(c == float("inf"), F.lit(2**63 - 1))
-        .when(c == float("-inf"), F.lit(-(2**63 - 1)))
-        .otherwise(F.signum(c).cast("bigint") * size)
-    )
-
-
-def order_integer(df: DataFrame, name: str) -> Column:
-    """A BIGINT that sorts like the column, for any orderable fixed-size type."""
-    kind = df.schema[name].dataType
-    c = ref(name)
-    if isinstance(kind, T.IntegralType):
-        return c.cast("bigint")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(c)
-    if isinstance(kind, T.TimestampNTZType):
-        # By way of an interval: a cast to a zoned time would turn the clock
-        # back where the session's zone does.
-        since = c - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return (since.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("bigint")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("bigint")
-    if isinstance(kind, T.NumericType):
-        return order_bits(c.cast("double"))
-    raise TypeError(f"cannot order positions by {name}: {kind.simpleString()}")
+    text = F.trim(c.cast("string"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
+def whole(c: Column) -> Column:
+    """A value as INT if it is a whole number, else NULL; never an error."""
+    number = to_double(c)
+    return F.when(number == F.floor(number), number.try_cast("int"))
 
 
 PACKED = "_hl_key"

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hearthline.functions.numbers import whole
+
 
 def date_from_parts(month: Column, day: Column, hour: Column, year: int) -> Column:
-    """Fixed year + month + day, plus ``hour`` hours; a bad row gives NULL."""
+    """Fixed year + month + day, plus ``hour`` hours; a bad or fractional field gives NULL."""
     start = F.try_make_timestamp_ntz(
-        F.lit(year), month.cast("int"), day.cast("int"), F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)")
+        F.lit(year), whole(month), whole(day), F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)")
     )
-    return start + F.make_dt_interval(hours=hour.cast("int"))
+    return start + F.make_dt_interval(hours=whole(hour))
 
 
 def weather_time(year: Column, month: Column, day: Column, hour: Column, hour24: str = "null") -> Column:
@@ -21,11 +23,11 @@ def weather_time(year: Column, month: Column, day: Column, hour: Column, hour24:
     outcome of 0..23 parsing; ``"next_day"`` turns it into the next midnight.
     """
     zero, no_seconds = F.lit(0), F.lit(0).cast("decimal(16,6)")
-    parts = [c.cast("int") for c in (year, month, day)]
+    parts = [whole(c) for c in (year, month, day)]
     midnight = F.try_make_timestamp_ntz(*parts, zero, zero, no_seconds)
     last = 24 if hour24 == "next_day" else 23
-    whole = hour.cast("int")
-    return F.when(whole.between(0, last), midnight + F.make_dt_interval(hours=whole))
+    clock = whole(hour)
+    return F.when(clock.between(0, last), midnight + F.make_dt_interval(hours=clock))
 
 
 def hour_of_position(position: Column) -> Column:

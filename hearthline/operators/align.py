@@ -11,17 +11,22 @@ from pyspark.sql import functions as F
 from hearthline.functions.numbers import clean, ref
 from hearthline.operators.columns import leading_row
 
+SIDE = "_hl_side"
+
 
 def align_series(
     dfs: Sequence[DataFrame | None], on: Sequence[str] = ("timestep",), flags: Sequence[str] | None = None
 ) -> DataFrame | None:
     """Full outer alignment of series in which a key occurs at most once.
 
+    A key that a series repeats ends the job with an error that names it, rather
+    than mixing its rows; ``full_outer`` fans repeated keys out.
+
     The series are stacked and folded by key: one exchange for any number of
     series, where a chain of outer joins would exchange its growing result
     again for every further series. Absent inputs are passed over; none at all
     gives None. ``flags`` names a boolean per series telling whether it has
-    the key. Use ``full_outer`` where keys repeat.
+    the key. NULL keys meet each other.
     """
     kept = [(i, d) for i, d in enumerate(dfs) if d is not None]
     if not kept:
@@ -31,19 +36,23 @@ def align_series(
         return kept[0][1]
     marked = []
     for i, d in kept:
+        d = d.withColumn(SIDE, F.lit(i))
         marked.append(d.withColumn(flags[i], F.lit(True)) if flags else d)
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
     order: list[str] = []
     for d in marked:
-        order += [c for c in d.columns if c not in order and c not in on]
+        order += [c for c in d.columns if c not in order and c not in on and c != SIDE]
     clash = [c for c in order if sum(c in d.columns for d in marked) > 1]
     if clash:
         raise ValueError(f"series share the columns {clash}; rename them first")
     wanted = [c for c in order if not flags or c not in flags]
     folds = [F.any_value(ref(c), True).alias(c) for c in wanted]
+    repeats = F.greatest(*[F.count_if(F.col(SIDE) == i) for i, _ in kept], F.lit(0))
+    folds.append(F.when(repeats > 1, F.raise_error(F.concat(F.lit("repeated key: "), F.to_json(F.struct(*by))))).alias(SIDE))
     if flags:
         folds += [F.coalesce(F.max(ref(f)), F.lit(False)).alias(f) for i, f in enumerate(flags) if dfs[i] is not None]
-    return stacked.groupBy(*by).agg(*folds)
+    # The filter keeps the check alive when later steps drop its column.
+    return stacked.groupBy(*by).agg(*folds).where(F.col(SIDE).isNull()).drop(SIDE)
 
 
 def full_outer(left: DataFrame, right: DataFrame, on: Sequence[str], suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
@@ -117,21 +126,34 @@ def compare_series(
 ) -> DataFrame:
     """Per column: identical, or the mean, largest and number of differences.
 
-    Status is ``shape_mismatch`` when the lengths differ, and no differences
-    are given then. Two missing values at one place count as equal.
+    Status is ``shape_mismatch`` when the numbers of rows differ, and no
+    differences are given then. Series of one length that repeat a key cannot be
+    paired, which is an error. Two missing values at one place count as equal.
     """
     by = [*keys, *on]
-    left = a.select(*[ref(c) for c in by], *[clean(a, c).alias(f"a_{c}") for c in cols])
-    right = b.select(*[ref(c) for c in by], *[clean(b, c).alias(f"b_{c}") for c in cols])
-    both = align_series([left, right], by, flags=["_in_a", "_in_b"])
-    aggs = [F.count_if("_in_a").alias("n_a"), F.count_if("_in_b").alias("n_b")]
+    left = a.select(*[ref(c) for c in by], F.lit(True).alias(SIDE), *[clean(a, c).alias(f"a_{c}") for c in cols])
+    right = b.select(*[ref(c) for c in by], F.lit(False).alias(SIDE), *[clean(b, c).alias(f"b_{c}") for c in cols])
+    both = (
+        left.unionByName(right, allowMissingColumns=True)
+        .groupBy(*[ref(c) for c in by])
+        .agg(
+            F.count_if(SIDE).alias("_in_a"),
+            F.count_if(~F.col(SIDE)).alias("_in_b"),
+            *[F.any_value(ref(f"{side}_{c}"), True).alias(f"{side}_{c}") for side in "ab" for c in cols],
+        )
+    )
+    aggs = [
+        F.sum("_in_a").alias("n_a"),
+        F.sum("_in_b").alias("n_b"),
+        F.max(F.greatest("_in_a", "_in_b")).alias("_most"),
+    ]
     for i, c in enumerate(cols):
         x, y = ref(f"a_{c}"), ref(f"b_{c}")
         gap = F.abs(x - y)
         aggs.append(
             F.struct(
                 F.lit(c).alias("column"),
-                (F.count_if(~(x.eqNullSafe(y) & F.col("_in_a") & F.col("_in_b"))) == 0).alias("identical"),
+                (F.count_if(~(x.eqNullSafe(y) & (F.col("_in_a") == F.col("_in_b")))) == 0).alias("identical"),
                 F.avg(gap).alias("mean_diff"),
                 F.max(gap).alias("max_diff"),
                 F.count_if(gap > 0).alias("n_diff"),
@@ -139,11 +161,12 @@ def compare_series(
         )
     group = [ref(k) for k in keys]
     wide = both.groupBy(*group).agg(*aggs)
-    rows = wide.select(*group, "n_a", "n_b", F.explode(F.array(*[F.col(f"c{i}") for i in range(len(cols))])).alias("_c"))
+    rows = wide.select(*group, "n_a", "n_b", "_most", F.explode(F.array(*[F.col(f"c{i}") for i in range(len(cols))])).alias("_c"))
     comparable = F.col("n_a") == F.col("n_b")
+    repeated = F.raise_error(F.lit("series of equal length repeat a key; number their rows first"))
     return rows.select(
         *group,
         "_c.column",
-        F.when(~comparable, "shape_mismatch").when(F.col("_c.identical"), "identical").otherwise("different").alias("status"),
+        F.when(~comparable, "shape_mismatch").when(F.col("_most") > 1, repeated.cast("string")).when(F.col("_c.identical"), "identical").otherwise("different").alias("status"),
         *[F.when(comparable, F.col(f"_c.{m}")).alias(m) for m in ("mean_diff", "max_diff", "n_diff")],
     )

@@ -1,10 +1,15 @@
-"""Positions and neighbours in ordered series of any length.
+"""Positions, neighbours and runs in ordered series of any length.
 
 A series may be as long as the table, so nothing here sorts a whole series in
-one task. Series are cut into chunks of consecutive order values: a window
-works inside a chunk, and what crosses chunks is carried by one small summary
-row per chunk (positions, runs) or by repeating the rows next to a chunk border
-(neighbours).
+one task. Rows are dealt into chunks that follow each other in the order of
+series and row; a window works inside a chunk, and what crosses chunks is
+carried by one small summary row per chunk (positions), by its first and last
+run (runs), or by repeating the rows next to a border (neighbours).
+
+Where chunks begin follows from the rows alone: a row begins one if its hash
+says so, at a rate that gives chunks of ``CHUNK_ROWS`` rows on average. So a
+plan holds at every size, needs no look at the data before it runs, and gives
+the same chunks wherever Spark evaluates them again.
 """
 
 from __future__ import annotations
@@ -15,74 +20,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from hearthline.functions.numbers import PACKED, order_integer, packed, ref, unpacked
-from hearthline.session import broadcast_if_small, materialize
+from hearthline.functions.numbers import PACKED, clean, packed, ref, unpacked
 
 CHUNK = "_hl_chunk"
-TASK_ROWS_BITS = 20  # a series of up to 2**20 rows is one task's work
-WHOLE = 63
+CHUNK_ROWS = 2**18
+MOST_CHUNKS = 2**16
+_ROW = "_hl_row"
 
 
-def largest_series(df: DataFrame, keys: Sequence[str] = ()) -> int:
-    """Rows of the longest series, by one small aggregate."""
-    sizes = df.groupBy(*[ref(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+def _count_not_above(borders: Column, row: Column) -> Column:
+    """How many of the sorted ``borders`` are not above ``row``, by bisection."""
+    steps = F.array(*[F.lit(2**i) for i in range(MOST_CHUNKS.bit_length() - 1, -1, -1)])
 
+    def further(found: Column, step: Column) -> Column:
+        reached = found + step
+        inside = reached <= F.size(borders)
+        return F.when(inside & (F.get(borders, F.when(inside, reached - 1).otherwise(0)) <= row), reached).otherwise(found)
 
-def _chunk_of(value: Column, bits: Column) -> Column:
-    """Chunk number; rows without an order value come first, as in a sort."""
-    number = F.when(bits < WHOLE, F.call_function("shiftright", value, bits)).otherwise(F.lit(0).cast("bigint"))
-    return F.coalesce(number, F.lit(-(2**62)))
+    return F.when(F.size(borders) == 0, 0).otherwise(F.aggregate(steps, F.lit(0), further))
 
 
-def series_bits(df: DataFrame, order_by: str, target_bits: int = TASK_ROWS_BITS) -> DataFrame:
-    """Per long series of a ``packed`` frame, how many low bits of the order column a chunk spans.
+def with_chunk(df: DataFrame, order_by: Sequence[str], keys: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add the packed keys and the number of the row's chunk.
 
-    Starts from an even spread over the series' range and narrows the chunks of
-    those series where one still holds much more than ``2**target_bits`` rows.
-    The result has a row only for series longer than that, so at most one per
-    ``2**target_bits`` rows of input. Each round reads only key and order.
+    Chunks follow the order of keys and ``order_by``, whatever the types; NULL
+    comes first and NaN last, as in a sort. A chunk holds ``chunk_rows`` rows on
+    average; only rows that are equal in all these columns are never parted. The
+    borders, at most ``MOST_CHUNKS`` (chunks grow beyond that), are a subquery.
     """
-    value = order_integer(df, order_by)
-    limit = 2**target_bits
-    sizes = df.groupBy(PACKED).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / limit)
-    # In floating point, since the range of a BIGINT can exceed a BIGINT.
-    width = (F.col("hi").cast("double") - F.col("lo").cast("double") + 1.0) / parts
-    first = F.least(F.greatest(F.ceil(F.log2(width)), F.lit(0)), F.lit(62)).cast("int")
-    found = materialize(sizes.where(F.col("n") > limit).select(PACKED, first.alias("_bits")))
-    while True:
-        held = (
-            df.withColumn("_v", value)
-            .join(broadcast_if_small(found), PACKED)
-            .groupBy(PACKED, "_bits", _chunk_of(F.col("_v"), F.col("_bits")).alias(CHUNK))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .groupBy(PACKED, "_bits")
-            .agg(F.max("n").alias("n"))
-        )
-        crowded = (F.col("n") > 4 * limit) & (F.col("_bits") > 0)
-        narrowed = F.when(crowded, F.greatest(F.col("_bits") - 4, F.lit(0))).otherwise(F.col("_bits"))
-        checked = materialize(held.select(PACKED, narrowed.alias("_bits"), crowded.alias("_again")))
-        found = checked.select(PACKED, "_bits")
-        if not checked.where("_again").count():
-            return found
-
-
-def with_chunk(
-    df: DataFrame, order_by: str, keys: Sequence[str] = (), bits: int | None = None, target_bits: int = TASK_ROWS_BITS
-) -> DataFrame:
-    """Add the packed keys and the chunk: consecutive order values of a series.
-
-    A short series is a single chunk. ``bits`` fixes the chunk width instead.
-    """
-    value = order_integer(df, order_by)
-    keyed = packed(df, keys)
-    if bits is not None:
-        return keyed.withColumn(CHUNK, _chunk_of(value, F.lit(bits)))
-    long_ones = broadcast_if_small(series_bits(keyed, order_by, target_bits))
-    chunked = keyed.withColumn("_v", value).join(long_ones, PACKED, "left")
-    width = F.coalesce("_bits", F.lit(WHOLE))
-    return chunked.select(*[ref(c) for c in df.columns], PACKED, _chunk_of(F.col("_v"), width).alias(CHUNK))
+    named = [*keys, *order_by]
+    row = F.struct(*[ref(c).alias(f"c{i}") for i, c in enumerate(named)])
+    rows = df.select(row.alias(_ROW))
+    rate = F.greatest(F.lit(chunk_rows), F.ceil(F.count(F.lit(1)) / MOST_CHUNKS)).cast("bigint")
+    rate = rows.agg(F.when(F.count(F.lit(1)) > chunk_rows, rate).alias("rate"))
+    begins = F.pmod(F.xxhash64(_ROW), rate.scalar()) == 0
+    borders = rows.where(begins).agg(F.slice(F.array_sort(F.collect_set(_ROW)), 1, MOST_CHUNKS).alias("borders"))
+    number = _count_not_above(F.col("_hl_borders"), F.col(_ROW))
+    spread = packed(df, keys).withColumn(_ROW, row).withColumn("_hl_borders", borders.scalar())
+    return spread.withColumn(CHUNK, number).drop(_ROW, "_hl_borders")
 
 
 def with_position(
@@ -91,24 +66,19 @@ def with_position(
     keys: Sequence[str] = (),
     name: str = "timestep",
     start: int = 0,
-    bits: int | None = None,
-    target_bits: int = TASK_ROWS_BITS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Number the rows of each series 0, 1, 2, ... in the given order.
 
-    One exchange of the rows, on the keys and, for long series, the chunk.
-    ``order_by`` should identify a row within its series, or equal rows are
-    numbered in no particular order.
+    One exchange of the rows, on the keys and the chunk; one row per chunk is
+    summed up over a series. ``order_by`` should identify a row within its
+    series, or equal rows are numbered in no particular order.
     """
-    order = [ref(c) for c in order_by]
-    if bits is None and largest_series(df, keys) <= 2**target_bits:
-        place = F.row_number().over(Window.partitionBy(*[ref(k) for k in keys]).orderBy(*order))
-        return df.withColumn(name, place.cast("bigint") - 1 + start)
-    chunked = with_chunk(df, order_by[0], keys, bits, target_bits)
+    chunked = with_chunk(df, order_by, keys, chunk_rows)
     sizes = chunked.groupBy(PACKED, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(PACKED).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(PACKED, CHUNK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(PACKED, CHUNK).orderBy(*order)
+    inside = Window.partitionBy(PACKED, CHUNK).orderBy(*[ref(c) for c in order_by])
     numbered = chunked.withColumn("_inside", F.row_number().over(inside))
     return numbered.join(before, [PACKED, CHUNK]).select(
         *[ref(c) for c in df.columns], (F.col("_before") + F.col("_inside") - 1 + start).alias(name)
@@ -126,9 +96,8 @@ def with_neighbours(
 ) -> DataFrame:
     """Window expressions that look at most ``before`` rows back and ``after`` on.
 
-    ``position`` must number the rows of a series without gaps; it is never NULL.
-    ``values`` maps
-    a new column to a function of the window, for example
+    Rows are neighbours in the order of ``position``, which need not be without
+    gaps; rows that have none come first. ``values`` maps a new column to a function of the window, for example
     ``{"d": lambda w: F.lag("x").over(w)}``; a later one may use an earlier one,
     and the reach is that of all of them together. Only the rows within reach of
     a chunk border are sent twice, so long series stay split.
@@ -136,7 +105,8 @@ def with_neighbours(
     width = 2**bits
     if max(before, after) >= width:
         raise ValueError("the reach must be smaller than a chunk")
-    p = ref(position)
+    spread = with_position(df, [position], keys, _ROW)
+    p = F.col(_ROW)
     home = F.shiftright(p, bits)
     offset = p - F.shiftleft(home, bits)
     targets = [home]
@@ -144,11 +114,11 @@ def with_neighbours(
         targets.append(F.when(offset >= width - before, home + 1))
     if after:
         targets.append(F.when(offset < after, home - 1))
-    spread = df.withColumn(CHUNK, F.explode(F.array_compact(F.array(*targets))))
+    spread = spread.withColumn(CHUNK, F.explode(F.array_compact(F.array(*targets))))
     w = Window.partitionBy(*[ref(k) for k in keys], CHUNK).orderBy(p)
     for name, make in values.items():
         spread = spread.withColumn(name, make(w))
-    return spread.where(F.col(CHUNK) == home).drop(CHUNK)
+    return spread.where(F.col(CHUNK) == home).drop(CHUNK, _ROW)
 
 
 def _folded(pieces: DataFrame, by: Sequence[str], group: str) -> DataFrame:
@@ -166,29 +136,30 @@ def value_runs(
     order_by: str,
     keys: Sequence[str] = (),
     min_len: int = 1,
-    bits: int | None = None,
-    target_bits: int = TASK_ROWS_BITS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Runs of equal consecutive values: keys, value, length, start, end.
 
-    A missing value equals nothing, so it is a run of its own. Runs of long
-    series are found inside chunks; only the first and last run of a chunk can
-    go on in the next one, so only those are stitched.
+    A missing value (NULL or NaN) equals nothing, so it is a run of its own.
+    Runs are found inside chunks; only the first and last run of a chunk can go
+    on in the next one, so only those are stitched.
     """
-    value = ref(col) if isinstance(col, str) else col
-    short = bits is None and largest_series(df, keys) <= 2**target_bits
-    chunked = packed(df, keys) if short else with_chunk(df, order_by, keys, bits, target_bits)
-    part = [PACKED] if short else [PACKED, CHUNK]
+    value = clean(df, col) if isinstance(col, str) else col
+    chunked = with_chunk(df.withColumn("_hl_value", value), [order_by], keys, chunk_rows)
+    part = [PACKED, CHUNK]
     wanted = [*unpacked(keys), "value", "length", "start", "end"]
     rows = chunked.select(
-        *part, value.alias("value"), F.lit(1).cast("bigint").alias("length"), ref(order_by).alias("start"), ref(order_by).alias("end")
+        *part,
+        clean(chunked, "_hl_value").alias("value"),
+        F.lit(1).cast("bigint").alias("length"),
+        ref(order_by).alias("start"),
+        ref(order_by).alias("end"),
     )
     inside = Window.partitionBy(*part).orderBy("start")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)  # rows of one place stay apart
     same = F.coalesce(F.col("value") == F.lag("value").over(inside), F.lit(False))
-    numbered = rows.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(inside))
+    numbered = rows.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(upto))
     pieces = _folded(numbered, part, "_run")
-    if short:
-        return pieces.select(*wanted).where(F.col("length") >= min_len)
     pieces = pieces.withColumn("_last", F.max("_run").over(Window.partitionBy(*part)))
     at_edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_last"))
     inner = pieces.where(~at_edge)

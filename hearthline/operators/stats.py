@@ -13,13 +13,12 @@ from hearthline.functions.numbers import (
     clean,
     is_missing,
     is_numeric,
-    order_bits,
     packed,
+    quoted,
     ref,
-    unpacked,
 )
 from hearthline.operators.columns import numeric_columns
-from hearthline.session import broadcast_if_small, materialize
+from hearthline.operators.position import CHUNK, CHUNK_ROWS, with_chunk
 
 
 def _long(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -66,104 +65,51 @@ def column_range(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _rows_per_column(df.agg(*aggs), cells)
 
 
-# --- exact quantiles --------------------------------------------------------
-#
-# In a table of a counted size the distinct values of a group are ranked
-# directly. In a larger one a value's order-preserving integer is read in three
-# parts: counting rows per leading part tells which bucket holds a wanted rank,
-# only those buckets are counted again by the middle part, and only what is left
-# is ranked by value. Every pass is a plain hash aggregate folded in the map
-# tasks, and no task ranks more than about 2**20 values of a group.
-
-LEAD_SHIFT = 40
-MID_SHIFT = 20
-ONE_TASK_ROWS = 200_000
-
-
-def _from(counted: DataFrame, by: Sequence[str], bucket: str) -> DataFrame:
-    """Add the rank of each bucket's first row."""
-    upto = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counted.withColumn("_from", F.sum("n").over(upto) - F.col("n"))
-
-
-def _holding(placed: DataFrame) -> DataFrame:
-    """Buckets that hold one of ``ranks``; ranks become relative to the bucket."""
-    kept = F.transform(
-        F.filter("ranks", lambda r: (r["at"] >= F.col("_from")) & (r["at"] < F.col("_from") + F.col("n"))),
-        lambda r: F.struct(r["rank"].alias("rank"), (r["at"] - F.col("_from")).alias("at")),
-    )
-    return placed.withColumn("ranks", kept).where(F.size("ranks") > 0).drop("_from", "n")
-
-
-def _holding_first(counted: DataFrame, by: Sequence[str], bucket: str, qs: Sequence[float]) -> DataFrame:
-    """The same for whole groups, whose ranks follow from ``qs`` and their size.
-
-    Plain comparisons drop most buckets before any array is built.
-    """
-    sized = counted.withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
-    places = [F.lit(float(q)) * (F.col("total") - 1) for q in qs]
-    hits = [(F.ceil(p) >= F.col("_from")) & (F.floor(p) < F.col("_from") + F.col("n")) for p in places]
-    ranks = F.array_distinct(F.array(*[end(p) for p in places for end in (F.floor, F.ceil)]))
-    near = _from(sized, by, bucket).where(reduce(lambda a, b: a | b, hits))
-    return _holding(near.withColumn("ranks", F.transform(ranks, lambda r: F.struct(r.alias("rank"), r.alias("at")))))
-
-
 def quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    qs: Sequence[float],
-    keys: Sequence[str] = (),
-    one_task_rows: int = ONE_TASK_ROWS,
+    df: DataFrame, cols: Sequence[str], qs: Sequence[float], keys: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: keys, column, q, quantile.
 
-    Counts the rows first; a parquet scan answers that from its footers.
+    Values are dealt into chunks that follow each other (see ``with_chunk``).
+    Rows are counted per chunk in the map tasks, which tells the few chunks per
+    group that hold a wanted rank; only their values are counted and ranked. No
+    task ranks more than a chunk's distinct values.
     """
-    values = packed(_long(df, cols, keys), keys).select(PACKED, "column", "value")
-    group = [PACKED, "column"]
-    out = [*unpacked(keys), F.col("column")]
-    listed = F.array(*[F.lit(float(q)) for q in qs])
-
+    values = packed(_long(df, cols, keys), keys).select(F.struct(F.col(PACKED).alias("keys"), "column").alias("_group"), "value")
+    chunked = with_chunk(values, ["value"], ["_group"], chunk_rows).select("_group", "value", CHUNK)
     rows = F.count(F.lit(1)).alias("n")
-    if df.count() <= one_task_rows:
-        last = _holding_first(values.groupBy(*group, "value").agg(rows), group, "value", qs)
-    else:
-        values = values.withColumn("_o", order_bits(F.col("value"))).select(
-            *group,
-            "value",
-            F.shiftright("_o", LEAD_SHIFT).alias("_b1"),
-            F.shiftright("_o", MID_SHIFT).alias("_b2"),
-        )
-        lead = _holding_first(values.groupBy(*group, "_b1").agg(rows), group, "_b1", qs)
-        middle = _holding(_from(_narrow(values, lead, group, "_b1", "_b2"), [*group, "_b1"], "_b2")).drop("_b1")
-        last = _holding(_from(_narrow(values, middle, group, "_b2", "value"), [*group, "_b2"], "value"))
-
-    at_rank = (
-        last.select(*group, "total", "value", F.explode("ranks").alias("_r"))
-        .groupBy(*group, "total")
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.col("_r.rank"), F.col("value")))).alias("_at"))
-    )
+    sizes = chunked.groupBy("_group", CHUNK).agg(rows)
+    group = Window.partitionBy("_group")
+    placed = sizes.withColumn("total", F.sum("n").over(group)).withColumn("_from", _rank_before(["_group"], CHUNK))
+    kept = placed.where(_holds_a_rank(qs)).select("_group", CHUNK, "total", F.col("_from").alias("_before"))
+    counted = chunked.join(kept, ["_group", CHUNK]).groupBy("_group", CHUNK, "total", "_before", "value").agg(rows)
+    ranked = counted.withColumn("_from", F.col("_before") + _rank_before(["_group", CHUNK], "value")).where(_holds_a_rank(qs))
+    at_rank = ranked.groupBy("_group", "total").agg(F.sort_array(F.collect_list(F.struct("_from", "value"))).alias("_at"))
+
+    def at(place: Column) -> Column:
+        """The value of the last entry that begins at or before a rank."""
+        return F.element_at(F.filter("_at", lambda e: e["_from"] <= place), -1)["value"]
+
     place = F.col("q") * (F.col("total") - 1)
-    low, high = F.element_at("_at", F.floor(place)), F.element_at("_at", F.ceil(place))
+    low, high = at(F.floor(place)), at(F.ceil(place))
     part = place - F.floor(place)
     # At a whole rank no neighbour is involved, so infinities stay what they are.
     between = F.when((part == 0.0) | (low == high), low).otherwise(low * (1.0 - part) + high * part)
-    return at_rank.select(*group, "total", "_at", F.explode(listed).alias("q")).select(*out, "q", between.alias("quantile"))
+    listed = F.array(*[F.lit(float(q)) for q in qs])
+    named = [F.col(f"_group.keys.{quoted(k)}").alias(k) for k in keys]
+    return at_rank.select("*", F.explode(listed).alias("q")).select(*named, "_group.column", "q", between.alias("quantile"))
 
 
-def _narrow(values: DataFrame, buckets: DataFrame, group: Sequence[str], outer: str, inner: str) -> DataFrame:
-    """Rows per ``inner`` value within the given ``outer`` buckets.
+def _rank_before(by: Sequence[str], order: str) -> Column:
+    """Rows in the entries before this one."""
+    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.sum("n").over(upto) - F.col("n")
 
-    The buckets, a few per group and quantile, are written once; they are
-    broadcast if their number allows.
-    """
-    known = broadcast_if_small(materialize(buckets))
-    counted = (
-        values.join(known.select(*group, outer), [*group, outer])
-        .groupBy(*group, outer, inner)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return counted.join(known, [*group, outer])
+
+def _holds_a_rank(qs: Sequence[float]) -> Column:
+    """Whether one of the wanted ranks is among an entry's ``n`` rows from ``_from`` on."""
+    places = [F.lit(float(q)) * (F.col("total") - 1) for q in qs]
+    return reduce(lambda a, b: a | b, [(F.ceil(p) >= F.col("_from")) & (F.floor(p) < F.col("_from") + F.col("n")) for p in places])
 
 
 def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -280,8 +226,8 @@ def iqr_outliers(df: DataFrame, col: str, k: float = 1.5, keys: Sequence[str] =
     value = clean(df, col)
     outside = (value < F.col("lower")) | (value > F.col("upper"))
     if keys:
-        limits = materialize(packed(bounds, keys).select(PACKED, "lower", "upper"))
-        return packed(df, keys).join(broadcast_if_small(limits), PACKED).where(outside).drop(PACKED)
+        limits = packed(bounds, keys).select(PACKED, "lower", "upper")
+        return packed(df, keys).join(limits, PACKED).where(outside).drop(PACKED)
     limits = bounds.select(F.struct("lower", "upper")).scalar()
     return df.withColumn("_b", limits).withColumns({"lower": F.col("_b.lower"), "upper": F.col("_b.upper")}).drop(
         "_b"

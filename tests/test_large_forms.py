@@ -1,6 +1,5 @@
 """The forms for long series and hot keys against brute force in pandas."""
 
-import itertools
 import math
 import random
 
@@ -9,7 +8,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hearthline.functions.numbers import order_bits
 from hearthline.operators import position, stats
 
 
@@ -27,20 +25,7 @@ def hot(spark):
     return df, pdf
 
 
-def test_order_bits_is_monotone(spark):
-    rng = random.Random(1)
-    values = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, math.inf, -math.inf]
-    values += [2.0**e for e in range(-1070, 1020, 7)] + [np.nextafter(2.0**e, 0) for e in range(-1000, 1000, 7)]
-    values += [rng.uniform(-1, 1) * 10 ** rng.randrange(-300, 300) for _ in range(2000)]
-    values += [rng.uniform(20, 25) for _ in range(2000)]
-    df = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", order_bits(F.col("v")).alias("o"))
-    got = sorted((r["v"], r["o"]) for r in df.collect())
-    assert all(a[1] <= b[1] for a, b in itertools.pairwise(got))
-    ordinary = [r for r in got if 20 <= r[0] <= 25]
-    assert len({o for _, o in ordinary}) == len({v for v, _ in ordinary})
-
-
-FORMS = [{}, {"bits": 3}, {"bits": 9}, {"target_bits": 6}]
+FORMS = [{}, {"chunk_rows": 3}, {"chunk_rows": 200}]
 
 
 @pytest.mark.parametrize("form", FORMS)
@@ -76,7 +61,7 @@ def test_positions_by_local_time(spark):
         df = spark.range(600).selectExpr(
             "id", "timestamp_ntz'2024-03-10 00:00:00' + make_dt_interval(0, 0, int(id), 0) AS ts"
         )
-        got = position.with_position(df, ["ts"], bits=28)
+        got = position.with_position(df, ["ts"], chunk_rows=20)
         assert got.where("id <> timestep").count() == 0
         assert got.count() == 600
     finally:
@@ -92,21 +77,54 @@ def test_runs(hot, form):
 
 def test_run_over_many_chunks(spark):
     df = spark.range(1000).selectExpr("id AS o", "IF(id BETWEEN 100 AND 899, 1.0, id) AS v")
-    got = position.value_runs(df, "v", "o", min_len=2, bits=4).collect()
+    got = position.value_runs(df, "v", "o", min_len=2, chunk_rows=16).collect()
     assert [tuple(r) for r in got] == [(1.0, 800, 100, 899)]
 
 
-def test_chunks_adapt_to_dense_ranges(spark):
-    """One far value makes the even spread useless; short series stay whole."""
-    dense = spark.range(9000).selectExpr("'a' AS k", "id AS o").union(
-        spark.createDataFrame([("a", 10**15), ("b", 1), ("b", 10**14)], "k string, o bigint")
+def test_chunks_follow_the_rows(spark):
+    """One far value, a dense range and ties of the first column change nothing."""
+    dense = spark.range(9000).selectExpr("'a' AS k", "id AS o", "0 AS tied").union(
+        spark.createDataFrame([("a", 10**15, 0), ("b", 1, 0), ("b", 10**14, 0)], "k string, o bigint, tied int")
     )
-    chunked = position.with_chunk(dense, "o", ["k"], target_bits=8)
-    sizes = {(r["k"], r[position.CHUNK]): r["count"] for r in chunked.groupBy("k", position.CHUNK).count().collect()}
-    assert max(sizes.values()) <= 4 * 2**8
-    assert sizes["b", 0] == 2
-    assert len(sizes) < 80
-    assert position.largest_series(dense, ["k"]) == 9001
+    for order in (["o"], ["tied", "o"]):
+        chunked = position.with_chunk(dense, order, ["k"], chunk_rows=250)
+        sizes = [r["count"] for r in chunked.groupBy("k", position.CHUNK).count().collect()]
+        assert sum(sizes) == 9003 and max(sizes) <= 10 * 250 and len(sizes) < 80
+
+
+def test_any_type_orders_rows(spark):
+    rows = [(float("nan"), "z"), (None, "é"), (1.5, None), (-0.0, "a"), (float("inf"), "a"), (float("-inf"), "Z"), (2.5, "")] * 30
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "d double, s string, i int").repartition(4)
+    for order in (["d", "i"], ["s", "i"], ["s", "d", "i"]):
+        whole = df.orderBy(*order).select("i").toPandas()["i"].tolist()
+        for form in FORMS:
+            got = position.with_position(df, order, **form).toPandas().sort_values("timestep")
+            assert got["i"].tolist() == whole and got["timestep"].tolist() == list(range(len(whole)))
+    runs = position.value_runs(df.orderBy("i").limit(6), "d", "s", chunk_rows=2)
+    assert sorted(r["length"] for r in runs.collect()) == [1] * 6
+
+
+def test_nothing_runs_while_plans_are_built(spark):
+    tracker = spark.sparkContext.statusTracker()
+    df = spark.range(100).selectExpr("id % 3 AS k", "id AS o", "CAST(id AS DOUBLE) AS v")
+    spark.sparkContext.setJobGroup("planning", "")
+    position.with_position(df, ["o"], ["k"])
+    position.value_runs(df, "v", "o", ["k"])
+    position.with_neighbours(df, "o", {"d": lambda w: F.lag("v").over(w)}, ["k"], before=1)
+    stats.quantiles(df, ["v"], [0.5], ["k"])
+    stats.iqr_outliers(df, "v", keys=["k"])
+    assert not tracker.getJobIdsForGroup("planning")
+    spark.sparkContext.setJobGroup("tests", "")
+
+
+def test_neighbours_over_gaps_and_missing_positions(spark):
+    rows = [(p * 2 if p % 5 else p * 2 + 7, p) for p in range(60)] + [(None, -1)]
+    df = spark.createDataFrame(rows, "p int, x int").repartition(3)
+    for bits in (1, 3, 16):
+        got = position.with_neighbours(df, "p", {"l": lambda w: F.lag("x").over(w)}, before=1, bits=bits).collect()
+        ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0]))
+        want = {x: before for (_, x), before in zip(ordered, [None, *(x for _, x in ordered)])}
+        assert {r["x"]: r["l"] for r in got} == want
 
 
 def test_neighbours(spark):
@@ -131,25 +149,25 @@ def test_neighbours(spark):
     assert got["n"].fillna(-99).tolist() == pdf["x"].shift(-2).fillna(-99).tolist()
 
 
-@pytest.mark.parametrize("one_task_rows", [0, 10**6])
-def test_quantiles(hot, one_task_rows):
+@pytest.mark.parametrize("chunk_rows", [20, 10**6])
+def test_quantiles(hot, chunk_rows):
     df, pdf = hot
     qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = stats.quantiles(df, ["v", "o"], qs, keys=["k"], one_task_rows=one_task_rows).collect()
+    got = stats.quantiles(df, ["v", "o"], qs, keys=["k"], chunk_rows=chunk_rows).collect()
     found = {(r["k"], r["column"], r["q"]): r["quantile"] for r in got}
     for k, part in pdf.groupby(pdf["k"].fillna("none")):
         for c in ("v", "o"):
             for q in qs:
                 assert found[None if k == "none" else k, c, q] == pytest.approx(part[c].quantile(q), abs=1e-9)
-    whole = stats.quantiles(df, ["v"], qs, one_task_rows=one_task_rows).collect()
+    whole = stats.quantiles(df, ["v"], qs, chunk_rows=chunk_rows).collect()
     assert {r["q"]: r["quantile"] for r in whole} == pytest.approx({q: pdf["v"].quantile(q) for q in qs})
 
 
 def test_quantiles_with_infinities_and_extremes(spark):
     values = [-math.inf, -1.0, 0.0, 5e-324, 1.0, 1e300, math.inf, math.inf]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    for limit in (0, 10**6):
-        got = stats.quantiles(df, ["v"], [i / 7 for i in range(8)], one_task_rows=limit).orderBy("q").collect()
+    for limit in (2, 10**6):
+        got = stats.quantiles(df, ["v"], [i / 7 for i in range(8)], chunk_rows=limit).orderBy("q").collect()
         assert [r["quantile"] for r in got][:7] == values[:7]
 
 

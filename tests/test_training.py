@@ -106,3 +106,20 @@ def test_sizing_table(spark):
     derived = training.sizing_table(sizing(spark, 97, time=False), "_pos")
     got = rows(derived, "hour_of_day", "quarter_hour")
     assert len(got) == 97 and (23, 45) in got and got.count((0, 0)) == 2
+
+
+def test_repeated_keys_are_refused_or_counted(spark):
+    import pytest
+    from hearthline.operators.align import align_series, compare_series
+
+    many = spark.createDataFrame([(0, 1.0), (0, None), (1, 4.0)], "timestep int, a double")
+    one = spark.createDataFrame([(0, 1.0), (1, 4.0)], "timestep int, a double")
+    other = spark.createDataFrame([(0, 2.0)], "timestep int, b double")
+    with pytest.raises(Exception, match="repeated key"):
+        align_series([many, other]).count()
+    with pytest.raises(Exception, match="repeated key"):
+        align_series([other, many]).select("b").collect()
+    assert align_series([one, other]).count() == 2
+    assert compare_series(many, one, ["timestep"], ["a"]).first()["status"] == "shape_mismatch"
+    with pytest.raises(Exception, match="repeat a key"):
+        compare_series(many, many, ["timestep"], ["a"]).collect()
