@@ -212,7 +212,7 @@ def policy_by_situation(spark, sf):
 
 @query(
     "D15_state_prompts",
-    f"""WITH {OBS_SQL} SELECT timestep, printf('At timestep %d, the agent set cooling=%.1f°C and heating=%.1f°C with %.1f°C outdoors, %.1f°C indoors and %d occupants.',
+    f"""WITH {OBS_SQL} SELECT timestep, printf('Step %d: setpoints %.1f (cooling) and %.1f (heating); outside %.1f, inside %.1f degrees; people present: %d.',
  timestep, clg_setpoint, htg_setpoint, floor(outdoor_temperature), floor(air_temperature), people_occupant) AS prompt FROM obs""",
 )
 def state_prompts(spark, sf):

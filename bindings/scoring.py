@@ -4,13 +4,13 @@ from pyspark.sql import functions as F
 
 from bindings.base import query, rounded, table
 from hearthline.operators import plotdata, scoring
+from hearthline.presets import MIN_BLUEPRINT_CHARACTERS
 
 WORDS = ["The", "eau", "und", "zone", "esen"]
 WORDS_SQL = "['The', 'eau', 'und', 'zone', 'esen']"
 
 # Each turn as the prompt of the next one; the response repeats its prompt.
-PAIRS_SQL = """pairs AS (SELECT conv_id, turn, role, text AS prompt, text || ' ' || next AS response,
- left(next, 4) AS expected FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) WHERE next IS NOT NULL)"""
+PAIRS_SQL = """pairs AS (SELECT conv_id, turn, role, text AS prompt, text || ' ' || next AS response FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) WHERE next IS NOT NULL)"""
 
 
 def pairs(spark, sf):
@@ -22,7 +22,6 @@ def pairs(spark, sf):
         "role",
         F.col("text").alias("prompt"),
         F.concat("text", F.lit(" "), "next").alias("response"),
-        F.substring("next", 1, 4).alias("expected"),
     )
 
 
@@ -49,12 +48,23 @@ def keyword_scores_without_prompt(spark, sf):
     return out.select("conv_id", "turn", "keyword_matches")
 
 
+# Whether the next turn takes up the second word of the one before it.
+REPLIES_SQL = """replies AS (SELECT conv_id, turn, role, next AS response, split_part(text, ' ', 2) AS expected
+ FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) WHERE next IS NOT NULL)"""
+
+
+def replies(spark, sf):
+    c = table(spark, sf, "conversations")
+    ahead = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
+    return c.join(ahead, ["conv_id", "turn"]).select("conv_id", "turn", "role", "response", F.split_part("text", F.lit(" "), F.lit(2)).alias("expected"))
+
+
 @query(
     "M2_contains_expected",
-    f"WITH {PAIRS_SQL} SELECT conv_id, turn, contains(lower(response), lower(expected)) AS correct FROM pairs",
+    f"WITH {REPLIES_SQL} SELECT conv_id, turn, contains(lower(response), lower(expected)) AS correct FROM replies",
 )
 def contains_expected(spark, sf):
-    return scoring.contains_expected(pairs(spark, sf)).select("conv_id", "turn", "correct")
+    return scoring.contains_expected(replies(spark, sf)).select("conv_id", "turn", "correct")
 
 
 @query(
@@ -65,7 +75,18 @@ def long_enough(spark, sf):
     return scoring.long_enough(pairs(spark, sf)).select("conv_id", "turn", "long_enough")
 
 
-TERMS_SQL = "len(list_filter(['room', 'vav', 'cfm', 'temperature', 'supply', 'return', 'ahu'], lambda k: contains(lower(text), k)))"
+TERMS = ("thth", "eau", "keit", "ciónra", "@mail", "555-", "license")
+TERMS_SQL = f"len(list_filter({list(TERMS)}, lambda k: contains(lower(text), k)))"
+
+
+@query("M3_found_text", "SELECT doc_id, coalesce(length(text) > 200, false) AS success FROM documents")
+def found_text(spark, sf):
+    return scoring.found_text(table(spark, sf, "documents"), "text", 200).select("doc_id", "success")
+
+
+@query("M3_found_text_by_preset", "SELECT p_partkey, length(p_name) > 20 AS success FROM part")
+def found_text_by_preset(spark, sf):
+    return scoring.found_text(table(spark, sf, "part"), "p_name", MIN_BLUEPRINT_CHARACTERS).select("p_partkey", "success")
 
 
 @query(
@@ -73,20 +94,21 @@ TERMS_SQL = "len(list_filter(['room', 'vav', 'cfm', 'temperature', 'supply', 're
     f"SELECT doc_id, {TERMS_SQL} AS term_matches, {TERMS_SQL} >= 2 AS success FROM documents",
 )
 def domain_terms(spark, sf):
-    return scoring.domain_terms(table(spark, sf, "documents"), "text").select("doc_id", "term_matches", "success")
+    return scoring.domain_terms(table(spark, sf, "documents"), "text", TERMS).select("doc_id", "term_matches", "success")
 
 
 @query(
     "M5_pass_flags",
-    f"""WITH {PAIRS_SQL}, s AS (SELECT role, avg({_coverage('response')} / 5.0) >= 0.6 AS a,
- avg(CAST(contains(lower(response), lower(expected)) AS INTEGER)) >= 0.5 AS b FROM pairs GROUP BY 1)
-SELECT role, a AND b AS all_passed FROM s""",
+    f"""WITH {REPLIES_SQL}, s AS (SELECT conv_id, avg({_coverage('response')} / 5.0) >= 0.4 AS a,
+ avg(CAST(contains(lower(response), lower(expected)) AS INTEGER)) >= 0.5 AS b FROM replies GROUP BY 1)
+SELECT conv_id, a AND b AS all_passed FROM s""",
 )
 def pass_flags(spark, sf):
-    p = pairs(spark, sf)
-    covered = scoring.score_summary(scoring.keyword_scores(p, keywords=WORDS), "keyword_coverage", 0.6, keys=["role"])
-    right = scoring.score_summary(scoring.contains_expected(p), "correct", 0.5, keys=["role"])
-    return scoring.all_passed(covered.select("role", "passed").union(right.select("role", "passed")), keys=["role"])
+    p = replies(spark, sf)
+    scored = scoring.keyword_scores(p.withColumn("prompt", F.lit("")), keywords=WORDS)
+    covered = scoring.score_summary(scored, "keyword_coverage", 0.4, keys=["conv_id"])
+    right = scoring.score_summary(scoring.contains_expected(p), "correct", 0.5, keys=["conv_id"])
+    return scoring.all_passed(covered.select("conv_id", "passed").union(right.select("conv_id", "passed")), keys=["conv_id"])
 
 
 @query(
@@ -104,19 +126,19 @@ def score_summary(spark, sf):
     f"SELECT lang, count(*) AS n_responses, round(avg(CAST({TERMS_SQL} >= 2 AS INTEGER)), 6) AS score, avg(CAST({TERMS_SQL} >= 2 AS INTEGER)) > 0.5 AS passed FROM documents GROUP BY 1",
 )
 def success_rate(spark, sf):
-    scored = scoring.domain_terms(table(spark, sf, "documents"), "text")
+    scored = scoring.domain_terms(table(spark, sf, "documents"), "text", TERMS)
     return rounded(scoring.score_summary(scored, "success", 0.5, strict=True, keys=["lang"]))
 
 
 @query(
     "M7_pair_by_position",
-    """SELECT u.conv_id, u.turn AS prompt_id, md5(u.text) AS prompt_md5, left(a.text, 20) AS expected FROM conversations u
+    """SELECT u.conv_id, u.turn AS prompt_id, md5(u.text) AS prompt_md5, md5(a.text) AS expected FROM conversations u
 JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn AND u.role = 'user' AND a.role <> 'system'""",
 )
 def pair_by_position(spark, sf):
     c = table(spark, sf, "conversations").withColumnRenamed("turn", "prompt_id")
     prompts = c.where("role = 'user'").select("conv_id", "prompt_id", F.md5("text").alias("prompt_md5"))
-    expected = c.where("role <> 'system'").select("conv_id", "prompt_id", F.substring("text", 1, 20).alias("expected"))
+    expected = c.where("role <> 'system'").select("conv_id", "prompt_id", F.md5("text").alias("expected"))
     return scoring.pair_by_position(prompts, expected, ["conv_id", "prompt_id"])
 
 

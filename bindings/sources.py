@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 
 from bindings.base import query, rounded, stamp, table
 from hearthline.operators import checks, stats
+from hearthline.functions import numbers
 from hearthline.functions.numbers import ref
 from hearthline.functions.times import weather_time
 from hearthline.plans import training, validation
@@ -46,20 +47,55 @@ def read_table(spark, sf):
     return tables.read_table(spark, written_readings(spark, sf), READINGS)
 
 
-@query("S1_read_table_inferred", f'WITH {READINGS_SQL} SELECT event_id, user_id, "kind: [C]" FROM s')
+@query(
+    "S1_read_table_inferred",
+    f"""WITH {READINGS_SQL} SELECT event_id, user_id, "kind: [C]", 'bigint,bigint,string,string' AS kinds, reading = 'abc' AS is_word,
+ CASE WHEN reading <> 'NaN' THEN TRY_CAST(trim(reading) AS DOUBLE) END AS number FROM (SELECT event_id, user_id, "kind: [C]", CASE WHEN reading <> 'NaN' THEN reading END AS reading FROM r)""",
+)
 def read_table_inferred(spark, sf):
-    return tables.read_table(spark, written_readings(spark, sf)).drop("reading")
+    """Types are inferred; the mixed column stays text, without missing values."""
+    df = tables.read_table(spark, written_readings(spark, sf))
+    kinds = ",".join(kind for _, kind in df.dtypes)
+    number = numbers.to_double(F.col("reading"))
+    return df.select("event_id", "user_id", "`kind: [C]`", F.lit(kinds).alias("kinds"), (F.col("reading") == "abc").alias("is_word"), number.alias("number"))
+
+
+@query("S1_read_table_positions", "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS p FROM events")
+def read_table_positions(spark, sf):
+    """Row numbers over several files written in the order of the events."""
+    path = scratch_path(spark, "ordered")
+    events = table(spark, sf, "events").select("event_id", "value")
+    tables.write_table(events.repartitionByRange(4, "event_id").sortWithinPartitions("event_id"), path, "csv")
+    return tables.read_table(spark, path, T.StructType([T.StructField("event_id", T.LongType())]), position="p").select("event_id", "p")
+
+
+def written_records(spark, sf):
+    """A CSV file of events, some with a field too many or too few."""
+    eid = F.col("event_id")
+    fields = F.concat_ws(",", "event_id", "user_id", "event_type")
+    line = F.when(eid % 9 == 0, F.concat(fields, F.lit(",more"))).when(eid % 10 == 0, F.col("event_id").cast("string")).otherwise(fields)
+    path = scratch_path(spark, "records")
+    events = table(spark, sf, "events").select(line.alias("value"), eid)
+    lines = events.sparkSession.createDataFrame([("id,user,kind", -1)], "value string, event_id long").union(events)
+    lines.repartitionByRange(1, "event_id").sortWithinPartitions("event_id").select("value").write.text(path)
+    return path
 
 
 @query(
-    "S1_read_table_positions",
-    "SELECT count(*) AS n, min(p) AS lo, max(p) AS hi, count(DISTINCT p) AS n_distinct FROM (SELECT row_number() OVER () - 1 AS p FROM events)",
+    "S9_csv_load_report",
+    """SELECT count(*) AS n_rows, count(*) FILTER (event_id % 9 = 0 OR event_id % 10 = 0) AS n_bad, 'malformed' AS status FROM events""",
 )
-def read_table_positions(spark, sf):
-    df = tables.read_table(spark, written_readings(spark, sf), READINGS, position="p")
-    return df.agg(
-        F.count(F.lit(1)).alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi"), F.countDistinct("p").alias("n_distinct")
-    )
+def csv_load_report(spark, sf):
+    return tables.csv_load_report(spark, written_records(spark, sf)).drop("source")
+
+
+@query(
+    "S9_malformed_records",
+    """SELECT CASE WHEN event_id % 9 = 0 THEN concat_ws(',', event_id, user_id, event_type, 'more') ELSE CAST(event_id AS VARCHAR) END AS broken
+FROM events WHERE event_id % 9 = 0 OR event_id % 10 = 0""",
+)
+def malformed_records(spark, sf):
+    return tables.malformed_records(spark, written_records(spark, sf)).select("broken")
 
 
 @query(

@@ -165,6 +165,16 @@ UNION ALL SELECT 'pair', '{H},{C}', position FROM a WHERE h >= c)
 SELECT "check", "column", position FROM (SELECT *, row_number() OVER (PARTITION BY "check", "column" ORDER BY position) AS n FROM v) WHERE n <= 5""",
 )
 def validate_actions_sample(spark, sf):
+    return validation.validate_actions(actions(spark, sf)).tables["samples"].select("check", "column", "position")
+
+
+@query(
+    "C1_violations",
+    f"""WITH {ACTIONS_SQL} SELECT 'range' AS "check", '{H}' AS "column", position FROM a WHERE h < 15 OR h > 25
+UNION ALL SELECT 'range', '{C}', position FROM a WHERE c < 20 OR c > 30
+UNION ALL SELECT 'pair', '{H},{C}', position FROM a WHERE h >= c""",
+)
+def validate_actions_violations(spark, sf):
     return validation.validate_actions(actions(spark, sf)).violations.select("check", "column", "position")
 
 

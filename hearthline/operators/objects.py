@@ -50,7 +50,8 @@ def nonempty(c: Column) -> Column:
 
 
 def object_counts(objs: DataFrame) -> DataFrame:
-    return objs.groupBy("building_id", "object_type").agg(F.count("object_name").alias("n_objects"))
+    typed = objs.where(F.col("object_type").isNotNull())
+    return typed.groupBy("building_id", "object_type").agg(F.count("object_name").alias("n_objects"))
 
 
 def category_counts(
@@ -69,13 +70,14 @@ def category_counts(
         F.struct(F.lit(c).alias("category"), F.col(f"n{i}").alias("n_objects"), F.col(f"t{i}").alias("n_types"))
         for i, c in enumerate(member)
     ]
-    per_building = object_counts(objs).groupBy("building_id").agg(*aggs)
+    counted = objs.groupBy("building_id", "object_type").agg(F.count("object_name").alias("n_objects"))
+    per_building = counted.groupBy("building_id").agg(*aggs)
     return per_building.select("building_id", F.explode(F.array(*cells)).alias("_c")).select("building_id", "_c.*")
 
 
 def required_objects(objs: DataFrame, required: Sequence[str] = REQUIRED_OBJECT_TYPES) -> DataFrame:
     """Required types a building lacks."""
-    there = [F.bool_or(F.col("object_type") == t).alias(f"r{i}") for i, t in enumerate(required)]
+    there = [F.coalesce(F.bool_or(F.col("object_type") == t), F.lit(False)).alias(f"r{i}") for i, t in enumerate(required)]
     per_building = objs.groupBy("building_id").agg(*there)
     absent = F.array_compact(F.array(*[F.when(~F.col(f"r{i}"), F.lit(t)) for i, t in enumerate(required)]))
     return per_building.select("building_id", F.explode(absent).alias("missing_type"))

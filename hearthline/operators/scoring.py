@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.functions.numbers import ref
-from hearthline.presets import BLUEPRINT_MIN_TERMS, BLUEPRINT_TERMS, MIN_NEW_CHARACTERS
+from hearthline.presets import BLUEPRINT_MIN_TERMS, BLUEPRINT_TERMS, MIN_NEW_CHARACTERS, MIN_OCR_CHARACTERS
 
 
 def _terms_in(text: Column, terms: Column) -> Column:
@@ -58,6 +58,15 @@ def long_enough(
     return df.withColumn("long_enough", F.length(ref(response)) > base + margin)
 
 
+def found_text(df: DataFrame, response: str = "response", margin: int = MIN_OCR_CHARACTERS) -> DataFrame:
+    """Adds ``success``: text read from a picture has more than ``margin`` characters.
+
+    ``MIN_OCR_CHARACTERS`` is the limit for a sample picture,
+    ``MIN_BLUEPRINT_CHARACTERS`` that for a drawing. A missing text is no success.
+    """
+    return df.withColumn("success", F.coalesce(F.length(ref(response)) > margin, F.lit(False)))
+
+
 def domain_terms(
     df: DataFrame,
     response: str = "response",
@@ -114,12 +123,16 @@ def zip_lists(df: DataFrame, prompts: str, expectations: str) -> DataFrame:
 
 
 def vector_health(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Adds has_nan, has_inf, l2_norm and ``ok`` per vector."""
+    """Adds has_nan, has_inf, l2_norm and ``ok`` per vector.
+
+    A missing element counts as NaN, and the norm is then NULL; a missing vector
+    has neither and is not ok.
+    """
     v = ref(vector)
-    nan = F.exists(v, lambda x: F.isnan(x))
-    inf = F.exists(v, lambda x: F.abs(x) == float("inf"))
+    nan = F.coalesce(F.exists(v, lambda x: x.isNull() | F.isnan(x)), F.lit(False))
+    inf = F.coalesce(F.exists(v, lambda x: F.coalesce(F.abs(x) == float("inf"), F.lit(False))), F.lit(False))
     total = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    return df.withColumns({"has_nan": nan, "has_inf": inf, "l2_norm": F.sqrt(total), "ok": ~(nan | inf)})
+    return df.withColumns({"has_nan": nan, "has_inf": inf, "l2_norm": F.sqrt(total), "ok": ~(nan | inf) & v.isNotNull()})
 
 
 def vectors_ok(health: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

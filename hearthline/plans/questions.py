@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from hearthline.functions.numbers import ref
 from hearthline.operators.columns import zone_column_names
 from hearthline.operators.position import with_neighbours
-from hearthline.session import broadcast_if_small, materialize
 
 
 @dataclass(frozen=True)
@@ -168,7 +167,6 @@ def excess_demand(df: DataFrame, n: Names = Names(), width: int = 5, z: float =
     usual = rows.groupBy("_hour", "_bin").agg(
         F.avg("demand").alias("mean"), F.try_divide(F.stddev_pop("demand"), F.lit(1.0)).alias("deviation")
     )
-    usual = broadcast_if_small(materialize(usual))
     score = F.try_divide(F.col("demand") - F.col("mean"), F.col("deviation"))
     return (
         rows.join(usual, ["_hour", "_bin"])
@@ -346,10 +344,17 @@ def policy_by_situation(df: DataFrame, n: Names = Names(), few: int = 5, many: i
     return df.agg(*cells).select(F.explode(F.array(*[F.col(s) for s in situations])).alias("_s")).select("_s.*")
 
 
-def state_prompts(df: DataFrame, n: Names = Names()) -> DataFrame:
-    """One line of text per time step, ready for ``write_table(..., "json")``."""
+#: Step, cooling and heating setpoint, outdoor and indoor temperature, occupants.
+PROMPT = "Step %d: setpoints %.1f (cooling) and %.1f (heating); outside %.1f, inside %.1f degrees; people present: %d."
+
+
+def state_prompts(df: DataFrame, n: Names = Names(), template: str = PROMPT) -> DataFrame:
+    """One line of text per time step, ready for ``write_table(..., "json")``.
+
+    ``template`` is a format of six places, see ``PROMPT``.
+    """
     text = F.format_string(
-        "At timestep %d, the agent set cooling=%.1f°C and heating=%.1f°C with %.1f°C outdoors, %.1f°C indoors and %d occupants.",
+        template,
         ref(n.position).cast("bigint"),
         ref(n.cooling).cast("double"),
         ref(n.heating).cast("double"),

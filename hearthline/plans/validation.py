@@ -86,7 +86,11 @@ class Tables(Mapping):
 
 @dataclass
 class CheckReport:
-    """What a validation found. ``tables`` holds its profiles and plot data."""
+    """What a validation found.
+
+    ``violations`` lists every offending row; ``tables`` holds profiles, plot data
+    and, as ``samples``, the first few violations per check.
+    """
 
     summary: DataFrame
     violations: DataFrame
@@ -111,12 +115,17 @@ def _report(
     position: str,
     strict: bool,
     listed: Sequence[Rule] | None = None,
+    samples: int = SAMPLE_ROWS,
 ) -> CheckReport:
     data_cols = [c for c in df.columns if c != position]
     nulls = [present_rule(c) for c in data_cols]
     summary = _head_rows(df, expected, data_cols, strict).unionByName(evaluate(df, [*nulls, *rules]))
-    found = violations(df, list(listed if listed is not None else rules), [position], SAMPLE_ROWS)
-    return CheckReport(summary, found, Tables(shape=lambda: shape(df.drop(position))))
+    shown = list(listed if listed is not None else rules)
+    return CheckReport(
+        summary,
+        violations(df, shown, [position]),
+        Tables(shape=lambda: shape(df.drop(position)), samples=lambda: violations(df, shown, [position], samples)),
+    )
 
 
 def _action_rules() -> list[Rule]:
@@ -124,9 +133,11 @@ def _action_rules() -> list[Rule]:
     return [*ranges, pair_rule(*ACTION_COLUMNS)]
 
 
-def validate_actions(df: DataFrame, position: str = "position", strict: bool = False) -> CheckReport:
+def validate_actions(
+    df: DataFrame, position: str = "position", strict: bool = False, samples: int = SAMPLE_ROWS
+) -> CheckReport:
     """Setpoint ranges and heating below cooling."""
-    report = _report(df, ACTION_COLUMNS, _action_rules(), position, strict)
+    report = _report(df, ACTION_COLUMNS, _action_rules(), position, strict, samples=samples)
     report.tables.add(profile=lambda: profile_numeric(df, [c for c in numeric_columns(df) if c != position]))
     return report
 
@@ -160,12 +171,14 @@ def iqr_rule(df: DataFrame, col: str, k: float = REWARD_IQR_FACTOR) -> Rule:
     return Rule("iqr", (col,), violates, f"{k} x IQR")
 
 
-def validate_rewards(df: DataFrame, position: str = "position", col: str = "reward", strict: bool = False) -> CheckReport:
+def validate_rewards(
+    df: DataFrame, position: str = "position", col: str = "reward", strict: bool = False, samples: int = SAMPLE_ROWS
+) -> CheckReport:
     """Outliers, extremes, non-finite values, constant and long equal stretches."""
     rules = [range_rule(col, *REWARD_EXTREMES, check="extreme"), finite_rule(col)]
     if col in df.columns:
         rules.append(iqr_rule(df, col))
-    report = _report(df, (col,) if col != "reward" else REWARD_COLUMNS, rules, position, strict)
+    report = _report(df, (col,) if col != "reward" else REWARD_COLUMNS, rules, position, strict, samples=samples)
     if col in df.columns:
         report.tables.add(
             profile=lambda: profile_numeric(df, [c for c in numeric_columns(df) if c != position]),
@@ -178,12 +191,14 @@ def validate_rewards(df: DataFrame, position: str = "position", col: str = "rewa
     return report
 
 
-def validate_observations(df: DataFrame, position: str = "position", strict: bool = False) -> CheckReport:
+def validate_observations(
+    df: DataFrame, position: str = "position", strict: bool = False, samples: int = SAMPLE_ROWS
+) -> CheckReport:
     """Time fields, physical ranges, setpoint order, demand; plots and correlation."""
     ranges = {**OBSERVATION_TIME_RANGES, **OBSERVATION_PHYSICAL_RANGES}
     rules = [range_rule(c, lo, hi) for c, (lo, hi) in ranges.items()]
     rules.append(pair_rule(*OBSERVATION_SETPOINTS))
-    report = _report(df, OBSERVATION_COLUMNS, rules, position, strict)
+    report = _report(df, OBSERVATION_COLUMNS, rules, position, strict, samples=samples)
     numbers = [c for c in numeric_columns(df) if c != position]
     texts = [c for c in df.columns if c not in numbers and c != position]
     report.tables.add(ranges=lambda: column_range_check(df, ranges))

@@ -97,20 +97,33 @@ WEATHER_COLUMNS = (
     "Liquid Precipitation Depth",
     "Liquid Precipitation Quantity",
 )
-WEATHER_TEXT_COLUMNS = (
-    "Data Source and Uncertainty Flags",
-    "Global Horizontal Illuminance",
-    "Direct Normal Illuminance",
-    "Diffuse Horizontal Illuminance",
-    "Zenith Luminance",
-    "Opaque Sky Cover",
-    "Ceiling Height",
-    "Present Weather Observation",
-    "Present Weather Codes",
-    "Aerosol Optical Depth",
-    "Liquid Precipitation Quantity",
+# The columns read as numbers.
+WEATHER_NUMERIC_COLUMNS = (
+    "Year",
+    "Month",
+    "Day",
+    "Hour",
+    "Minute",
+    "Dry Bulb Temperature",
+    "Dew Point Temperature",
+    "Relative Humidity",
+    "Atmospheric Station Pressure",
+    "Extraterrestrial Horizontal Radiation",
+    "Extraterrestrial Direct Normal Radiation",
+    "Horizontal Infrared Radiation Intensity",
+    "Global Horizontal Radiation",
+    "Direct Normal Radiation",
+    "Diffuse Horizontal Radiation",
+    "Wind Direction",
+    "Wind Speed",
+    "Total Sky Cover",
+    "Visibility",
+    "Precipitable Water",
+    "Snow Depth",
+    "Days Since Last Snowfall",
+    "Albedo",
+    "Liquid Precipitation Depth",
 )
-WEATHER_NUMERIC_COLUMNS = tuple(c for c in WEATHER_COLUMNS if c not in WEATHER_TEXT_COLUMNS)
 WEATHER_TIME_RANGES = {"Month": (1, 12), "Day": (1, 31), "Hour": (1, 24)}
 WEATHER_PHYSICAL_RANGES = {
     "Dry Bulb Temperature": (-70.0, 70.0),

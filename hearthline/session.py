@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -30,13 +30,13 @@ def build_session(app_name: str = "hearthline", master: str | None = None, **set
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    A local session without the setting gets a temporary folder; a cluster
-    without it is an error, since a machine-local folder would lose data.
+    A session in one process without the setting gets a temporary folder; any
+    cluster without it is an error, since a machine-local folder would lose data.
     """
     named = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
     made = tempfile.mkdtemp(prefix="hearthline-")
     spark.sparkContext.setCheckpointDir(made)
@@ -57,13 +57,3 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-BROADCAST_ROW_LIMIT = 1_000_000
-
-
-def broadcast_if_small(materialized: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only when the row count has been checked.
-
-    Above the limit the frame is returned without a hint and the join shuffles.
-    Call it on a materialized or otherwise cheap frame: the check is an action.
-    """
-    return F.broadcast(materialized) if materialized.count() <= limit else materialized

@@ -38,12 +38,12 @@ def parse_building_objects(texts: DataFrame) -> DataFrame:
     """The object table of ``(building_id, text)`` documents.
 
     Nested maps keep the order of the file; only the leaf properties are
-    VARIANT. A type without objects keeps one row with an empty object name. A
-    text that is no such document yields no rows here and is counted by
+    VARIANT. A type without objects keeps one row without an object name, and a
+    building without types one row without a type. A text that is no such document yields no rows here and is counted by
     ``malformed_buildings``.
     """
-    parsed = texts.select("building_id", F.from_json("text", SHAPE).alias("_m"))
-    types = parsed.select("building_id", F.posexplode(_last_wins(F.col("_m"))).alias("type_pos", "_t"))
+    parsed = texts.select("building_id", F.from_json("text", SHAPE).alias("_m")).where(F.col("_m").isNotNull())
+    types = parsed.select("building_id", F.posexplode_outer(_last_wins(F.col("_m"))).alias("type_pos", "_t"))
     return types.select(
         "building_id",
         "type_pos",

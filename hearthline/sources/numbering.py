@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.session import broadcast_if_small, materialize
 
 FILE = "_hl_file"
 BLOCK = "_hl_block"
@@ -46,8 +45,6 @@ def number_rows(marked: DataFrame, name: str, per_file: bool = False, start: int
         F.col("_first"),
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
     )
-    # Written once, so the size check and the join below do not count again.
-    offsets = broadcast_if_small(materialize(offsets))
     return marked.join(offsets, [FILE, BLOCK]).select(
         *[c for c in marked.columns if c not in (FILE, BLOCK, MARK)],
         F.col(FILE),

@@ -32,22 +32,23 @@ def _typed(df: DataFrame, schema: T.StructType, keep: tuple[str, ...] = ()) -> D
             number = to_double(ref(name))
             out.append(F.coalesce(whole, F.when(number == F.floor(number), number).try_cast(kind)).alias(name))
         else:
-            out.append(text_or_null(ref(name)).try_cast(kind).alias(name))
+            out.append(F.trim(text_or_null(ref(name))).try_cast(kind).alias(name))
     return df.select(*out)
 
 
 def _inferred(df: DataFrame) -> T.StructType:
-    """Column types by one aggregate: BIGINT, else DOUBLE, else STRING."""
+    """Column types by one aggregate: BIGINT, else DOUBLE, BOOLEAN or STRING."""
     checks = []
     for i, name in enumerate(df.columns):
         given = text_or_null(ref(name))
-        number = F.trim(given).try_cast("double")
+        number = to_double(given)
         whole = F.trim(given).try_cast("bigint")
         checks.append(
             F.struct(
                 F.count(given).alias("given"),
                 F.count(number).alias("numbers"),
                 F.count(whole).alias("whole"),
+                F.count_if(F.lower(F.trim(given)).isin("true", "false")).alias("flags"),
             ).alias(f"c{i}")
         )
     row = df.agg(*checks).first()
@@ -58,6 +59,8 @@ def _inferred(df: DataFrame) -> T.StructType:
             kind = T.LongType() if found["whole"] == found["given"] else T.DoubleType()
         elif not found["given"]:
             kind = T.DoubleType()
+        elif found["flags"] == found["given"]:
+            kind = T.BooleanType()
         else:
             kind = T.StringType()
         fields.append(T.StructField(name, kind))
@@ -71,12 +74,15 @@ def read_table(
     fmt: str = "csv",
     position: str | None = None,
     position_start: int = 0,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Scan a table; CSV text is coerced so that NaN, blank and inf come out right.
 
     With ``position`` a 0-based row number in file order is added. Give a
     ``schema`` for large CSV inputs: without one, types are inferred by an
-    extra pass over the file.
+    extra pass over the file. Quoted line breaks need ``multi_line``, with which a
+    file is one task's work. CSV records with too many fields lose the surplus,
+    and shorter ones are padded with NULL: ``malformed_records`` lists both.
     """
     if fmt == "parquet":
         scan = spark.read.parquet(*([path] if isinstance(path, str) else path))
@@ -84,13 +90,36 @@ def read_table(
     if fmt == "json":
         scan = spark.read.json(path, schema=schema)
         return _numbered(scan, position, position_start) if position else scan
-    scan = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    scan = spark.read.option("header", True).option("multiLine", multi_line).csv(path)
     types = schema if schema is not None else _inferred(scan)
     if not position:
         return _typed(scan, types)
     return _typed(_numbered(scan, position, position_start), types, keep=(position,))
 
 
+def checked_records(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """The records of CSV files as text, with ``file`` and ``broken``, the whole text
+    of a record that has more or fewer fields than its header, else NULL."""
+    reader = spark.read.option("header", True).option("multiLine", multi_line)
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
+    scan = reader.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path)
+    # Spark asks for a field beside the record's text; this one never gives a value.
+    never = F.when(F.length(ref(names[0])) < 0, ref(names[0]))
+    broken = F.coalesce(F.col(CORRUPT), never).alias("broken")
+    return scan.select(F.col("_metadata.file_path").alias("file"), *[ref(n) for n in names], broken)
+
+
+def malformed_records(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """``(file, broken)`` of the CSV records whose number of fields is wrong."""
+    return checked_records(spark, path, multi_line).where(F.col("broken").isNotNull()).select("file", "broken")
+
+
+def csv_load_report(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """``load_report`` of CSV files; a file without records has no rows and is ok."""
+    return load_report(checked_records(spark, path, multi_line).withColumn("_bad", F.col("broken").isNotNull()), "file", "_bad")
+
+
 def _numbered(scan: DataFrame, position: str, start: int) -> DataFrame:
     return number_rows(with_scan_marks(scan), position, start=start).drop(FILE)
 

@@ -2,6 +2,7 @@
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthline.operators.columns import drop_colliding, move_column, prefix_columns
@@ -80,3 +81,53 @@ def test_column_edits(spark):
     assert prefix_columns(df, "p").columns == ["p_a.b", "time", "p_c:[C]"]
     assert move_column(df, "c:[C]", 1).columns == ["a.b", "c:[C]", "time"]
     assert drop_colliding(df, ["time", "a.b"], ["time"], "_y").columns == ["a.b_y", "time", "c:[C]"]
+
+
+def test_bad_values_never_become_numbers_or_end_a_job(spark):
+    from hearthline.functions.numbers import to_double, whole
+    from hearthline.functions.times import date_from_parts, weather_time
+
+    texts = ["5d", "1f", "0x1p3", "inf", "-Infinity", "abc", "1.7", " 5 ", "1e3", ".5", "5.", "", None, "NaN"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [tuple(r) for r in df.select(to_double(F.col("t")), whole(F.col("t"))).collect()]
+    inf = float("inf")
+    want = [None, None, None, inf, -inf, None, 1.7, 5.0, 1000.0, 0.5, 5.0, None, None, None]
+    assert [g[0] for g in got] == want
+    assert [g[1] for g in got] == [None if w is None or w % 1 or abs(w) == inf else int(w) for w in want]
+    month = F.col("t")
+    one = F.lit(1)
+    dates = df.select(date_from_parts(month, one, one, 2021).alias("d"), weather_time(F.lit(2021), month, one, one).alias("w")).collect()
+    assert [r.d is not None for r in dates] == [r.w is not None for r in dates] == [w == 5.0 for w in want]
+
+
+def test_malformed_csv_records(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('a,b\n1,2\n3,4,5\n6\n"x\ny",7\n')
+    assert rows(tables.malformed_records(spark, str(path), multi_line=True), "broken") == [("3,4,5",), ("6",)]
+    report = tables.csv_load_report(spark, str(path), multi_line=True).first()
+    assert (report["n_rows"], report["n_bad"], report["status"]) == (4, 2, "malformed")
+    read = tables.read_table(spark, str(path), multi_line=True)
+    assert read.where("b = 7").first()["a"] == "x\ny"
+    flags = tmp_path / "b.csv"
+    flags.write_text("f,g\nTrue,1\nFalse,\n")
+    assert tables.read_table(spark, str(flags)).dtypes == [("f", "boolean"), ("g", "bigint")]
+
+
+def test_empty_buildings_are_reported(spark):
+    from hearthline.operators.objects import presence_checks, required_objects
+    from hearthline.sources.buildings import parse_building_objects
+
+    texts = spark.createDataFrame([("empty", "{}"), ("bad", "{"), ("some", '{"Zone": {"Z": {"volume": 1}}}')], "building_id string, text string")
+    objs = parse_building_objects(texts)
+    assert rows(objs, "building_id", "object_type") == [("empty", None), ("some", "Zone")]
+    lacks = required_objects(objs).groupBy("building_id").count().collect()
+    assert "empty" in {r["building_id"] for r in lacks}
+    assert {r["status"] for r in presence_checks(objs).where("building_id = 'empty'").collect()} == {"missing"}
+
+
+def test_vectors_with_missing_elements(spark):
+    from hearthline.operators.scoring import vector_health
+
+    df = spark.createDataFrame([([1.0, None],), ([3.0, 4.0],), (None,)], "embedding array<double>")
+    got = [tuple(r)[1:] for r in vector_health(df).select("embedding", "has_nan", "has_inf", "ok").collect()]
+    assert got == [(True, False, False), (False, False, True), (False, False, False)]
