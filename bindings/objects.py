@@ -493,9 +493,6 @@ def schedule_fallback(spark, sf):
     return s.select("building_id", F.col("object_name").alias("name"), ob.first_prop(F.col("props"), keys).alias("schedule"))
 
 
-FEATURE_COUNTS_SQL = f"""{BASE_SQL}, {SURFACES_SQL}, {WINDOWS_SQL}"""
-
-
 @query(
     "F12_surface_lists",
     f"""{BASE_SQL}, {SURFACES_SQL}, {WINDOWS_SQL}, w AS (SELECT building_id, zone, count(*) AS n FROM win GROUP BY 1, 2)
@@ -534,6 +531,57 @@ def zone_feature_rows(spark, sf):
     return ob.zone_feature_rows(stored_city(spark, sf)).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("C10_zone_features")
+def _joined(cells: str, *fields: str) -> Column:
+    """A list of structs as text, fields by | and cells by ;."""
+    return F.coalesce(F.md5(F.array_join(F.transform(cells, lambda c: F.concat_ws("|", *[c[f].cast("string") for f in fields])), ";")), F.lit(""))
+
+
+@query(
+    "C10_zone_features",
+    f"""{BASE_SQL}, {SURFACES_SQL}, {WINDOWS_SQL}, {HVAC_SQL}, {INFILTRATION_SQL}, {THERMOSTAT_SQL},
+z AS (SELECT r_name AS building_id, n_name AS zone, n_nationkey FROM places WHERE n_nationkey <> 7),
+su AS (SELECT building_id, zone, md5(string_agg(surface || '|' || type || '|' || boundary, ';' ORDER BY obj_pos)) AS surfaces,
+ md5(string_agg(surface || '|' || type || '|' || sun || '|WindExposed', ';' ORDER BY obj_pos) FILTER (boundary = 'Outdoors')) AS exterior FROM surf GROUP BY 1, 2),
+ad AS (SELECT a.building_id, a.zone, md5(string_agg(b.zone || '|' || a.surface || '|' || b.surface, ';' ORDER BY a.obj_pos)) AS adjacencies
+ FROM surf a JOIN surf b ON a.building_id = b.building_id AND a.boundary_object = b.surface AND a.zone <> b.zone GROUP BY 1, 2),
+wi AS (SELECT building_id, zone, md5(string_agg("window" || '|' || parent_surface || '|' || construction || '|' || vf_to_ground, ';' ORDER BY obj_pos)) AS windows FROM win GROUP BY 1, 2),
+ma AS (SELECT building_id, zone, md5(string_agg(construction, ';' ORDER BY construction)) AS materials FROM (SELECT building_id, zone, construction FROM surf UNION SELECT building_id, zone, construction FROM win)
+ JOIN supp ON building_id = r_name AND construction = 'C' || s_suppkey GROUP BY 1, 2),
+nf AS (SELECT building_id, zone, arg_max(s_acctbal, s_suppkey) AS design_flow_rate FROM inf JOIN zone USING (building_id) WHERE contains(field, zone) GROUP BY 1, 2),
+al AS (SELECT DISTINCT r_name AS building_id, n_name AS zone, true AS on_air_loop FROM supp WHERE s_suppkey % 4 = 0 AND r_regionkey <> 2 AND (n_nationkey <> 7 OR EXISTS (SELECT 1 FROM customer WHERE c_nationkey = 7))),
+sc AS (SELECT building_id, zone, md5(string_agg(DISTINCT 'SCH' || s, ';' ORDER BY 'SCH' || s)) AS schedules FROM setp GROUP BY 1, 2),
+pe AS (SELECT r_name AS building_id, n_name AS zone, 'P' || max(c_custkey) AS people FROM cust GROUP BY 1, 2),
+li AS (SELECT r_name AS building_id, n_name AS zone, 'L' || max(s_suppkey) AS lights FROM supp GROUP BY 1, 2),
+eq AS (SELECT r_name AS building_id, n_name || CASE WHEN s_suppkey % 3 = 0 THEN ' List' ELSE '' END AS zone, 'E' || max(s_suppkey) AS equipment FROM supp GROUP BY 1, 2),
+every AS (SELECT building_id, zone FROM z UNION SELECT building_id, zone FROM su UNION SELECT building_id, zone FROM best UNION SELECT building_id, zone FROM last UNION SELECT building_id, zone FROM pe
+ UNION SELECT building_id, zone FROM li UNION SELECT building_id, zone FROM eq UNION SELECT building_id, zone FROM al UNION SELECT building_id, zone FROM nf)
+SELECT building_id, zone, n_nationkey * 10.0 AS volume, coalesce(surfaces, '') AS surfaces, coalesce(exterior, '') AS exterior, coalesce(adjacencies, '') AS adjacencies,
+ coalesce(windows, '') AS windows, coalesce(materials, '') AS materials, design_flow_rate, 'T' || best.k AS terminal, 'K' || best.coil AS coil, coalesce(on_air_loop, false) AS on_air_loop,
+ 'TH' || last.k AS thermostat, coalesce(schedules, '') AS schedules, people, lights, equipment
+FROM every LEFT JOIN z USING (building_id, zone) LEFT JOIN su USING (building_id, zone) LEFT JOIN ad USING (building_id, zone) LEFT JOIN wi USING (building_id, zone)
+ LEFT JOIN ma USING (building_id, zone) LEFT JOIN nf USING (building_id, zone) LEFT JOIN best USING (building_id, zone) LEFT JOIN al USING (building_id, zone)
+ LEFT JOIN last USING (building_id, zone) LEFT JOIN sc USING (building_id, zone) LEFT JOIN pe USING (building_id, zone) LEFT JOIN li USING (building_id, zone) LEFT JOIN eq USING (building_id, zone)""",
+)
 def zone_features(spark, sf):
-    return building.extract_zone_features(stored_city(spark, sf))
+    """Every section's content: lists as digests of their text, records by name."""
+    made = building.extract_zone_features(stored_city(spark, sf))
+    z, c, h, p, o = "zone_properties", "construction", "hvac_system", "control_parameters", "occupancy_loads"
+    return made.select(
+        "building_id",
+        "zone",
+        F.col(f"{z}.properties.volume").cast("double").alias("volume"),
+        _joined(f"{z}.surfaces", "surface", "type", "boundary").alias("surfaces"),
+        _joined(f"{z}.exterior_surfaces", "surface", "type", "sun_exposure", "wind_exposure").alias("exterior"),
+        _joined(f"{z}.adjacencies", "adjacent_zone", "surface", "adjacent_surface").alias("adjacencies"),
+        _joined(f"{c}.windows", "window", "parent_surface", "construction", "vf_to_ground").alias("windows"),
+        _joined(f"{c}.materials", "construction").alias("materials"),
+        F.col(f"{c}.infiltration.design_flow_rate").cast("double").alias("design_flow_rate"),
+        F.col(f"{h}.terminal_unit.name").alias("terminal"),
+        F.col(f"{h}.reheat_coil.name").alias("coil"),
+        F.col(f"{h}.air_loop").isNotNull().alias("on_air_loop"),
+        F.col(f"{p}.thermostat.control_name").alias("thermostat"),
+        _joined(f"{p}.setpoint_schedules", "schedule").alias("schedules"),
+        F.col(f"{o}.people.name").alias("people"),
+        F.col(f"{o}.lights.name").alias("lights"),
+        F.col(f"{o}.equipment.name").alias("equipment"),
+    )
