@@ -3,13 +3,11 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bindings.base import query, rounded, stamp, table
-from hearthline.operators import checks, stats
+from bindings.base import query, rounded, table
 from hearthline.functions import numbers
-from hearthline.functions.numbers import ref
-from hearthline.functions.times import weather_time
+from hearthline.operators import checks
 from hearthline.plans import training, validation
-from hearthline.presets import WEATHER_COLUMNS, WEATHER_PHYSICAL_RANGES, WEATHER_ROW_COUNTS, WEATHER_TIME_RANGES
+from hearthline.presets import WEATHER_COLUMNS, WEATHER_PHYSICAL_RANGES
 from hearthline.session import scratch_path
 from hearthline.sources import buildings, tables, weather
 

@@ -477,9 +477,9 @@ def zone_infiltration(objs: DataFrame, match: str = "contains") -> DataFrame:
         found = found.withColumn("_lengths", lengths).withColumn("zone", F.explode(listed))
     else:
         found = found.withColumn("zone", F.col("_field"))
-    # Folded before the join: one row per building and name that may be a zone.
-    last = found.groupBy("building_id", "zone").agg(F.max_by("infiltration", "obj_pos").alias("infiltration"))
-    return last.join(zone_names, ["building_id", "zone"], "left_semi")
+    # Names that are no zones, nearly all parts, go before anything is grouped.
+    found = found.join(zone_names, ["building_id", "zone"], "left_semi")
+    return found.groupBy("building_id", "zone").agg(F.max_by("infiltration", "obj_pos").alias("infiltration"))
 
 
 def zone_setpoints(objs: DataFrame) -> DataFrame:
