@@ -129,7 +129,8 @@ def test_edited_leaks_in_blocks_of_items(spark):
     items = [prose(40) for _ in range(12)]
     texts = [" ".join([*prose(150), *edited(item, 5), *prose(100)]) for item in items] + [" ".join(prose(300)) for _ in range(20)]
     texts.append(" ".join([*prose(30), *items[0], *prose(30), *items[0][:15], *prose(30)]).upper())
-    benchmark = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)] + [(50, None), (51, ""), (None, "x y z")], "item_id long, text string")
+    rows = [(i, " ".join(item)) for i, item in enumerate(items)] + [(50, None), (51, ""), (None, "x y z")]
+    benchmark = spark.createDataFrame(rows, "item_id long, text string")
     expected = {(i, i) for i in range(12)} | {(32, 0)}
     for block in (10_000, 5):
         got = leaks(documents(spark, texts), benchmark, block=block).collect()

@@ -49,7 +49,8 @@ def test_pages_of_a_host_agree(spark):
         return f"<body><div class='x1'><p>{body}</p></div><div class='y'><p>{'link list ' * 4}</p></div></body>"
 
     rows = [(i, "http://h/%d" % i, page("long text of the article " * 9)) for i in range(5)]
-    rows += [(9, "http://h/9", page("short")), (10, None, page("alone " * 30)), (11, "http://h/11", None), (12, "http://k/", ""), (9, "http://h/9", page("short"))]
+    rows += [(9, "http://h/9", page("short")), (10, None, page("alone " * 30)), (11, "http://h/11", None)]
+    rows += [(12, "http://k/", ""), (9, "http://h/9", page("short"))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("path", F.lit("clash"))
     assert [tuple(r) for r in host_paths(pages).collect()] == [("h", "body")]
     got = extracted(pages, into="text")
