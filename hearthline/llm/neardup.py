@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from hearthline.llm.alignment import similarity
 from hearthline.llm.components import components
-from hearthline.llm.shingles import mixed, occurrences, runs, signed, word_hashes, words_of
+from hearthline.llm.shingles import mixed, occurrences, runs, signed, word_hashes
 from hearthline.llm.sizes import sent_if_small
 from hearthline.session import materialize
 
@@ -28,22 +27,29 @@ LEAST = 0.8
 BANDS = 16
 ROWS = 2  # sketches per band
 TAKEN = 2  # runs per sketch, in text order
+PACK = 64  # members compared at once
 
 
 def sketch(labels: np.ndarray, bands: int = BANDS, rows: int = ROWS, taken: int = TAKEN) -> np.ndarray:
     """One value per band, from the labelled runs of a text in their order."""
     random = np.random.default_rng(11)
     factors = random.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    values = np.empty(bands * rows, np.uint64)
     taken = min(taken, len(labels))
-    for i, factor in enumerate(factors):
-        hashed = labels * factor
-        least = np.sort(np.argpartition(hashed, taken - 1)[:taken])
-        values[i] = reduce(lambda kept, run: kept * np.uint64(31) + run, labels[least], np.uint64(i + 1))
-    grouped = mixed(values).reshape(bands, rows)
+    at_once = max(1, 1_000_000 // len(labels))
+    places = []
+    for part in (factors[i : i + at_once] for i in range(0, len(factors), at_once)):
+        hashed = part[:, None] * labels
+        least = np.empty((len(part), taken), np.int64)
+        for t in range(taken):
+            least[:, t] = hashed.argmin(axis=1)
+            hashed[np.arange(len(part)), least[:, t]] = np.iinfo(np.uint64).max
+        places.append(np.sort(least, axis=1))
+    values = np.arange(1, len(factors) + 1, dtype=np.uint64)
+    for runs_in_order in labels[np.concatenate(places)].T:
+        values = mixed(values * np.uint64(31) + runs_in_order)
     total = np.arange(bands, dtype=np.uint64)
-    for r in range(rows):
-        total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + grouped[:, r])
+    for row in values.reshape(bands, rows).T:
+        total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + row)
     return total
 
 
@@ -55,8 +61,9 @@ def sketches(docs: DataFrame, text: str, key: str, bands: int, rows: int, taken:
             for batch in batches:
                 found = []
                 for doc, value in zip(batch["node"], batch["text"], strict=True):
-                    whole = xxhash.xxh3_128_intdigest(" ".join(words_of(value)).encode("utf-8", "surrogatepass"))
-                    grams = runs(word_hashes(value), WIDTH)
+                    words = word_hashes(value)
+                    whole = xxhash.xxh3_128_intdigest(words.tobytes())
+                    grams = runs(words, WIDTH)
                     labels = mixed(grams + occurrences(grams).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
                     made = signed(sketch(labels, bands, rows, taken)) if len(labels) else []
                     found.append((doc, *signed(np.array([whole >> 64, whole & (1 << 64) - 1], np.uint64)), made))
@@ -123,45 +130,93 @@ def lead_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
     known = members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("known"))
     ranked = members.join(known, "node")
     leads = ranked.groupBy("bucket").agg(F.max(F.struct("known", "node")).alias("lead")).select("bucket", F.col("lead.node").alias("lead"))
-    return distinct_pairs(members.join(leads, "bucket"), "node", "lead")
+    return distinct_pairs(members.join(materialize(leads), "bucket"), "node", "lead")
 
 
-def open_pairs(members: DataFrame, classes: DataFrame, texts: DataFrame, tried: DataFrame, least: float) -> DataFrame:
-    """Pairs of a bucket that leads have left undecided: not yet linked over others, not
-    tried, and not ruled out.
+def undecided(members: DataFrame, sizes: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of buckets that leads have left in several classes, dealt into packs.
 
-    A run that only one of these texts has is shared with none of the others, so each
-    text has an upper bound of shared runs. Two texts whose bounds are too low for an
-    overlap of ``least`` cannot be near; this rules out nearly all, and none wrongly.
+    ``minor`` members are outside of their bucket's largest class. Packs hold about
+    ``PACK`` members, those of ``minor`` members for themselves.
     """
-    named = members.join(classes.withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
-    split = named.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("bucket")
-    rows = materialize(named.join(split, "bucket"))
+    named = members.join(sizes.where("size > 2"), "bucket").join(classes.withColumnRenamed("component", "class"), "node", "left")
+    named = named.withColumn("class", F.coalesce("class", "node"))
+    counted = named.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max(F.struct("n", "class")).alias("largest")
+    main = counted.groupBy("bucket").agg(largest, F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    main = main.select("bucket", F.col("largest.class").alias("main"), "all", (F.col("all") - F.col("largest.n")).alias("others"))
+
+    def pack(count: str):
+        return F.pmod(F.xxhash64("node"), F.ceil(F.col(count) / PACK)).cast("int")
+
+    minor = (F.col("class") != F.col("main")).alias("minor")
+    return named.join(main, "bucket").select(
+        "bucket", "node", "class", minor, pack("all").alias("pack"), pack("others").alias("minor_pack")
+    )
+
+
+def links_between(packs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links of minor members with the others of their buckets, pack against pack.
+
+    All pairs of two packs are compared inside a task; only links come out of it, and
+    of those no more than it takes to join the classes. Pairs of packs are dealt over
+    all tasks, so a large bucket is as many small tasks.
+    """
+    kind = texts.schema["node"].dataType.simpleString()
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "words": [signed(word_hashes(t)) for t in batch["text"]]})
+
+    worded = texts.select("node", "text").mapInPandas(words, f"node {kind}, words array<long>")
+    filled = packs.join(worded, "node")
+    held = F.collect_list(F.struct("node", "class", "words"))
+    all_of = materialize(filled.groupBy("bucket", "pack").agg(held.alias("right")))
+    minor = materialize(filled.where("minor").groupBy("bucket", "minor_pack").agg(held.alias("left")))
+    meets = minor.select("bucket", "minor_pack").join(all_of.select("bucket", "pack"), "bucket")
+    both = meets.join(minor, ["bucket", "minor_pack"]).join(all_of, ["bucket", "pack"]).select("left", "right")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                for node, text in zip(batch["node"], batch["text"], strict=True):
-                    grams = np.unique(runs(word_hashes(text), WIDTH))
-                    yield pd.DataFrame({"node": [node] * len(grams), "gram": signed(grams)})
+                found = [link for left, right in zip(batch["left"], batch["right"], strict=True) for link in _links(left, right, least)]
+                yield pd.DataFrame(found, columns=["a", "b", "overlap", "alignment"])
 
-    kind = texts.schema["node"].dataType.simpleString()
-    grams = texts.join(rows.select("node").distinct(), "node").mapInPandas(run, f"node {kind}, gram long")
-    alone = F.when(F.count(F.lit(1)) == 1, F.min("node"))
-    owned = grams.groupBy("gram").agg(alone.alias("node")).where("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    sizes = grams.groupBy("node").agg(F.count(F.lit(1)).alias("grams"))
-    bounds = sizes.join(owned, "node", "left").select("node", "grams", (F.col("grams") - F.coalesce("own", F.lit(0))).alias("common"))
-    alive = rows.join(bounds.where(F.col("common") >= least * F.col("grams")), "node")
-    counted = alive.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
-    main = counted.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("main")).select("bucket", F.col("main.class").alias("main"))
-    alive = alive.join(main, "bucket")
-    left = alive.where(F.col("class") != F.col("main")).alias("l")
-    right = alive.alias("r")
-    share = least / (1 + least)
-    fits = F.least("l.common", "r.common") >= share * (F.col("l.grams") + F.col("r.grams"))
-    new = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.class") != F.col("r.class")) & fits
-    pairs = left.join(right, new).select(F.col("l.node").alias("x"), F.col("r.node").alias("y"))
-    return distinct_pairs(pairs, "x", "y").join(tried, ["a", "b"], "left_anti")
+    return both.mapInPandas(run, f"a {kind}, b {kind}, overlap double, alignment double")
+
+
+def _links(left, right, least: float) -> Iterator[tuple]:
+    """Links that join classes between two lists of members with their words."""
+    sides = []
+    for members in (left, right):
+        words = [np.asarray(m["words"], np.int64).view(np.uint64) for m in members]
+        sides.append((members, words, [np.unique(runs(w, WIDTH)) for w in words]))
+    shared = _shared(sides[0][2], sides[1][2])
+    sizes = [np.array([len(g) for g in side[2]]) for side in sides]
+    overlaps = shared / np.maximum(sizes[0][:, None] + sizes[1][None, :] - shared, 1)
+    root: dict = {}
+
+    def find(label):
+        while label in root:
+            label = root[label]
+        return label
+
+    for i, j in np.argwhere(overlaps >= least):
+        a, b = sides[0][0][i], sides[1][0][j]
+        first, second = find(a["class"]), find(b["class"])
+        if first != second and (alike := similarity(sides[0][1][i], sides[1][1][j], least)) is not None:
+            root[first] = second
+            yield a["node"], b["node"], float(overlaps[i, j]), alike
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets have in common."""
+    ids, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    if len(ids) * (len(left) + len(right)) > 50_000_000:  # long texts: one pair at a time
+        return np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in right] for a in left])
+    holds = np.zeros((len(left) + len(right), len(ids)), np.float32)
+    holds[np.repeat(np.arange(len(holds)), [len(s) for s in (*left, *right)]), place] = 1
+    return np.rint(holds[: len(left)] @ holds[len(left) :].T).astype(np.int64)
 
 
 def near_classes(
@@ -181,9 +236,9 @@ def near_classes(
     before anything else is done, however many they are; shorter texts than five words
     are linked only so. Pairs to compare come from equal bands of sketches; with the
     defaults a pair at an overlap of 0.8 is missed about twice in ten thousand times.
-    Large buckets: members are compared with one lead, and what this leaves undecided
-    is compared too unless bounds rule it out (see :func:`open_pairs`); no bucket or
-    number of partners has a cap.
+    Members of a bucket are compared with one lead first; where this leaves several
+    classes, members outside of the largest are compared with all others, in packs
+    (see :func:`links_between`). No bucket or number of partners has a cap.
 
     One row per distinct key. NULL keys are left out; NULL texts and texts without words
     are a class of their own each; a key with several texts counts as one document with
@@ -194,18 +249,16 @@ def near_classes(
     first = worded.groupBy("high", "low").agg(F.min("node").alias("node"))
     single = worded.join(first, ["high", "low", "node"], "left_semi").dropDuplicates(["high", "low", "node"])
     buckets = single.select("node", F.explode("bands").alias("bucket")).distinct()
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(buckets.join(sizes, "bucket", "left_semi"))
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    shared = materialize(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket"))
+    members = materialize(buckets.join(shared, "bucket", "left_semi"))
+    sizes = materialize(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")))
 
     wanted = sent_if_small(materialize(members.select("node").distinct()))
     texts = docs.select(F.col(key).alias("node"), F.col(text).alias("text")).where("text IS NOT NULL")
     texts = materialize(texts.join(wanted, "node", "left_semi").dropDuplicates(["node", "text"]))
-    tried = materialize(lead_pairs(members, sizes))
-    near = materialize(compared(tried, texts, least))
-    left = materialize(open_pairs(members, components(near), texts, tried, least))
-    if not left.isEmpty():
-        near = near.union(compared(left, texts, least))
+    near = materialize(compared(lead_pairs(members, sizes), texts, least))
+    packs = materialize(undecided(members, sizes, components(near)))
+    near = near.union(links_between(packs, texts, least))
     same = worded.join(first.withColumnRenamed("node", "head"), ["high", "low"]).where("node != head")
     # A key with several texts joins their classes.
     repeated = worded.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")

@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
-
 import numpy as np
-import xxhash
-
-from hearthline.llm.vocabulary import Memo
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ODD = 0x9E3779B97F4A7C15
+_BASE = 0xD1342543DE82EF95
+#: White space between words: blank, tab, line ends.
+_SPACE = np.isin(np.arange(256), [*b" \t\n\r\x0b\x0c"])
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of the base and of its inverse
 
 
-@lru_cache(maxsize=1)
-def _word_hashes() -> Memo:
-    return Memo(lambda word: xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")))
-
-
-def words_of(text: str | None) -> list[str]:
-    """Lower-case words, cut at ASCII white space; none for NULL."""
-    return WORD.findall(text.lower()) if text else []
+def _powers_upto(count: int) -> list[np.ndarray]:
+    if len(_powers[0]) < count:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            factors = np.full(max(count, 1 << 16), base, np.uint64)
+            factors[0] = 1
+            _powers[i] = np.multiply.accumulate(factors)
+    return _powers
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    words = words_of(text)
-    return np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, len(words))
+    """A 64-bit hash of each lower-case word, cut at ASCII white space; none for NULL.
+
+    A word's hash is a polynomial in its bytes, from differences of sums over the
+    whole text, so all words are hashed at once.
+    """
+    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass") if text else b"", np.uint8)
+    with np.errstate(over="ignore"):
+        space = np.ones(len(data) + 2, bool)
+        space[1:-1] = _SPACE[data]
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        begins, ends = edges[0::2], edges[1::2]
+        powers, inverse = _powers_upto(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
+        return mixed((sums[ends] - sums[begins]) * inverse[begins] + (ends - begins).astype(np.uint64) * np.uint64(_ODD))
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
