@@ -116,7 +116,7 @@ class Memo(dict):
     The limit bounds a worker's memory; values do not depend on it.
     """
 
-    def __init__(self, make, limit: int = 600_000) -> None:
+    def __init__(self, make, limit: int = 150_000) -> None:
         super().__init__()
         self.make, self.limit = make, limit
 
