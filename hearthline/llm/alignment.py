@@ -18,6 +18,8 @@ def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return None
+    if n == m and np.array_equal(a, b):
+        return 0
     left, right = a.tolist(), b.tolist()
     breaks: dict[int, list[int]] = {}
 
