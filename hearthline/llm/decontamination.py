@@ -1,13 +1,14 @@
 """Test items inside training texts, also edited ones.
 
-Seeds are the runs of words of an item that are rarest in the corpus. They join the
-passages of texts to items, and a Smith-Waterman alignment scores each such pair.
+Seeds are all runs of words of an item. They join the passages of texts to items; a bound
+by the words of a passage leaves out pairs that cannot reach the least score, and a
+Smith-Waterman alignment scores the others.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.shingles import runs, signed
+from hearthline.llm.shingles import runs
 from hearthline.llm.sizes import sent_if_small
 from hearthline.llm.vocabulary import Memo
 from hearthline.session import materialize
@@ -63,12 +64,11 @@ class Items:
     places: dict[int, list[tuple[int, int]]]  # seed: (item, its place there)
 
     @classmethod
-    def of(cls, keys: list, words: list[np.ndarray], width: int, kept: set[int] | None = None) -> Items:
+    def of(cls, keys: list, words: list[np.ndarray], width: int) -> Items:
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, item in enumerate(words):
             for at, gram in enumerate(runs(item, width).tolist()):
-                if kept is None or (i, gram) in kept:
-                    places[gram].append((i, at))
+                places[gram].append((i, at))
         return cls(keys, words, np.array(sorted(places), np.uint64), dict(places))
 
     def hits(self, grams: np.ndarray) -> np.ndarray:
@@ -85,12 +85,17 @@ class Items:
         for at in self.hits(grams).tolist():
             for i, place in self.places[int(grams[at])]:
                 begins[i].append(at - place)
-        for i, starts in begins.items():
+        if not begins:
+            return
+        there = np.unique(words)
+        for i in self._reachable(list(begins), there, least):
             item = self.words[i]
             reach = len(item) // 2 + width
             best = (0.0, 0, 0)
-            for low, high in _near(sorted(starts), len(item)):
+            for low, high in _near(sorted(begins[i]), len(item)):
                 low, high = max(0, low - reach), min(len(words), high + len(item) + reach)
+                if most_score(np.isin(item, words[low:high])) < least * MATCH * len(item):
+                    continue
                 score, end = smith_waterman(item, words[low:high])
                 if score > best[0]:
                     best = score, low, low + end
@@ -99,6 +104,23 @@ class Items:
                 _, back = smith_waterman(item[::-1], words[low:end][::-1])
                 yield self.keys[i], score / (MATCH * len(item)), end - back, end
 
+    def _reachable(self, found: list[int], there: np.ndarray, least: float) -> list[int]:
+        """Those of the items that a text of the words ``there`` (sorted) can hold at ``least``."""
+        sizes = np.array([len(self.words[i]) for i in found])
+        every = np.concatenate([self.words[i] for i in found])
+        known = there[np.minimum(np.searchsorted(there, every), len(there) - 1)] == every
+        shares = np.add.reduceat(known, np.cumsum(sizes) - sizes, dtype=np.int64)
+        return [found[k] for k in np.flatnonzero(shares >= least * sizes)]
+
+
+def most_score(known: np.ndarray) -> int:
+    """The greatest score of a local alignment of an item of which ``known`` words can match.
+
+    Each word of the aligned part of the item is matched, replaced or left out.
+    """
+    sums = np.concatenate([[0], np.cumsum(np.where(known, MATCH, max(MISMATCH, GAP)))])
+    return int((sums - np.minimum.accumulate(sums)).max())
+
 
 def _near(starts: list[int], apart: int) -> Iterator[tuple[int, int]]:
     """First and last of each run of starts that are at most ``apart`` from the next."""
@@ -111,36 +133,10 @@ def _near(starts: list[int], apart: int) -> Iterator[tuple[int, int]]:
     yield low, last
 
 
-def seed_counts(texts: DataFrame, items: Items, width: int) -> DataFrame:
-    """``gram`` and its number of occurrences in all texts, for the items' runs."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                counts: Counter = Counter()
-                for text in batch["text"]:
-                    grams = runs(plain_words(text), width)
-                    counts.update(grams[items.hits(grams)].tolist())
-                keys = signed(np.array(list(counts), np.uint64))
-                yield pd.DataFrame({"gram": keys, "n": list(counts.values())})
-
-    return texts.select("text").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def rarest(items: Items, counts: dict[int, int], width: int, seeds: int) -> set:
-    """The (item, run) pairs of each item's ``seeds`` rarest runs."""
-    kept = set()
-    for i, words in enumerate(items.words):
-        grams = sorted(set(runs(words, width).tolist()), key=lambda g: (counts.get(g, 0), g))
-        kept.update((i, g) for g in grams[:seeds])
-    return kept
-
-
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
     width: int = 4,
-    seeds: int = 24,
     least: float = 0.5,
     block: int = 10_000,
     text: str = "text",
@@ -149,15 +145,14 @@ def leaks(
 ) -> DataFrame:
     """The pairs of a document and a test item that stands in it, whole or edited.
 
-    Words are lower-case and without signs. Each item's ``seeds`` rarest runs of
-    ``width`` words in the corpus are looked up in all texts; ranks are taken within the
-    item, so an item that has leaked many times keeps its seeds. Where one is met, the
-    passage around it is aligned with the item; the score is the alignment's, as a share
-    of a perfect one, and ``least`` is the lowest returned. ``first_word`` and
-    ``end_word`` bound the passage.
+    Words are lower-case and without signs. All runs of ``width`` words of
+    each item are looked up in all texts, whatever their number there. Where one is met,
+    the passage around it is aligned with the item, unless too few of the item's words
+    stand in it for ``least``; the score is the alignment's, as a share of a perfect one,
+    and ``least`` is the lowest returned. ``first_word`` and ``end_word`` bound the passage.
 
     Items are taken in blocks of about ``block``, the only data sent to every task; the
-    number of blocks follows the benchmark. Texts are read whole, twice per block, and
+    number of blocks follows the benchmark. Texts are read whole, once per block, and
     never exchanged. NULL or empty texts, items without words and NULL keys give
     nothing; equal items are all reported; repeated rows give one pair.
     """
@@ -166,7 +161,7 @@ def leaks(
     wanted = wanted.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)))
     texts = docs.select(F.col(key).alias("node"), F.col(text).alias("text")).where("text IS NOT NULL AND node IS NOT NULL")
     types = f"node {docs.schema[key].dataType.simpleString()}, item {benchmark.schema[item].dataType.simpleString()}"
-    found = [_leaks_of(texts, wanted.where(F.col("part") == p).drop("part"), width, seeds, least, types) for p in range(parts)]
+    found = [_leaks_of(texts, wanted.where(F.col("part") == p).drop("part"), width, least, types) for p in range(parts)]
     best = F.max(F.struct("score", (-F.col("first_word")).alias("early"), "end_word")).alias("best")
     pairs = reduce(DataFrame.union, found).groupBy("node", "item").agg(best)
     return pairs.select(
@@ -178,14 +173,11 @@ def leaks(
     )
 
 
-def _leaks_of(texts: DataFrame, wanted: DataFrame, width: int, seeds: int, least: float, types: str) -> DataFrame:
+def _leaks_of(texts: DataFrame, wanted: DataFrame, width: int, least: float, types: str) -> DataFrame:
     rows = wanted.distinct().toPandas().sort_values("item", kind="stable")
     with np.errstate(over="ignore"):
         worded = [(k, w) for k, w in zip(rows["item"].tolist(), map(plain_words, rows["text"]), strict=True) if len(w)]
-        every = Items.of([k for k, _ in worded], [w for _, w in worded], width)
-        seen = seed_counts(texts, every, width).toPandas()
-        counts = dict(zip(seen["gram"].to_numpy(np.int64).view(np.uint64).tolist(), seen["n"].tolist(), strict=True))
-        items = Items.of(every.keys, every.words, width, rarest(every, counts, width, seeds))
+        items = Items.of([k for k, _ in worded], [w for _, w in worded], width)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):

@@ -8,7 +8,7 @@ import pytest
 from frames import SMALL, awkward, documents, empty, no_items
 from hearthline.llm.alignment import edits_within, similarity
 from hearthline.llm.components import components
-from hearthline.llm.decontamination import GAP, MATCH, MISMATCH, leaks, smith_waterman, without_leaks
+from hearthline.llm.decontamination import GAP, MATCH, MISMATCH, leaks, most_score, smith_waterman, without_leaks
 from hearthline.llm.neardup import near_classes, without_near_copies
 from hearthline.llm.passages import chains, shared_passages
 from hearthline.llm.queries import op1_benchmark_leaks, op2_near_duplicates, op4_shared_passages
@@ -140,6 +140,28 @@ def test_edited_leaks_in_blocks_of_items(spark):
     assert kept.count() == 20 and kept.columns == documents(spark, texts).columns
 
 
+def test_every_edited_copy_of_an_item_is_found(spark):
+    items = [prose(59) for _ in range(42)]
+    copies = [edited(item, 6 + i % 7) for i, item in enumerate(items)]
+    texts = [" ".join([*prose(50), *copy, *prose(50)]) for copy in copies]
+    rows = [(i, " ".join(item)) for i, item in enumerate(items)]
+    benchmark = spark.createDataFrame(rows, "item_id long, text string")
+    shares = {i for i, c in enumerate(copies) if set(runs(word_hashes(" ".join(c)), 4).tolist()) & set(runs(word_hashes(" ".join(items[i])), 4).tolist())}
+    assert len(shares) == 42
+    alone = {(r.doc_id, r.item_id) for r in leaks(documents(spark, texts), benchmark).collect()}
+    assert alone == {(i, i) for i in range(42)}
+    whole = [" ".join([*prose(20), *item, *prose(20)]) for item in items]
+    beside = {(r.doc_id, r.item_id) for r in leaks(documents(spark, texts + whole), benchmark).collect()}
+    assert beside == {(i + n, i) for i in range(42) for n in (0, 42)}
+
+
+def test_bound_of_the_score():
+    chance = random.Random(3)
+    for _ in range(300):
+        a, b = (np.array([chance.randint(0, 9) for _ in range(n)]) for n in (12, 20))
+        assert smith_waterman(a, b)[0] <= most_score(np.isin(a, b))
+
+
 def test_leaks_of_awkward_rows(spark):
     item = spark.createDataFrame([(1, "the same row twice")], "item_id long, text string")
     assert [tuple(r)[:3] for r in leaks(awkward(spark), item).collect()] == [(4, 1, 1.0)]
