@@ -34,6 +34,7 @@ CONTAINERS = frozenset(
     "blockquote figure details dialog fieldset center address".split()
 )
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre caption figcaption summary legend hr".split())
+SECTIONS = frozenset("article main section".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An element that begins here ends an open one of these, up to the given limits.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"})}
@@ -71,6 +72,15 @@ class Block:
         in_list = bool(self.path) and self.path[-1].split(".")[0] in ("ul", "ol")
         return in_list and 0 < len(self.text) <= self.linked
 
+    @property
+    def own_heading(self) -> bool:
+        """Whether it is a heading in the header of an article, not of the site."""
+        return self.heading and any(name.split(".")[0] in SECTIONS for name in self.path[: self.header_at])
+
+    def stands_at(self, depth: int) -> bool:
+        """Whether it is part of the text of the container ``depth`` levels down its path."""
+        return self.aside_at <= depth and (self.header_at <= depth or (self.heading and depth > 0)) and not self.link_list
+
 
 @dataclass
 class _Open:
@@ -184,17 +194,21 @@ def _after(page: str, tag: str, at: int) -> int:
 def scores_of(blocks: list[Block]) -> dict[tuple[str, ...], float]:
     """How well each container holds the page's article, and little else; at most 1.
 
-    Characters of running text in and below a container count for it; those of links
-    and of blocks that are no article count against it.
+    Characters of running text in and below a container count for it; those of links and
+    of blocks that are no article count against it, if they are part of its text. Blocks
+    that are left out of its text do neither, so a container that holds the whole article
+    never scores below a part of it.
     """
     sums: dict[tuple[str, ...], float] = defaultdict(float)
     whole = 0.0
     for block in blocks:
         size = len(block.text)
-        good = 0 if block.aside_at or block.header_at else max(size - 2 * block.linked, -size)
+        other = block.aside_at or (block.header_at and not block.own_heading)
+        good = -size if other else max(size - 2 * block.linked, -size)
         whole += max(good, 0)
         for level in range(len(block.path) + 1):
-            sums[block.path[:level]] += good if good else -size
+            headed = block.heading and not block.aside_at  # counts for the root like for the body
+            sums[block.path[:level]] += good if block.stands_at(level) or (headed and not level) else 0
     return {path: score / whole for path, score in sums.items() if score > 0} if whole else {}
 
 
@@ -210,11 +224,7 @@ def main_text(blocks: list[Block], path: tuple[str, ...] | None) -> str:
 
 def _under(blocks: list[Block], path: tuple[str, ...]) -> str:
     depth = len(path)
-    kept = (
-        b.text
-        for b in blocks
-        if b.path[:depth] == path and b.aside_at <= depth and (b.header_at <= depth or (b.heading and depth)) and not b.link_list
-    )
+    kept = (b.text for b in blocks if b.path[:depth] == path and b.stands_at(depth))
     return "\n\n".join(t for t in kept if t)
 
 

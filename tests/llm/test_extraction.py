@@ -20,6 +20,20 @@ def test_one_page():
     assert main_text(blocks_of(PAGE), ("html", "body", "div.content-#")) == "\n\n".join(expected)
 
 
+def test_a_part_of_the_article_does_not_win_over_it(spark):
+    def page(n):
+        parts = f"<h1>Title {n}</h1><p>{'lead ' * 60}</p><div class='body'><p>{'body ' * 600}</p></div>"
+        return f"<body><nav>n</nav><article>{parts}<div class='comments'>{'comment ' * 125}</div></article></body>"
+
+    expected = lambda n: "\n\n".join([f"Title {n}", " ".join(["lead"] * 60), " ".join(["body"] * 600)])
+    assert main_text(blocks_of(page(1)), None) == expected(1)
+    pages = spark.createDataFrame([(f"http://h/{n}", page(n)) for n in range(4)], "url string, html string")
+    assert [r.path for r in host_paths(pages).collect()] == ["body article"]
+    assert {r.main_text for r in extracted(pages).collect()} == {expected(n) for n in range(4)}
+    headed = f"<header><h1>Site</h1></header><article><header><h1>Own</h1>by</header><div><p>{'text ' * 90}</p></div></article>"
+    assert main_text(blocks_of(headed), None) == "Own\n\n" + " ".join(["text"] * 90)
+
+
 def test_odd_pages():
     cases = {
         "": "",
