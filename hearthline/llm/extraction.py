@@ -44,12 +44,15 @@ ENDS |= {"tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th":
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 ASIDE_WORDS = frozenset(
-    "nav navbar navigation menu sidebar footer header masthead banner ad ads advert advertisement adverts advertising promo "
+    "nav navbar navigation menu sidebar footer masthead banner ad ads advert advertisement adverts advertising promo "
     "sponsor sponsored cookie cookies consent notice notices alert gdpr newsletter subscribe signup comment comments "
     "respond disqus related recommended share sharing social breadcrumb breadcrumbs popup modal overlay widget login "
     "search pagination pager toolbar".split()
 )
 
+#: How sure a mark is: the element itself says so, a whole word of class or id, a part of one.
+SURE, WORD, PART = 3, 2, 1
+
 
 @dataclass
 class Block:
@@ -61,6 +64,7 @@ class Block:
     heading: bool
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
+    marks: tuple[_Open, ...] = ()  # open elements that may be no article or a header
 
     @property
     def text(self) -> str:
@@ -85,18 +89,50 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    aside: bool
-    header: bool
+    aside: int  # how sure it is that it is no article, 0 if nothing says so
+    header: int
     level: int
 
 
-def _is_aside(tag: str, attributes: dict[str, str]) -> bool:
+def _marks(tag: str, attributes: dict[str, str]) -> tuple[int, int]:
+    """How sure it is that an element is no article, and that it is a header."""
+    aside, header = 0, SURE if tag == "header" else 0
     if tag in ASIDE_TAGS or attributes.get("role", "") in ASIDE_ROLES or attributes.get("aria-hidden") == "true":
-        return True
+        aside = SURE
     if "display:none" in attributes.get("style", "").replace(" ", ""):
-        return True
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return tag not in ("html", "body") and not ASIDE_WORDS.isdisjoint(NAME_PART.findall(names))
+        aside = SURE
+    if tag not in ("html", "body"):
+        for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+            if not ASIDE_WORDS.isdisjoint(parts := NAME_PART.findall(name)):
+                aside = max(aside, WORD if name in ASIDE_WORDS else PART)
+            if "header" in parts:
+                header = max(header, WORD if name == "header" else PART)
+    return aside, header
+
+
+def _settle(blocks: list[Block]) -> None:
+    """Sets where each block's asides and headers end, by the text that names would take away.
+
+    A part of a name marks small parts of a page only: an element that holds most of the
+    running text outside of surer asides is part of the article. So is one that a whole
+    word marks, if no running text is left without it.
+    """
+    sizes = [max(len(b.text) - 2 * b.linked, 0) for b in blocks]
+    refuted: set[int] = set()
+    for sure, most in ((WORD, 1.0), (PART, 0.5)):
+        held: dict[int, int] = defaultdict(int)
+        whole = 0
+        for block, size in zip(blocks, sizes, strict=True):
+            if any(o.aside > sure and id(o) not in refuted for o in block.marks):
+                continue
+            whole += size
+            for o in block.marks:
+                if sure in (o.aside, o.header):
+                    held[id(o)] += size
+        refuted.update(o for o, size in held.items() if whole and (size > most * whole or size == whole))
+    for block in blocks:
+        block.aside_at = max((o.level for o in block.marks if o.aside == SURE or (o.aside and id(o) not in refuted)), default=0)
+        block.header_at = max((o.level for o in block.marks if o.header == SURE or (o.header and id(o) not in refuted)), default=0)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -142,10 +178,8 @@ def blocks_of(page: str) -> list[Block]:
             if current is None:
                 if text.isspace():
                     continue
-                asides = [o.level for o in stack if o.aside]
-                headers = [o.level for o in stack if o.header]
                 heading = any(o.tag in HEADINGS for o in stack)
-                current = Block(tuple(path), max(asides, default=0), max(headers, default=0), heading)
+                current = Block(tuple(path), 0, 0, heading, marks=tuple(o for o in stack if o.aside or o.header))
                 found.append(current)
             text = entities.unescape(text)
             current.pieces.append(text)
@@ -170,22 +204,25 @@ def blocks_of(page: str) -> list[Block]:
             current.pieces.append(" ")
         if tag in VOID:
             continue
-        opened = _Open(tag, False, False, len(path))
+        opened = _Open(tag, 0, 0, len(path))
         if tag in CONTAINERS or tag in LEAVES:
             attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(token["rest"])}
             if tag in CONTAINERS:
                 classes = ".".join(sorted(NUMBER.sub("#", attributes.get("class", "").lower()).split()))
                 path.append(f"{tag}.{classes}" if classes else tag)
-            aside = _is_aside(tag, attributes) or bool(HIDDEN.search(ATTRIBUTE.sub("", token["rest"])))
-            opened = _Open(tag, aside, tag == "header", len(path) + (tag not in CONTAINERS))
+            aside, header = _marks(tag, attributes)
+            if HIDDEN.search(ATTRIBUTE.sub("", token["rest"])):
+                aside = SURE
+            opened = _Open(tag, aside, header, len(path) + (tag not in CONTAINERS))
         stack.append(opened)
         links += tag == "a"
+    _settle(found)
     return found
 
 
 def _after(page: str, tag: str, at: int) -> int:
     """The place after the end tag of an element whose content does not count."""
-    end = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(page, at)
+    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
     if tag in RAW:
         return end.end() if end else len(page)
     return end.end() if end else at

@@ -34,6 +34,23 @@ def test_a_part_of_the_article_does_not_win_over_it(spark):
     assert main_text(blocks_of(headed), None) == "Own\n\n" + " ".join(["text"] * 90)
 
 
+def test_names_of_wrappers_take_nothing_away():
+    inner = f"<div class='entry-header'><h1>Title</h1>by me</div><p>{'text ' * 90}</p><div class='site-footer'>foot</div>"
+    inner += "<div class='related-posts'><p>other</p></div>"
+    text = "Title\n\n" + " ".join(["text"] * 90)
+    for name in ("has-sidebar", "no-sidebar", "content-with-nav", "page-header-fixed", "menu-open", "search"):
+        for attribute in ("class", "id"):
+            page = f"<body><nav>n</nav><div {attribute}='{name}'><article>{inner}</article></div></body>"
+            assert main_text(blocks_of(page), None) == text, name
+    comments = f"<body><article>{inner}</article><div class='comments'><p>{'comment ' * 300}</p></div></body>"
+    assert main_text(blocks_of(comments), None) == text
+
+
+def test_head_without_an_end():
+    page = f"<html><head><title>t</title><style>s</style><body><p>Lead.</p><article><header><h1>T</h1></header><p>{'x ' * 9}</p></article>"
+    assert main_text(blocks_of(page), ("html",)) == "Lead.\n\nT\n\nx x x x x x x x x"
+
+
 def test_odd_pages():
     cases = {
         "": "",
