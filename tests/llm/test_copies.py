@@ -200,6 +200,22 @@ def test_planted_passages(spark):
     assert len(rows) <= 2 * len(texts)
 
 
+def test_passages_of_which_every_part_is_frequent(spark):
+    shared = prose(60)
+    parts = [shared[:40], shared[20:]]
+    ends = [" ".join([*prose(60), *part, *prose(60)]) for part in parts]
+    both = [" ".join([*prose(70), *shared, *prose(70)]) for _ in range(2)]
+    late = [" ".join([*prose(50), *part, *prose(50)]) for part in parts]
+    exact = prose(50)
+    both += [" ".join([*prose(70), *exact, *prose(n)]) for n in (70, 80)]
+    pieces = [" ".join([*prose(60), *exact[n : n + 40], *prose(60)]) for n in (0, 10)]
+    texts = [*ends, *pieces, *both, *late, *pieces]
+    rows = shared_passages(documents(spark, texts)).collect()
+    found = {(min(r.doc_id, r.other_id), max(r.doc_id, r.other_id)) for r in rows}
+    assert {(4, 5), (6, 7)} <= found
+    assert {(r.first_word, r.end_word) for r in rows if {r.doc_id, r.other_id} == {4, 5}} == {(70, 130)}
+
+
 def test_passages_query_names_all_documents_with_a_shared_run(spark):
     texts = dict(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect())
     met = defaultdict(set)
