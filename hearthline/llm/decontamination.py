@@ -26,6 +26,7 @@ from hearthline.session import materialize
 
 WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
+SHORT = 12  # items of fewer words count only if they stand in a text as they are
 
 
 @lru_cache(maxsize=1)
@@ -62,6 +63,7 @@ class Items:
     words: list[np.ndarray]
     seeds: np.ndarray  # sorted hashes
     places: dict[int, list[tuple[int, int]]]  # seed: (item, its place there)
+    widths: list[int]  # of the seeds: items of fewer words have one seed of all their words
 
     @classmethod
     def of(cls, keys: list, words: list[np.ndarray], width: int) -> Items:
@@ -69,7 +71,7 @@ class Items:
         for i, item in enumerate(words):
             for at, gram in enumerate(runs(item, width).tolist()):
                 places[gram].append((i, at))
-        return cls(keys, words, np.array(sorted(places), np.uint64), dict(places))
+        return cls(keys, words, np.array(sorted(places), np.uint64), dict(places), sorted({min(len(w), width) for w in words}))
 
     def hits(self, grams: np.ndarray) -> np.ndarray:
         """The places in ``grams`` where a seed stands."""
@@ -80,27 +82,29 @@ class Items:
 
     def found_in(self, words: np.ndarray, width: int, least: float) -> Iterator[tuple]:
         """(item key, score, begin, end) of each item's best passage in a text."""
-        grams = runs(words, width)
         begins: dict[int, list[int]] = defaultdict(list)
-        for at in self.hits(grams).tolist():
-            for i, place in self.places[int(grams[at])]:
-                begins[i].append(at - place)
+        for size in self.widths:
+            grams = runs(words, size) if len(words) >= size else words[:0]
+            for at in self.hits(grams).tolist():
+                for i, place in self.places[int(grams[at])]:
+                    begins[i].append(at - place)
         if not begins:
             return
         there = np.unique(words)
         for i in self._reachable(list(begins), there, least):
             item = self.words[i]
+            needed = (1.0 if len(item) < SHORT else least) * MATCH * len(item)
             reach = len(item) // 2 + width
             best = (0.0, 0, 0)
             for low, high in _near(sorted(begins[i]), len(item)):
                 low, high = max(0, low - reach), min(len(words), high + len(item) + reach)
-                if most_score(np.isin(item, words[low:high])) < least * MATCH * len(item):
+                if most_score(np.isin(item, words[low:high])) < needed:
                     continue
                 score, end = smith_waterman(item, words[low:high])
                 if score > best[0]:
                     best = score, low, low + end
             score, low, end = best
-            if score >= least * MATCH * len(item):
+            if score >= needed:
                 _, back = smith_waterman(item[::-1], words[low:end][::-1])
                 yield self.keys[i], score / (MATCH * len(item)), end - back, end
 
@@ -110,7 +114,7 @@ class Items:
         every = np.concatenate([self.words[i] for i in found])
         known = there[np.minimum(np.searchsorted(there, every), len(there) - 1)] == every
         shares = np.add.reduceat(known, np.cumsum(sizes) - sizes, dtype=np.int64)
-        return [found[k] for k in np.flatnonzero(shares >= least * sizes)]
+        return [found[k] for k in np.flatnonzero(shares >= np.where(sizes < SHORT, 1.0, least) * sizes)]
 
 
 def most_score(known: np.ndarray) -> int:
@@ -149,7 +153,9 @@ def leaks(
     each item are looked up in all texts, whatever their number there. Where one is met,
     the passage around it is aligned with the item, unless too few of the item's words
     stand in it for ``least``; the score is the alignment's, as a share of a perfect one,
-    and ``least`` is the lowest returned. ``first_word`` and ``end_word`` bound the passage.
+    and ``least`` is the lowest returned; for items of fewer than ``SHORT`` words it is 1, and
+    those of fewer than ``width`` words are looked up whole. ``first_word`` and ``end_word``
+    bound the passage.
 
     Items are taken in blocks of about ``block``, the only data sent to every task; the
     number of blocks follows the benchmark. Texts are read whole, once per block, and

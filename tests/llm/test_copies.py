@@ -155,6 +155,15 @@ def test_every_edited_copy_of_an_item_is_found(spark):
     assert beside == {(i + n, i) for i in range(42) for n in (0, 42)}
 
 
+def test_short_items_are_found_as_they_are(spark):
+    items = [prose(n) for n in (1, 2, 3, 5, 8, 11)]
+    texts = [" ".join([*prose(30), *item, *prose(30)]) for item in items] + [" ".join([*prose(30), *items[4][:4], *prose(30)])]
+    benchmark = spark.createDataFrame([(i, " ".join(f"{w}q" for w in item)) for i, item in enumerate(items)], "item_id long, text string")
+    marked = [" ".join(f"{w}q" if w in items[min(i, 4)] or (i < 6 and w in items[i]) else w for w in t.split()) for i, t in enumerate(texts)]
+    got = leaks(documents(spark, marked), benchmark).collect()
+    assert {(r.doc_id, r.item_id, r.score) for r in got} == {(i, i, 1.0) for i in range(6)}
+
+
 def test_bound_of_the_score():
     chance = random.Random(3)
     for _ in range(300):
