@@ -40,7 +40,7 @@ def with_position_global(spark, sf):
 def with_position_chunked(spark, sf):
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
     df = table(spark, sf, "lineitem").select("l_returnflag", *order)
-    numbered = position.with_position(df, order, keys=["l_returnflag"], chunk_rows=2000)
+    numbered = position.with_position(df, order, keys=["l_returnflag"], parts=32)
     return numbered.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "timestep")
 
 
@@ -72,7 +72,7 @@ def value_runs(spark, sf):
 )
 def value_runs_by_key(spark, sf):
     df = table(spark, sf, "events").withColumn("k", F.col("user_id") % 3)
-    return position.value_runs(df, "event_type", "event_id", keys=["k"], min_len=2, chunk_rows=100)
+    return position.value_runs(df, "event_type", "event_id", keys=["k"], min_len=2, parts=50)
 
 
 SERIES_SQL = """{n} AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS timestep, event_id AS {n}_event_id, value AS {n}_value

@@ -86,9 +86,9 @@ FROM (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS a, quantile_c
       FROM lineitem GROUP BY 1), (VALUES (0.25::DOUBLE), (0.75::DOUBLE)) t(q)""",
 )
 def quantiles_by_bucket(spark, sf):
-    """The form for large tables, whatever the size."""
+    """Brackets of a coarse sketch, which hold few of the rows at every size."""
     df = table(spark, sf, "lineitem")
-    return rounded(stats.quantiles(df, ["l_extendedprice"], [0.25, 0.75], keys=["l_returnflag"], chunk_rows=500))
+    return rounded(stats.quantiles(df, ["l_extendedprice"], [0.25, 0.75], keys=["l_returnflag"], accuracy=500))
 
 
 IQR_SQL = """b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)"""

@@ -1,63 +1,65 @@
 """Positions, neighbours and runs in ordered series of any length.
 
-A series may be as long as the table, so nothing here sorts a whole series in
-one task. Rows are dealt into chunks that follow each other in the order of
-series and row; a window works inside a chunk, and what crosses chunks is
-carried by one small summary row per chunk (positions), by its first and last
-run (runs), or by repeating the rows next to a border (neighbours).
-
-Where chunks begin follows from the rows alone: a row begins one if its hash
-says so, at a rate that gives chunks of ``CHUNK_ROWS`` rows on average. So a
-plan holds at every size, needs no look at the data before it runs, and gives
-the same chunks wherever Spark evaluates them again.
+A series may be as long as the table, so nothing here sorts a whole series in one
+task. Rows go through Spark's own range exchange on keys and order, and are stored once
+with the number of their partition and their place in it. A stored row can be read
+again any number of times, on any executor, without its partition changing. What crosses
+partitions is folded along their order from a few numbers per partition: its count for
+positions, whether its first run goes on from an earlier one for runs. Rows next to a
+border are repeated for neighbours.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from hearthline.functions.numbers import PACKED, clean, packed, ref, unpacked
+from hearthline.session import stored
 
+PART = "_hl_part"
 CHUNK = "_hl_chunk"
-CHUNK_ROWS = 2**18
-MOST_CHUNKS = 2**16
+_PLACE = "_hl_place"
 _ROW = "_hl_row"
 
 
-def _count_not_above(borders: Column, row: Column) -> Column:
-    """How many of the sorted ``borders`` are not above ``row``, by bisection."""
-    steps = F.array(*[F.lit(2**i) for i in range(MOST_CHUNKS.bit_length() - 1, -1, -1)])
+def in_order(df: DataFrame, order_by: Sequence[str], parts: int | None = None) -> DataFrame:
+    """A stored copy in range partitions of ``order_by``, with partition and place in it.
 
-    def further(found: Column, step: Column) -> Column:
-        reached = found + step
-        inside = reached <= F.size(borders)
-        return F.when(inside & (F.get(borders, F.when(inside, reached - 1).otherwise(0)) <= row), reached).otherwise(found)
+    NULL comes first and NaN last, as in a sort; only rows that are equal in all of
+    ``order_by`` are never parted. ``parts`` is the number of partitions, by default
+    that of the session's shuffles.
+    """
+    order = [ref(c) for c in order_by]
+    ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    placed = ranged.sortWithinPartitions(*order).withColumn(_PLACE, F.monotonically_increasing_id())
+    within = F.lit(2**33 - 1)
+    kept = placed.withColumns({PART: F.shiftright(_PLACE, 33), _PLACE: F.col(_PLACE).bitwiseAND(within)})
+    return stored(kept, "in-order")
 
-    return F.when(F.size(borders) == 0, 0).otherwise(F.aggregate(steps, F.lit(0), further))
 
+def _by_part(values: dict[int, int | bool]) -> Column:
+    """The value of a row's partition, from one array that the plan holds as a constant."""
+    listed = [values.get(i) for i in range(max(values, default=-1) + 1)]
+    kind = "array<boolean>" if any(isinstance(v, bool) for v in listed) else "array<bigint>"
+    return F.get(F.from_json(F.lit(json.dumps(listed)), kind), F.col(PART).cast("int"))
 
-def with_chunk(df: DataFrame, order_by: Sequence[str], keys: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Add the packed keys and the number of the row's chunk.
 
-    Chunks follow the order of keys and ``order_by``, whatever the types; NULL
-    comes first and NaN last, as in a sort. A chunk holds ``chunk_rows`` rows on
-    average; only rows that are equal in all these columns are never parted. The
-    borders, at most ``MOST_CHUNKS`` (chunks grow beyond that), are a subquery.
-    """
-    named = [*keys, *order_by]
-    row = F.struct(*[ref(c).alias(f"c{i}") for i, c in enumerate(named)])
-    rows = df.select(row.alias(_ROW))
-    rate = F.greatest(F.lit(chunk_rows), F.ceil(F.count(F.lit(1)) / MOST_CHUNKS)).cast("bigint")
-    rate = rows.agg(F.when(F.count(F.lit(1)) > chunk_rows, rate).alias("rate"))
-    begins = F.pmod(F.xxhash64(_ROW), rate.scalar()) == 0
-    borders = rows.where(begins).agg(F.slice(F.array_sort(F.collect_set(_ROW)), 1, MOST_CHUNKS).alias("borders"))
-    number = _count_not_above(F.col("_hl_borders"), F.col(_ROW))
-    spread = packed(df, keys).withColumn(_ROW, row).withColumn("_hl_borders", borders.scalar())
-    return spread.withColumn(CHUNK, number).drop(_ROW, "_hl_borders")
+def _counts(copy: DataFrame) -> dict[int, int]:
+    """Rows per partition, in order: one number each, as for numbering any Spark partitions."""
+    return {r[PART]: r["count"] for r in copy.groupBy(PART).count().orderBy(PART).collect()}
+
+
+def _indexed(copy: DataFrame) -> DataFrame:
+    """The copy with the row's index in the whole order. Nothing is exchanged."""
+    counts = _counts(copy)
+    before = dict(zip(counts, accumulate(counts.values(), initial=0)))
+    return copy.withColumn(_ROW, _by_part(before) + F.col(_PLACE))
 
 
 def with_position(
@@ -66,23 +68,21 @@ def with_position(
     keys: Sequence[str] = (),
     name: str = "timestep",
     start: int = 0,
-    chunk_rows: int = CHUNK_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Number the rows of each series 0, 1, 2, ... in the given order.
 
-    One exchange of the rows, on the keys and the chunk; one row per chunk is
-    summed up over a series. ``order_by`` should identify a row within its
-    series, or equal rows are numbered in no particular order.
+    One range exchange of the rows, on the keys and the order. A row's index is its
+    place plus the rows of earlier partitions; a series begins at the least index of
+    its rows. ``order_by`` should identify a row within its series, or equal rows are
+    numbered in no particular order. The ordered copy is stored when this is called.
     """
-    chunked = with_chunk(df, order_by, keys, chunk_rows)
-    sizes = chunked.groupBy(PACKED, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(PACKED).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(PACKED, CHUNK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(PACKED, CHUNK).orderBy(*[ref(c) for c in order_by])
-    numbered = chunked.withColumn("_inside", F.row_number().over(inside))
-    return numbered.join(before, [PACKED, CHUNK]).select(
-        *[ref(c) for c in df.columns], (F.col("_before") + F.col("_inside") - 1 + start).alias(name)
-    )
+    rows = _indexed(in_order(packed(df, keys), [*keys, *order_by], parts))
+    position = F.col(_ROW)
+    if keys:
+        rows = rows.join(rows.groupBy(PACKED).agg(F.min(_ROW).alias("_begins")), PACKED)
+        position = position - F.col("_begins")
+    return rows.select(*[ref(c) for c in df.columns], (position + start).alias(name))
 
 
 def with_neighbours(
@@ -93,19 +93,21 @@ def with_neighbours(
     before: int = 0,
     after: int = 0,
     bits: int = 16,
+    parts: int | None = None,
 ) -> DataFrame:
     """Window expressions that look at most ``before`` rows back and ``after`` on.
 
     Rows are neighbours in the order of ``position``, which need not be without
     gaps; rows that have none come first. ``values`` maps a new column to a function of the window, for example
     ``{"d": lambda w: F.lag("x").over(w)}``; a later one may use an earlier one,
-    and the reach is that of all of them together. Only the rows within reach of
-    a chunk border are sent twice, so long series stay split.
+    and the reach is that of all of them together. Chunks of ``2 ** bits`` rows follow
+    each other in the order of all rows, whatever their series; only the rows within
+    reach of a chunk border are sent twice, so long series stay split.
     """
     width = 2**bits
     if max(before, after) >= width:
         raise ValueError("the reach must be smaller than a chunk")
-    spread = with_position(df, [position], keys, _ROW)
+    spread = _indexed(in_order(df, [*keys, position], parts))
     p = F.col(_ROW)
     home = F.shiftright(p, bits)
     offset = p - F.shiftleft(home, bits)
@@ -118,16 +120,7 @@ def with_neighbours(
     w = Window.partitionBy(*[ref(k) for k in keys], CHUNK).orderBy(p)
     for name, make in values.items():
         spread = spread.withColumn(name, make(w))
-    return spread.where(F.col(CHUNK) == home).drop(CHUNK, _ROW)
-
-
-def _folded(pieces: DataFrame, by: Sequence[str], group: str) -> DataFrame:
-    return pieces.groupBy(*by, group).agg(
-        F.max("value").alias("value"),
-        F.sum("length").alias("length"),
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-    )
+    return spread.where(F.col(CHUNK) == home).drop(CHUNK, _ROW, PART, _PLACE)
 
 
 def value_runs(
@@ -136,41 +129,60 @@ def value_runs(
     order_by: str,
     keys: Sequence[str] = (),
     min_len: int = 1,
-    chunk_rows: int = CHUNK_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Runs of equal consecutive values: keys, value, length, start, end.
 
     A missing value (NULL or NaN) equals nothing, so it is a run of its own.
-    Runs are found inside chunks; only the first and last run of a chunk can go
-    on in the next one, so only those are stitched.
+    Runs are closed inside range partitions; only a partition's first run can go on
+    from an earlier one. Which partition a run began in is a fold along the
+    partitions: the latest one that is not wholly inside that run. The ordered copy
+    is stored, and the fold runs, when this is called.
     """
     value = clean(df, col) if isinstance(col, str) else col
-    chunked = with_chunk(df.withColumn("_hl_value", value), [order_by], keys, chunk_rows)
-    part = [PACKED, CHUNK]
-    wanted = [*unpacked(keys), "value", "length", "start", "end"]
-    rows = chunked.select(
-        *part,
-        clean(chunked, "_hl_value").alias("value"),
-        F.lit(1).cast("bigint").alias("length"),
-        ref(order_by).alias("start"),
-        ref(order_by).alias("end"),
-    )
-    inside = Window.partitionBy(*part).orderBy("start")
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)  # rows of one place stay apart
-    same = F.coalesce(F.col("value") == F.lag("value").over(inside), F.lit(False))
-    numbered = rows.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(upto))
-    pieces = _folded(numbered, part, "_run")
-    pieces = pieces.withColumn("_last", F.max("_run").over(Window.partitionBy(*part)))
-    at_edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_last"))
-    inner = pieces.where(~at_edge)
-    along = Window.partitionBy(PACKED).orderBy(CHUNK, "_run")
-    goes_on = F.coalesce(
-        (F.col("value") == F.lag("value").over(along)) & (F.col(CHUNK) != F.lag(CHUNK).over(along)), F.lit(False)
+    valued = df.withColumn("_hl_value", value)
+    rows = packed(valued, keys).select(PACKED, clean(valued, "_hl_value").alias("value"), ref(order_by).alias("start"))
+    copy = in_order(rows, [PACKED, "start"], parts)
+    inside = Window.partitionBy(PART).orderBy(_PLACE)
+
+    def same(neighbour: Callable) -> Column:
+        equal = (F.col("value") == neighbour("value").over(inside)) & (F.col(PACKED) == neighbour(PACKED).over(inside))
+        return F.coalesce(equal, F.lit(False))
+
+    marked = copy.withColumns({"_begins": ~same(F.lag), "_ends": ~same(F.lead)}).where("_begins OR _ends")
+    last = F.struct(F.col(_PLACE).alias("place"), F.col("start").alias("start"))
+    marked = marked.withColumn("_last", F.when(F.col("_ends"), last).otherwise(F.lead(last).over(inside))).where("_begins")
+    length = (F.col("_last.place") - F.col(_PLACE) + 1).alias("length")
+    pieces = stored(marked.select(PART, _PLACE, PACKED, "value", length, "start", F.col("_last.start").alias("end")), "runs")
+
+    edge = F.struct(PACKED, "value")
+    ends = pieces.groupBy(PART).agg(
+        F.count(F.lit(1)).alias("runs"),
+        F.min_by(edge, _PLACE).alias("_first"),
+        F.max_by(edge, _PLACE).alias("_last"),
+        F.max(_PLACE).alias("place"),
     )
-    edges = (
-        pieces.where(at_edge)
-        .withColumn("_new", F.when(goes_on, 0).otherwise(1))
-        .withColumn("_group", F.sum("_new").over(along))
+    filled = list(_counts(pieces))
+    was = ends.select(F.col(PART).alias("_earlier"), F.col("_last").alias("_was"))
+    met = ends.withColumn("_earlier", _by_part(dict(zip(filled[1:], filled)))).join(was, "_earlier", "left")
+    goes_on = (F.col("_first.value") == F.col("_was.value")) & (F.col(f"_first.{PACKED}") == F.col(f"_was.{PACKED}"))
+    met = met.select(PART, F.coalesce(goes_on, F.lit(False)).alias("on"), "runs", "place")
+    summary = {r[PART]: r for r in met.orderBy(PART).collect()}
+    # The partition in which a run going into the next one began.
+    began = accumulate(summary, lambda last, part: last if summary[part]["on"] and summary[part]["runs"] == 1 else part)
+    began_before = dict(zip(list(summary)[1:], began))
+
+    # The run that an earlier partition began, or else this one's own.
+    of_earlier = _by_part({part: r["on"] for part, r in summary.items()}) & (F.col(_PLACE) == 0)
+    named = pieces.withColumn("_home", F.when(of_earlier, _by_part(began_before)).otherwise(F.col(PART)))
+    named = named.withColumn("_open", of_earlier | (F.col(_PLACE) == _by_part({part: r["place"] for part, r in summary.items()})))
+    wanted = [*unpacked(keys), "value", "length", "start", "end"]
+    in_order_of = F.struct(PART, _PLACE)
+    across = named.where("_open").groupBy("_home", PACKED).agg(
+        F.max("value").alias("value"),
+        F.sum("length").alias("length"),
+        F.min_by("start", in_order_of).alias("start"),
+        F.max_by("end", in_order_of).alias("end"),
     )
-    stitched = _folded(edges, [PACKED], "_group")
-    return inner.select(*wanted).unionByName(stitched.select(*wanted)).where(F.col("length") >= min_len)
+    closed = named.where("NOT _open").select(*wanted)
+    return closed.unionByName(across.select(*wanted)).where(F.col("length") >= min_len)

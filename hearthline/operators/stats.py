@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,21 +13,10 @@ from hearthline.functions.numbers import (
     is_missing,
     is_numeric,
     packed,
-    quoted,
     ref,
+    unpacked,
 )
 from hearthline.operators.columns import numeric_columns
-from hearthline.operators.position import CHUNK, CHUNK_ROWS, with_chunk
-
-
-def _long(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """``(keys, column, value DOUBLE)`` rows without the missing values."""
-    cells = [F.struct(F.lit(c).alias("column"), clean(df, c).cast("double").alias("value")) for c in cols]
-    return (
-        df.select(*[ref(k) for k in keys], F.explode(F.array(*cells)).alias("_c"))
-        .select(*[ref(k) for k in keys], "_c.column", "_c.value")
-        .where(F.col("value").isNotNull())
-    )
 
 
 def _rows_per_column(agg: DataFrame, cells: list[Column]) -> DataFrame:
@@ -66,50 +54,75 @@ def column_range(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def quantiles(
-    df: DataFrame, cols: Sequence[str], qs: Sequence[float], keys: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS
+    df: DataFrame, cols: Sequence[str], qs: Sequence[float], keys: Sequence[str] = (), accuracy: int = 10_000
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: keys, column, q, quantile.
 
-    Values are dealt into chunks that follow each other (see ``with_chunk``).
-    Rows are counted per chunk in the map tasks, which tells the few chunks per
-    group that hold a wanted rank; only their values are counted and ranked. No
-    task ranks more than a chunk's distinct values.
+    Two scans for all columns together. The first builds a mergeable sketch per key and
+    column, whose ranks are off by at most 1 in ``accuracy``; twice that on either side of
+    a wanted rank gives a bracket that holds it. The second counts the rows below each
+    bracket and the values inside, a few in ``accuracy`` of all, and only those are
+    ranked. A group of less than four times ``accuracy`` rows is its own bracket,
+    and a bracket that would reach beyond the first or last rank ends at the least or
+    greatest value.
     """
-    values = packed(_long(df, cols, keys), keys).select(F.struct(F.col(PACKED).alias("keys"), "column").alias("_group"), "value")
-    chunked = with_chunk(values, ["value"], ["_group"], chunk_rows).select("_group", "value", CHUNK)
-    rows = F.count(F.lit(1)).alias("n")
-    sizes = chunked.groupBy("_group", CHUNK).agg(rows)
-    group = Window.partitionBy("_group")
-    placed = sizes.withColumn("total", F.sum("n").over(group)).withColumn("_from", _rank_before(["_group"], CHUNK))
-    kept = placed.where(_holds_a_rank(qs)).select("_group", CHUNK, "total", F.col("_from").alias("_before"))
-    counted = chunked.join(kept, ["_group", CHUNK]).groupBy("_group", CHUNK, "total", "_before", "value").agg(rows)
-    ranked = counted.withColumn("_from", F.col("_before") + _rank_before(["_group", CHUNK], "value")).where(_holds_a_rank(qs))
-    at_rank = ranked.groupBy("_group", "total").agg(F.sort_array(F.collect_list(F.struct("_from", "value"))).alias("_at"))
-
-    def at(place: Column) -> Column:
-        """The value of the last entry that begins at or before a rank."""
-        return F.element_at(F.filter("_at", lambda e: e["_from"] <= place), -1)["value"]
-
+    wide = [(i, float(q)) for i in range(len(cols)) for q in qs]
+    if not wide:
+        raise ValueError("no column or no quantile is named")
+    values = packed(df, keys).select(PACKED, *[clean(df, c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    ends = [min(max(q + side * 2.0 / accuracy, 0.0), 1.0) for q in qs for side in (-1, 1)]
+    sketches = []
+    for i in range(len(cols)):
+        v = F.col(f"v{i}")
+        sketches += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+        sketches.append(F.percentile_approx(v, ends, accuracy).alias(f"s{i}"))
+    sketched = values.groupBy(PACKED).agg(*sketches)
+    bracket = []
+    for at, (i, _) in enumerate(wide):
+        few, place = F.col(f"n{i}") < 4 * accuracy, 2 * (at % len(qs))
+        low, high = (
+            F.when(few | F.lit(ends[place + side] in (0.0, 1.0)), F.col(f"{end}{i}")).otherwise(F.get(f"s{i}", F.lit(place + side)))
+            for end, side in (("lo", 0), ("hi", 1))
+        )
+        bracket.append(F.struct(low.alias("low"), high.alias("high"), F.col(f"n{i}").alias("total")))
+    brackets = sketched.select(PACKED, *[b.alias(f"b{at}") for at, b in enumerate(bracket)])
+
+    cells, below = [], []
+    for at, (i, _) in enumerate(wide):
+        v, b = F.col(f"v{i}"), f"b{at}"
+        cells.append(F.when((v >= F.col(f"{b}.low")) & (v <= F.col(f"{b}.high")), F.struct(F.lit(at).alias("at"), v.alias("value"))))
+        below.append(F.when(v < F.col(f"{b}.low"), 1).otherwise(0).alias(f"l{at}"))
+    every_row = F.struct(F.lit(-1).alias("at"), F.lit(None).cast("double").alias("value"))
+    spread = values.join(brackets, PACKED).select(PACKED, *below, F.explode(F.array_compact(F.array(every_row, *cells))).alias("_c"))
+    counted = spread.groupBy(PACKED, "_c").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(f"l{at}") for at in range(len(wide))]).alias("below")
+    )
+    group = Window.partitionBy(PACKED)
+    known = counted.withColumn("below", F.max(F.when(F.col("_c.at") < 0, F.col("below"))).over(group)).where("_c.at >= 0")
+    inside = Window.partitionBy(PACKED, "_c.at").orderBy("_c.value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    named = known.join(brackets.select(PACKED, F.array(*[f"b{at}.total" for at in range(len(wide))]).alias("total")), PACKED)
+    placed = named.select(
+        PACKED,
+        F.col("_c.at").alias("at"),
+        F.col("_c.value").alias("value"),
+        (F.get("below", "_c.at") + F.sum("n").over(inside)).alias("upto"),
+        "n",
+        F.get("total", "_c.at").alias("total"),
+        F.get(F.array(*[F.lit(q) for _, q in wide]), "_c.at").alias("q"),
+    )
     place = F.col("q") * (F.col("total") - 1)
-    low, high = at(F.floor(place)), at(F.ceil(place))
+
+    def at_rank(rank: Column) -> Column:
+        return F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")), F.col("value")))
+
+    found = placed.groupBy(PACKED, "at", "q", "total").agg(at_rank(F.floor(place)).alias("low"), at_rank(F.ceil(place)).alias("high"))
     part = place - F.floor(place)
+    missed = F.raise_error(F.lit("a sketch was less accurate than it promises; raise `accuracy`"))
+    low, high = (F.coalesce(end, missed.cast("double")) for end in ("low", "high"))
     # At a whole rank no neighbour is involved, so infinities stay what they are.
     between = F.when((part == 0.0) | (low == high), low).otherwise(low * (1.0 - part) + high * part)
-    listed = F.array(*[F.lit(float(q)) for q in qs])
-    named = [F.col(f"_group.keys.{quoted(k)}").alias(k) for k in keys]
-    return at_rank.select("*", F.explode(listed).alias("q")).select(*named, "_group.column", "q", between.alias("quantile"))
-
-
-def _rank_before(by: Sequence[str], order: str) -> Column:
-    """Rows in the entries before this one."""
-    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return F.sum("n").over(upto) - F.col("n")
-
-
-def _holds_a_rank(qs: Sequence[float]) -> Column:
-    """Whether one of the wanted ranks is among an entry's ``n`` rows from ``_from`` on."""
-    places = [F.lit(float(q)) * (F.col("total") - 1) for q in qs]
-    return reduce(lambda a, b: a | b, [(F.ceil(p) >= F.col("_from")) & (F.floor(p) < F.col("_from") + F.col("n")) for p in places])
+    column = F.get(F.array(*[F.lit(cols[i]) for i, _ in wide]), "at").alias("column")
+    return found.select(*unpacked(keys), column, "q", between.alias("quantile"))
 
 
 def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

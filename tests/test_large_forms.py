@@ -24,7 +24,7 @@ def hot(spark):
     return df, pdf
 
 
-FORMS = [{}, {"chunk_rows": 3}, {"chunk_rows": 200}]
+FORMS = [{}, {"parts": 1}, {"parts": 40}]
 
 
 @pytest.mark.parametrize("form", FORMS)
@@ -60,7 +60,7 @@ def test_positions_by_local_time(spark):
         df = spark.range(600).selectExpr(
             "id", "timestamp_ntz'2024-03-10 00:00:00' + make_dt_interval(0, 0, int(id), 0) AS ts"
         )
-        got = position.with_position(df, ["ts"], chunk_rows=20)
+        got = position.with_position(df, ["ts"], parts=20)
         assert got.where("id <> timestep").count() == 0
         assert got.count() == 600
     finally:
@@ -76,19 +76,36 @@ def test_runs(hot, form):
 
 def test_run_over_many_chunks(spark):
     df = spark.range(1000).selectExpr("id AS o", "IF(id BETWEEN 100 AND 899, 1.0, id) AS v")
-    got = position.value_runs(df, "v", "o", min_len=2, chunk_rows=16).collect()
+    got = position.value_runs(df, "v", "o", min_len=2, parts=24).collect()
     assert [tuple(r) for r in got] == [(1.0, 800, 100, 899)]
 
 
-def test_chunks_follow_the_rows(spark):
+def test_partitions_follow_the_rows(spark):
     """One far value, a dense range and ties of the first column change nothing."""
     dense = spark.range(9000).selectExpr("'a' AS k", "id AS o", "0 AS tied").union(
         spark.createDataFrame([("a", 10**15, 0), ("b", 1, 0), ("b", 10**14, 0)], "k string, o bigint, tied int")
     )
-    for order in (["o"], ["tied", "o"]):
-        chunked = position.with_chunk(dense, order, ["k"], chunk_rows=250)
-        sizes = [r["count"] for r in chunked.groupBy("k", position.CHUNK).count().collect()]
-        assert sum(sizes) == 9003 and max(sizes) <= 10 * 250 and len(sizes) < 80
+    for order in (["k", "o"], ["k", "tied", "o"]):
+        copy = position.in_order(dense, order, parts=36)
+        sizes = [r["count"] for r in copy.groupBy(position.PART).count().collect()]
+        assert sum(sizes) == 9003 and max(sizes) <= 10 * 250 and len(sizes) > 20
+
+
+def test_a_stored_order_reads_the_same_twice(spark):
+    """Two readings of a copy agree on every row's partition, and plans carry no list of borders."""
+    df = spark.range(5000).selectExpr("hash(id) AS o", "id % 3 AS k").repartition(7)
+    copy = position.in_order(df, ["o"], parts=40)
+    assert copy.exceptAll(copy).isEmpty()
+    numbered = position.with_position(df, ["o"], ["k"], parts=40)
+    assert "aggregate(" not in numbered._jdf.queryExecution().toString()
+
+
+def test_many_partitions(spark):
+    df = spark.range(2000).selectExpr("id AS o", "CASE WHEN id % 100 < 60 THEN 1.0 END AS v")
+    got = position.with_position(df, ["o"], parts=150)
+    assert got.where("o <> timestep").isEmpty()
+    runs = position.value_runs(df, "v", "o", min_len=2, parts=150).collect()
+    assert sorted(tuple(r)[1:] for r in runs) == [(60, i, i + 59) for i in range(0, 2000, 100)]
 
 
 def test_any_type_orders_rows(spark):
@@ -99,17 +116,14 @@ def test_any_type_orders_rows(spark):
         for form in FORMS:
             got = position.with_position(df, order, **form).toPandas().sort_values("timestep")
             assert got["i"].tolist() == whole and got["timestep"].tolist() == list(range(len(whole)))
-    runs = position.value_runs(df.orderBy("i").limit(6), "d", "s", chunk_rows=2)
+    runs = position.value_runs(df.orderBy("i").limit(6), "d", "s", parts=2)
     assert sorted(r["length"] for r in runs.collect()) == [1] * 6
 
 
-def test_nothing_runs_while_plans_are_built(spark):
+def test_no_quantile_runs_while_plans_are_built(spark):
     tracker = spark.sparkContext.statusTracker()
     df = spark.range(100).selectExpr("id % 3 AS k", "id AS o", "CAST(id AS DOUBLE) AS v")
     spark.sparkContext.setJobGroup("planning", "")
-    position.with_position(df, ["o"], ["k"])
-    position.value_runs(df, "v", "o", ["k"])
-    position.with_neighbours(df, "o", {"d": lambda w: F.lag("v").over(w)}, ["k"], before=1)
     stats.quantiles(df, ["v"], [0.5], ["k"])
     stats.iqr_outliers(df, "v", keys=["k"])
     assert not tracker.getJobIdsForGroup("planning")
@@ -148,25 +162,36 @@ def test_neighbours(spark):
     assert got["n"].fillna(-99).tolist() == pdf["x"].shift(-2).fillna(-99).tolist()
 
 
-@pytest.mark.parametrize("chunk_rows", [20, 10**6])
-def test_quantiles(hot, chunk_rows):
+@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
+def test_quantiles(hot, accuracy):
     df, pdf = hot
     qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = stats.quantiles(df, ["v", "o"], qs, keys=["k"], chunk_rows=chunk_rows).collect()
+    got = stats.quantiles(df, ["v", "o"], qs, keys=["k"], accuracy=accuracy).collect()
     found = {(r["k"], r["column"], r["q"]): r["quantile"] for r in got}
     for k, part in pdf.groupby(pdf["k"].fillna("none")):
         for c in ("v", "o"):
             for q in qs:
                 assert found[None if k == "none" else k, c, q] == pytest.approx(part[c].quantile(q), abs=1e-9)
-    whole = stats.quantiles(df, ["v"], qs, chunk_rows=chunk_rows).collect()
+    whole = stats.quantiles(df, ["v"], qs, accuracy=accuracy).collect()
     assert {r["q"]: r["quantile"] for r in whole} == pytest.approx({q: pdf["v"].quantile(q) for q in qs})
 
 
+def test_only_rows_inside_a_bracket_are_ranked(spark):
+    """Ties across a bracket's ends, skewed values, and ranks at both ends stay exact."""
+    rng = random.Random(3)
+    values = [float(int(rng.paretovariate(0.7))) if rng.random() < 0.8 else rng.gauss(0, 1) for _ in range(30_000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(9)
+    qs = [0.0, 0.001, 0.3, 0.5, 0.9, 0.9999, 1.0]
+    for accuracy in (50, 1000, 5000):
+        got = {r["q"]: r["quantile"] for r in stats.quantiles(df, ["v"], qs, accuracy=accuracy).collect()}
+        assert got == pytest.approx({q: pd.Series(values).quantile(q) for q in qs})
+
+
 def test_quantiles_with_infinities_and_extremes(spark):
     values = [-math.inf, -1.0, 0.0, 5e-324, 1.0, 1e300, math.inf, math.inf]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    for limit in (2, 10**6):
-        got = stats.quantiles(df, ["v"], [i / 7 for i in range(8)], chunk_rows=limit).orderBy("q").collect()
+    for accuracy in (1, 10_000):
+        got = stats.quantiles(df, ["v"], [i / 7 for i in range(8)], accuracy=accuracy).orderBy("q").collect()
         assert [r["quantile"] for r in got][:7] == values[:7]
 
 
