@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hearthline.llm.decontamination import leaks
 from hearthline.llm.extraction import extracted
 from hearthline.llm.language import fit_languages, identified
+from hearthline.llm.manifest import digest_of, manifest
 from hearthline.llm.neardup import near_classes
 from hearthline.llm.packing import pack
 from hearthline.llm.passages import shared_passages
@@ -120,3 +121,55 @@ def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that documents share."""
     return shared_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: The unsigned CRC-32 of a text, bit by bit over its bytes.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, 1 + length(hex(encode({0}))) // 2),
+  lambda i: ('0x' || substr(hex(encode({0})), (2 * i - 1)::INT, 2))::UBIGINT)),
+ lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+  lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END)), 4294967295::UBIGINT)"""
+
+
+def _encoded_sql(c: str) -> str:
+    return f"coalesce(strlen({c}) || ':' || {c}, '-')"
+
+
+_LEAF_SQL = "sha256(" + " || ".join(_encoded_sql(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{text}")) + ")"
+MERKLE_SQL = f"""WITH RECURSIVE d AS (
+ SELECT doc_id, {_LEAF_SQL.format(text="text")} AS leaf,
+  CASE WHEN {CRC32.format("doc_id::VARCHAR")} % 2 = 0 THEN {_LEAF_SQL.format(text="replace(text, chr(10), '')")}
+   ELSE {_LEAF_SQL.format(text="text")} END AS claimed,
+  dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM documents),
+t AS (SELECT 0 AS level, tree, pos, n, leaf AS digest FROM d
+ UNION ALL SELECT level + 1, tree, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY level, tree, pos // 3, n),
+s AS (SELECT tree, digest AS subroot, level AS height FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, tree AS pos, (SELECT count(*) FROM s) AS n, subroot AS digest FROM s
+ UNION ALL SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY level, pos // 3, n),
+nodes AS (SELECT tree, level, pos, digest FROM t WHERE n > 1
+ UNION ALL SELECT NULL, level, pos, digest FROM u WHERE n > 1),
+own AS (SELECT t.tree AS at, 0 AS upper, d.tree, d.pos, l.level, d.pos // pow(3, l.level)::BIGINT AS node
+  FROM d JOIN s AS t USING (tree), range(40) AS l(level) WHERE l.level < t.height
+ UNION ALL SELECT NULL, 1, d.tree, d.pos, l.level, d.tree // pow(3, l.level)::BIGINT
+  FROM d, range(40) AS l(level) WHERE l.level < (SELECT max(level) FROM u)),
+sides AS (SELECT o.tree, o.pos, o.upper, o.level,
+  coalesce(string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos < o.node), '') AS l,
+  coalesce(string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos > o.node), '') AS r
+ FROM own AS o JOIN nodes AS x ON x.tree IS NOT DISTINCT FROM o.at AND x.level = o.level AND x.pos // 3 = o.node // 3 GROUP BY ALL),
+proofs AS (SELECT tree, pos, string_agg(l || r, '' ORDER BY upper, level) AS proof, list(l || '|' || r ORDER BY upper, level) AS steps FROM sides GROUP BY ALL)
+SELECT doc_id, leaf, subroot, top.digest AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+ list_reduce(list_prepend(claimed, coalesce(steps, [])), lambda a, b: sha256(split_part(b, '|', 1) || a || split_part(b, '|', 2))) AS folded_root,
+ folded_root = top.digest AS verified
+FROM d JOIN s USING (tree) JOIN (SELECT digest FROM u WHERE n = 1) AS top ON true LEFT JOIN proofs USING (tree, pos)"""
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest, root and proof of every document, with a check of rows that were tampered with."""
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents").select(columns)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(tampered, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    claimed = digest_of(*[F.col(c) for c in columns[:-1]], text)
+    found = manifest(docs, columns, claimed=claimed)
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
