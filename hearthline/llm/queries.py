@@ -20,6 +20,7 @@ from hearthline.llm.quality import fit_rules, judged
 from hearthline.llm.secret_scan import find_secrets
 from hearthline.llm.spans import count_of, listed
 from hearthline.llm.tokencount import count_tokens
+from hearthline.llm.variants import spelling_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -173,3 +174,25 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     claimed = digest_of(*[F.col(c) for c in columns[:-1]], text)
     found = manifest(docs, columns, claimed=claimed)
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+VARIANTS_SQL = f"""WITH RECURSIVE r AS (SELECT doc_id::VARCHAR AS k, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+low AS (SELECT k, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, n, {CRC32.format("(k || ':' || run)")} AS h FROM low),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+gone AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM w, range(1, 200) AS t(i) WHERE i <= length(word)),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM gone AS a JOIN gone AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+ UNION SELECT a.word, b.word, b.n FROM gone AS a JOIN w AS b ON a.rest = b.word
+ UNION SELECT b.word, a.word, a.n FROM gone AS a JOIN w AS b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS form, max(other_n) AS form_n FROM near GROUP BY 1),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n
+ FROM w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, walk.root FROM f JOIN walk USING (word) JOIN f AS e ON e.word = walk.root WHERE e.form IS NULL"""
+
+
+@query("op12_spelling_variants", VARIANTS_SQL)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, their near words, and the form they are a variant of."""
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
