@@ -18,6 +18,7 @@ from hearthline.llm.passages import shared_passages
 from hearthline.llm.pii import find_personal_data
 from hearthline.llm.quality import fit_rules, judged
 from hearthline.llm.secret_scan import find_secrets
+from hearthline.llm.setjoin import linked_sets
 from hearthline.llm.spans import count_of, listed
 from hearthline.llm.tokencount import count_tokens
 from hearthline.llm.variants import spelling_variants
@@ -196,3 +197,23 @@ SELECT f.word, f.n, f.n_near, f.form, f.form_n, walk.root FROM f JOIN walk USING
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, their near words, and the form they are a variant of."""
     return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+LINKED_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM d),
+one AS (SELECT min(doc_id) AS id, list_sort(s) AS s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY list_sort(s), len(s)),
+e AS (SELECT id, n, unnest(s) AS t FROM one),
+links AS (SELECT a.id AS a, b.id AS b FROM e AS a JOIN e AS b ON a.t = b.t AND a.id <> b.id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT id, id AS other FROM one UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other),
+c AS (SELECT id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, len(s.s) AS n_shingles, coalesce(c.component_id, doc_id) AS component_id
+FROM s LEFT JOIN one ON list_sort(s.s) = one.s LEFT JOIN c USING (id)"""
+
+
+@query("op11_jaccard_join", LINKED_SQL)
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of nearly equal three-word sets."""
+    return linked_sets(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -20,13 +20,15 @@ def _powers_upto(count: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(text: str | None) -> np.ndarray:
+def word_hashes(text: str | None, ascii_only: bool = False) -> np.ndarray:
     """A 64-bit hash of each lower-case word, cut at ASCII white space; none for NULL.
 
-    A word's hash is a polynomial in its bytes, from differences of sums over the
+    With ``ascii_only``, only ``A-Z`` are made small. A word's hash is a polynomial in its bytes, from differences of sums over the
     whole text, so all words are hashed at once.
     """
-    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass") if text else b"", np.uint8)
+    small = text if ascii_only or not text else text.lower()
+    raw = small.encode("utf-8", "surrogatepass") if small else b""
+    data = np.frombuffer(raw.lower() if ascii_only else raw, np.uint8)
     with np.errstate(over="ignore"):
         space = np.ones(len(data) + 2, bool)
         space[1:-1] = _SPACE[data]
