@@ -30,6 +30,7 @@ BLOCK = 1 << 16
 REACHES = np.arange(1, 9)
 VERIFYING = 20.0  # a comparison of two sets costs as much as so many lookups
 FEW = 8  # documents per token up to which pairs are rows
+ODD_BITS = 2048
 PACK = 1 << 16  # tokens per pack of documents of one token, about
 
 
@@ -103,8 +104,22 @@ def reach_of(codes: np.ndarray) -> int:
     return int(reaches[np.argmin(others + VERIFYING * others / reaches)])
 
 
+def odd_bits(tokens: np.ndarray) -> bytes:
+    """One bit per bin of tokens, set if an odd number of them is in it.
+
+    The bits in which two sets differ are at most the tokens in which they do, and nearly
+    as many if these are few, however large the sets are.
+    """
+    odd = np.bincount((tokens % np.uint64(ODD_BITS)).astype(np.int64), minlength=ODD_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _words(bits) -> np.ndarray:
+    return np.frombuffer(b"".join(bytes(b) for b in bits), np.uint64).reshape(-1, ODD_BITS // 64)
+
+
 def prefixes(docs: DataFrame, table: np.ndarray, text: str, key: str) -> DataFrame:
-    """Per row: key, a 128-bit digest of its set, its size, its reach and its prefix."""
+    """Per row: key, a 128-bit digest of its set, its size, reach, prefix and odd bits."""
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,12 +135,12 @@ def prefixes(docs: DataFrame, table: np.ndarray, text: str, key: str) -> DataFra
                         prefix = signed(codes[: len(codes) - int(needed(len(codes))) + reach])
                     else:
                         reach, prefix = 0, []
-                    found.append((name, digest, len(tokens), reach, prefix))
-                yield pd.DataFrame(found, columns=["key", "digest", "n", "reach", "prefix"])
+                    found.append((name, digest, len(tokens), reach, prefix, odd_bits(tokens)))
+                yield pd.DataFrame(found, columns=["key", "digest", "n", "reach", "prefix", "odd"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL")
-    return rows.mapInPandas(run, f"key {kind}, digest binary, n long, reach int, prefix array<long>")
+    return rows.mapInPandas(run, f"key {kind}, digest binary, n long, reach int, prefix array<long>, odd binary")
 
 
 def pairs_of_few(tokens: DataFrame) -> DataFrame:
@@ -168,11 +183,13 @@ def _bounded(a_last, b_last, shared, a_n, a_len, b_n, b_len):
 
 
 def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose prefixes allow the overlap and share enough tokens."""
+    """The pairs whose prefixes and odd bits allow the overlap and share enough tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             kept = []
+            differ = np.bitwise_count(_words(batch["xo"]) ^ _words(batch["yo"])).sum(axis=1)
+            batch = batch[differ <= batch["xn"] + batch["yn"] - 2 * needed(batch["xn"], batch["yn"])]
             for row in batch.itertuples(index=False):
                 x, y = (np.asarray(p, np.int64).view(np.uint64) for p in (row.x, row.y))
                 shared = len(np.intersect1d(x, y, assume_unique=True))
@@ -183,7 +200,7 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     sides = []
     for name, side in (("a", "x"), ("b", "y")):
-        sides.append(sets.select(F.col("id").alias(name), F.col("prefix").alias(side), F.col("n").alias(side + "n"), F.col("reach").alias(side + "r")))
+        sides.append(sets.select(F.col("id").alias(name), F.col("prefix").alias(side), F.col("n").alias(side + "n"), F.col("reach").alias(side + "r"), F.col("odd").alias(side + "o")))
     both = pairs.join(sides[0], "a").join(sides[1], "b")
     both = both.where(F.greatest("xn", "yn") * PERCENT <= F.least("xn", "yn") * 100)
     return both.mapInPandas(run, "a long, b long")
@@ -193,8 +210,8 @@ def pairs_of_many(tokens: DataFrame, sets: DataFrame, classes: DataFrame) -> Dat
     """Pairs of different classes among the documents of tokens that many have.
 
     Members outside of a token's largest class meet all others, pack against pack, each
-    pair of packs in a task of its own. A task looks at prefixes only, and only pairs
-    that can overlap enough come out of it.
+    pair of packs in a task of its own. A task looks at prefixes and odd bits, and only
+    pairs that can overlap enough come out of it.
     """
     many = tokens.where(F.col("size") > FEW).select("token", "id")
     named = many.join(classes.select(F.col("node").alias("id"), F.col("component").alias("class")), "id", "left")
@@ -216,8 +233,8 @@ def pairs_of_many(tokens: DataFrame, sets: DataFrame, classes: DataFrame) -> Dat
         F.pmod(place, F.ceil(F.col("all") / PACK)).cast("int").alias("right"),
         F.pmod(place, F.ceil((F.col("all") - F.col("main.length")) / PACK + 1e-9)).cast("int").alias("left"),
     )
-    filled = dealt.join(sets.select("id", "n", "reach", "prefix"), "id")
-    held = F.collect_list(F.struct("id", "class", "n", "reach", "prefix"))
+    filled = dealt.join(sets.select("id", "n", "reach", "prefix", "odd"), "id")
+    held = F.collect_list(F.struct("id", "class", "n", "reach", "prefix", "odd"))
     rights = stored(filled.groupBy("token", "right").agg(held.alias("ys")), "join-packs")
     lefts = stored(filled.where("minor").groupBy("token", "left").agg(held.alias("xs")), "join-packs")
     meets = lefts.select("token", "left").join(rights.select("token", "right"), "token")
@@ -260,6 +277,7 @@ def _crossing(xs, ys) -> Iterator[tuple[int, int]]:
     (left, x), (right, y) = sides
     common = np.intersect1d(np.concatenate(left), np.concatenate(right))
     cells = [_cells(side, common) for side in (left, right)]
+    odd = [_words(m["odd"] for m in members) for members in (xs, ys)]
     step = max(1, 4_000_000 // len(right))
     for start in range(0, len(left), step):
         part = slice(start, start + step)
@@ -271,9 +289,13 @@ def _crossing(xs, ys) -> Iterator[tuple[int, int]]:
         fits = (a["class"] != b["class"]) & (shared >= np.minimum(a["reach"], b["reach"]))
         fits &= _bounded(a["last"], b["last"], shared, a["n"], a["len"], b["n"], b["len"]) >= needed(a["n"], b["n"])
         fits &= np.maximum(a["n"], b["n"]) * PERCENT <= np.minimum(a["n"], b["n"]) * 100
-        for i, j in np.argwhere(fits):
-            first, second = int(x["id"][start + i]), int(y["id"][j])
-            yield min(first, second), max(first, second)
+        places = np.argwhere(fits) + [start, 0]
+        for low in range(0, len(places), 4096):
+            i, j = places[low : low + 4096].T
+            differ = np.bitwise_count(odd[0][i] ^ odd[1][j]).sum(axis=1)
+            near = differ <= x["n"][i] + y["n"][j] - 2 * needed(x["n"][i], y["n"][j])
+            for first, second in zip(x["id"][i[near]].tolist(), y["id"][j[near]].tolist()):
+                yield min(first, second), max(first, second)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -325,7 +347,7 @@ def linked_sets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """
     members = stored(prefixes(docs, frequencies(docs, text), text, key), "join-members")
     filled = members.where("n > 0")
-    one = filled.groupBy("digest").agg(*[F.min_by(c, "key").alias(c) for c in ("n", "reach", "prefix")], F.min("key").alias("key"))
+    one = filled.groupBy("digest").agg(*[F.min_by(c, "key").alias(c) for c in ("n", "reach", "prefix", "odd")], F.min("key").alias("key"))
     sets = stored(one.withColumn("id", F.monotonically_increasing_id()), "join-distinct")
 
     tokens = sets.select("id", "n", "reach", F.posexplode("prefix").alias("place", "token"))
