@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,7 +87,8 @@ def clustered(vectors: np.ndarray, count: int, rounds: int = 12) -> tuple[np.nda
     centroids = vectors[chosen]
     for _ in range(rounds):
         cluster = np.argmax(vectors @ centroids.T, axis=1)
-        sums = np.stack([vectors[cluster == c].sum(axis=0) if (cluster == c).any() else centroids[c] for c in range(len(centroids))])
+        member = (cluster[None, :] == np.arange(len(centroids))[:, None]).astype(vectors.dtype)
+        sums = np.where(member.any(axis=1)[:, None], member @ vectors, centroids)
         centroids = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     return centroids, np.argmax(vectors @ centroids.T, axis=1)
 
@@ -103,13 +105,18 @@ def fit_languages(docs: DataFrame, per_language: int = 1024, clusters: int = 4,
     picked = bounded_keys(docs.where(F.col("text").isNotNull()), "doc_id", "lang", per_language)
     texts = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"])
 
-    @F.pandas_udf("struct<bins: array<int>, counts: array<int>>")
-    def grams(column: pd.Series) -> pd.DataFrame:
-        found = [ngrams(t) or ([], []) for t in column]
-        return pd.DataFrame({"bins": [f[0] for f in found], "counts": [f[1] for f in found]})
-
-    sample = texts.select("doc_id", "lang", grams("text").alias("g")).select("doc_id", "lang", "g.*").where(F.size("bins") > 0)
-    sample = materialize(sample.dropDuplicates(["doc_id", "lang"]))
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.iloc[start : start + 256]
+                found = [ngrams(t) or ([], []) for t in part["text"]]
+                yield pd.DataFrame(
+                    {"doc_id": part["doc_id"], "lang": part["lang"], "bins": [f[0] for f in found], "counts": [f[1] for f in found]}
+                )
+
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "lang"))
+    sample = texts.mapInPandas(grams, f"{kinds}, bins array<int>, counts array<int>").where(F.size("bins") > 0)
+    sample = materialize(sample).dropDuplicates(["doc_id", "lang"])
     seen = sample.select(F.explode("bins").alias("bin")).groupBy("bin").count().toPandas()
     total = sample.count()
     frequency = np.zeros(BINS)
@@ -121,10 +128,12 @@ def fit_languages(docs: DataFrame, per_language: int = 1024, clusters: int = 4,
         vectors = np.zeros((len(group), BINS), np.float32)
         for row, (bins, counts) in enumerate(zip(group["bins"], group["counts"], strict=True)):
             vectors[row, bins] = weighted(np.asarray(bins), np.asarray(counts), idf)
+        lang = group["lang"].iloc[0]
+        del group
         found, cluster = clustered(vectors, clusters)
         apart = 1 - np.einsum("ij,ij->i", vectors, found[cluster])
         far = [float(np.quantile(apart[cluster == c], quantile)) if (cluster == c).any() else 0.0 for c in range(len(found))]
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "vector": list(found), "farthest": far})
+        return pd.DataFrame({"lang": lang, "vector": list(found), "farthest": far})
 
     made = sample.groupBy("lang").applyInPandas(centroids, "lang string, vector array<float>, farthest double").toPandas()
     made = made.sort_values("lang", kind="stable")

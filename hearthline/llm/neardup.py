@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from hearthline.llm.alignment import similarity
 from hearthline.llm.components import components
-from hearthline.llm.shingles import mixed, occurrences, runs, signed, word_hashes
+from hearthline.llm.shingles import bit_words, mixed, occurrences, odd_bits, runs, signed, word_hashes
 from hearthline.llm.sizes import sent_if_small
 from hearthline.session import materialize
 
@@ -27,7 +27,7 @@ LEAST = 0.8
 BANDS = 16
 ROWS = 2  # sketches per band
 TAKEN = 2  # runs per sketch, in text order
-PACK = 64  # members compared at once
+PACK = 512  # members compared at once
 
 
 def sketch(labels: np.ndarray, bands: int = BANDS, rows: int = ROWS, taken: int = TAKEN) -> np.ndarray:
@@ -54,7 +54,8 @@ def sketch(labels: np.ndarray, bands: int = BANDS, rows: int = ROWS, taken: int
 
 
 def sketches(docs: DataFrame, text: str, key: str, bands: int, rows: int, taken: int) -> DataFrame:
-    """Per document: a 128-bit hash of its words and its bands (none without words)."""
+    """Per document: a 128-bit hash of its words, its bands (none without words), and the
+    number and odd bits of its distinct runs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
@@ -66,12 +67,14 @@ def sketches(docs: DataFrame, text: str, key: str, bands: int, rows: int, taken:
                     grams = runs(words, WIDTH)
                     labels = mixed(grams + occurrences(grams).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
                     made = signed(sketch(labels, bands, rows, taken)) if len(labels) else []
-                    found.append((doc, *signed(np.array([whole >> 64, whole & (1 << 64) - 1], np.uint64)), made))
-                yield pd.DataFrame(found, columns=["node", "high", "low", "bands"])
+                    distinct = np.unique(grams)
+                    digest = signed(np.array([whole >> 64, whole & (1 << 64) - 1], np.uint64))
+                    found.append((doc, *digest, made, len(distinct), odd_bits(distinct)))
+                yield pd.DataFrame(found, columns=["node", "high", "low", "bands", "n", "odd"])
 
     kind = docs.schema[key].dataType.simpleString()
     got = docs.select(F.col(key).alias("node"), F.col(text).alias("text")).where("node IS NOT NULL")
-    return got.mapInPandas(run, f"node {kind}, high long, low long, bands array<long>")
+    return got.mapInPandas(run, f"node {kind}, high long, low long, bands array<long>, n long, odd binary")
 
 
 class Seen:
@@ -82,13 +85,13 @@ class Seen:
         self.kept: OrderedDict = OrderedDict()
 
     def __call__(self, node, text: str) -> tuple[np.ndarray, np.ndarray]:
-        if node not in self.kept:
+        if (node, text) not in self.kept:  # a key can have several texts
             words = word_hashes(text)
-            self.kept[node] = words, np.unique(runs(words, WIDTH))
+            self.kept[node, text] = words, np.unique(runs(words, WIDTH))
             if len(self.kept) > self.places:
                 self.kept.popitem(last=False)
-        self.kept.move_to_end(node)
-        return self.kept[node]
+        self.kept.move_to_end((node, text))
+        return self.kept[node, text]
 
 
 def compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -155,68 +158,42 @@ def undecided(members: DataFrame, sizes: DataFrame, classes: DataFrame) -> DataF
     )
 
 
-def links_between(packs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links of minor members with the others of their buckets, pack against pack.
+def pairs_between(packs: DataFrame, single: DataFrame, least: float) -> DataFrame:
+    """Pairs of minor members with the others of their buckets, pack against pack.
 
-    All pairs of two packs are compared inside a task; only links come out of it, and
-    of those no more than it takes to join the classes. Pairs of packs are dealt over
-    all tasks, so a large bucket is as many small tasks.
+    Packs hold a size and odd bits per member, not its words. All pairs of two packs are
+    bounded inside a task, and only those of different classes that can overlap enough
+    come out of it. Pairs of packs are dealt over all tasks, so a large bucket is as many
+    small tasks.
     """
-    kind = texts.schema["node"].dataType.simpleString()
-
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "words": [signed(word_hashes(t)) for t in batch["text"]]})
-
-    worded = texts.select("node", "text").mapInPandas(words, f"node {kind}, words array<long>")
-    filled = packs.join(worded, "node")
-    held = F.collect_list(F.struct("node", "class", "words"))
+    kind = single.schema["node"].dataType.simpleString()
+    filled = packs.join(single.select("node", "n", "odd"), "node")
+    held = F.collect_list(F.struct("node", "class", "n", "odd"))
     all_of = materialize(filled.groupBy("bucket", "pack").agg(held.alias("right")))
     minor = materialize(filled.where("minor").groupBy("bucket", "minor_pack").agg(held.alias("left")))
     meets = minor.select("bucket", "minor_pack").join(all_of.select("bucket", "pack"), "bucket")
     both = meets.join(minor, ["bucket", "minor_pack"]).join(all_of, ["bucket", "pack"]).select("left", "right")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                found = [link for left, right in zip(batch["left"], batch["right"], strict=True) for link in _links(left, right, least)]
-                yield pd.DataFrame(found, columns=["a", "b", "overlap", "alignment"])
+        for batch in batches:
+            found = {pair for left, right in zip(batch["left"], batch["right"], strict=True) for pair in _pairs(left, right, least)}
+            yield pd.DataFrame(list(found), columns=["a", "b"])
 
-    return both.mapInPandas(run, f"a {kind}, b {kind}, overlap double, alignment double")
+    return distinct_pairs(both.mapInPandas(run, f"a {kind}, b {kind}"), "a", "b")
 
 
-def _links(left, right, least: float) -> Iterator[tuple]:
-    """Links that join classes between two lists of members with their words."""
+def _pairs(left, right, least: float) -> Iterator[tuple]:
+    """Pairs of two lists of members that are of different classes and may be near."""
+    classes = {c: i for i, c in enumerate({m["class"] for m in (*left, *right)})}
     sides = []
     for members in (left, right):
-        words = [np.asarray(m["words"], np.int64).view(np.uint64) for m in members]
-        sides.append((members, words, [np.unique(runs(w, WIDTH)) for w in words]))
-    shared = _shared(sides[0][2], sides[1][2])
-    sizes = [np.array([len(g) for g in side[2]]) for side in sides]
-    overlaps = shared / np.maximum(sizes[0][:, None] + sizes[1][None, :] - shared, 1)
-    root: dict = {}
-
-    def find(label):
-        while label in root:
-            label = root[label]
-        return label
-
-    for i, j in np.argwhere(overlaps >= least):
-        a, b = sides[0][0][i], sides[1][0][j]
-        first, second = find(a["class"]), find(b["class"])
-        if first != second and (alike := similarity(sides[0][1][i], sides[1][1][j], least)) is not None:
-            root[first] = second
-            yield a["node"], b["node"], float(overlaps[i, j]), alike
-
-
-def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many values each two sets have in common."""
-    ids, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    if len(ids) * (len(left) + len(right)) > 50_000_000:  # long texts: one pair at a time
-        return np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in right] for a in left])
-    holds = np.zeros((len(left) + len(right), len(ids)), np.float32)
-    holds[np.repeat(np.arange(len(holds)), [len(s) for s in (*left, *right)]), place] = 1
-    return np.rint(holds[: len(left)] @ holds[len(left) :].T).astype(np.int64)
+        sides.append((np.array([classes[m["class"]] for m in members]), np.array([m["n"] for m in members]), bit_words(m["odd"] for m in members)))
+    (class_a, n_a, odd_a), (class_b, n_b, odd_b) = sides
+    for i in range(len(left)):
+        fits = np.flatnonzero((class_b != class_a[i]) & (np.minimum(n_b, n_a[i]) >= least * np.maximum(n_b, n_a[i]) - 1e-9))
+        differ = np.bitwise_count(odd_b[fits] ^ odd_a[i]).sum(axis=1)
+        for j in fits[differ <= (1 - least) / (1 + least) * (n_b[fits] + n_a[i]) + 1e-9]:
+            yield left[i]["node"], right[j]["node"]
 
 
 def near_classes(
@@ -238,7 +215,7 @@ def near_classes(
     defaults a pair at an overlap of 0.8 is missed about twice in ten thousand times.
     Members of a bucket are compared with one lead first; where this leaves several
     classes, members outside of the largest are compared with all others, in packs
-    (see :func:`links_between`). No bucket or number of partners has a cap.
+    (see :func:`pairs_between`). No bucket or number of partners has a cap.
 
     One row per distinct key. NULL keys are left out; NULL texts and texts without words
     are a class of their own each; a key with several texts counts as one document with
@@ -246,8 +223,8 @@ def near_classes(
     """
     with_words = materialize(sketches(docs, text, key, bands, rows, taken))
     worded = with_words.where(F.size("bands") > 0)
-    first = worded.groupBy("high", "low").agg(F.min("node").alias("node"))
-    single = worded.join(first, ["high", "low", "node"], "left_semi").dropDuplicates(["high", "low", "node"])
+    picked = [F.min_by(c, "node").alias(c) for c in ("bands", "n", "odd")]
+    single = materialize(worded.groupBy("high", "low").agg(F.min("node").alias("node"), *picked))
     buckets = single.select("node", F.explode("bands").alias("bucket")).distinct()
     shared = materialize(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket"))
     members = materialize(buckets.join(shared, "bucket", "left_semi"))
@@ -258,8 +235,9 @@ def near_classes(
     texts = materialize(texts.join(wanted, "node", "left_semi").dropDuplicates(["node", "text"]))
     near = materialize(compared(lead_pairs(members, sizes), texts, least))
     packs = materialize(undecided(members, sizes, components(near)))
-    near = near.union(links_between(packs, texts, least))
-    same = worded.join(first.withColumnRenamed("node", "head"), ["high", "low"]).where("node != head")
+    near = near.union(materialize(compared(pairs_between(packs, single, least), texts, least)))
+    first = sent_if_small(materialize(single.select("high", "low", F.col("node").alias("head"))))
+    same = worded.select("node", "high", "low").join(first, ["high", "low"]).where("node != head")
     # A key with several texts joins their classes.
     repeated = worded.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
     heads = same.select(F.col("node").alias("a"), F.col("head").alias("b"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm.components import components
-from hearthline.llm.shingles import mixed, runs, signed, word_hashes
+from hearthline.llm.shingles import bit_words, mixed, odd_bits, runs, signed, word_hashes
 from hearthline.llm.sizes import sent_if_small
 from hearthline.session import stored
 
@@ -30,7 +30,6 @@ BLOCK = 1 << 16
 REACHES = np.arange(1, 9)
 VERIFYING = 20.0  # a comparison of two sets costs as much as so many lookups
 FEW = 8  # documents per token up to which pairs are rows
-ODD_BITS = 2048
 PACK = 1 << 16  # tokens per pack of documents of one token, about
 
 
@@ -104,20 +103,6 @@ def reach_of(codes: np.ndarray) -> int:
     return int(reaches[np.argmin(others + VERIFYING * others / reaches)])
 
 
-def odd_bits(tokens: np.ndarray) -> bytes:
-    """One bit per bin of tokens, set if an odd number of them is in it.
-
-    The bits in which two sets differ are at most the tokens in which they do, and nearly
-    as many if these are few, however large the sets are.
-    """
-    odd = np.bincount((tokens % np.uint64(ODD_BITS)).astype(np.int64), minlength=ODD_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def _words(bits) -> np.ndarray:
-    return np.frombuffer(b"".join(bytes(b) for b in bits), np.uint64).reshape(-1, ODD_BITS // 64)
-
-
 def prefixes(docs: DataFrame, table: np.ndarray, text: str, key: str) -> DataFrame:
     """Per row: key, a 128-bit digest of its set, its size, reach, prefix and odd bits."""
     sent = docs.sparkSession.sparkContext.broadcast(table)
@@ -188,7 +173,7 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             kept = []
-            differ = np.bitwise_count(_words(batch["xo"]) ^ _words(batch["yo"])).sum(axis=1)
+            differ = np.bitwise_count(bit_words(batch["xo"]) ^ bit_words(batch["yo"])).sum(axis=1)
             batch = batch[differ <= batch["xn"] + batch["yn"] - 2 * needed(batch["xn"], batch["yn"])]
             for row in batch.itertuples(index=False):
                 x, y = (np.asarray(p, np.int64).view(np.uint64) for p in (row.x, row.y))
@@ -277,7 +262,7 @@ def _crossing(xs, ys) -> Iterator[tuple[int, int]]:
     (left, x), (right, y) = sides
     common = np.intersect1d(np.concatenate(left), np.concatenate(right))
     cells = [_cells(side, common) for side in (left, right)]
-    odd = [_words(m["odd"] for m in members) for members in (xs, ys)]
+    odd = [bit_words(m["odd"] for m in members) for members in (xs, ys)]
     step = max(1, 4_000_000 // len(right))
     for start in range(0, len(left), step):
         part = slice(start, start + step)

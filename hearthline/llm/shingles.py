@@ -8,6 +8,7 @@ _ODD = 0x9E3779B97F4A7C15
 _BASE = 0xD1342543DE82EF95
 #: White space between words: blank, tab, line ends.
 _SPACE = np.isin(np.arange(256), [*b" \t\n\r\x0b\x0c"])
+ODD_BITS = 2048
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of the base and of its inverse
 
 
@@ -72,3 +73,18 @@ def occurrences(values: np.ndarray) -> np.ndarray:
 
 def signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64).view(np.int64)
+
+
+def odd_bits(tokens: np.ndarray) -> bytes:
+    """One bit per bin of tokens, set if an odd number of them is in it.
+
+    The bits in which two sets differ are at most the tokens in which they do, and nearly
+    as many if these are few, however large the sets are.
+    """
+    odd = np.bincount((tokens % np.uint64(ODD_BITS)).astype(np.int64), minlength=ODD_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def bit_words(bits) -> np.ndarray:
+    """Odd bits of several sets as rows of 64-bit words."""
+    return np.frombuffer(b"".join(bytes(b) for b in bits), np.uint64).reshape(-1, ODD_BITS // 64)
