@@ -312,22 +312,42 @@ def zone_constructions(objs: DataFrame) -> DataFrame:
 
 
 def resolve_ref(
-    df: DataFrame, objs: DataFrame, type_col: str, name_col: str, as_col: str, how: str = "left"
+    df: DataFrame,
+    objs: DataFrame,
+    type_col: str,
+    name_col: str,
+    as_col: str,
+    how: str = "left",
+    fields: dict[str, Column] | None = None,
+    types: Column | None = None,
 ) -> DataFrame:
     """Fetch the object that a ``(type, name)`` pair of columns points to.
 
     The properties arrive as the VARIANT column ``as_col``, NULL when nothing
-    has that type and name in the building.
+    has that type and name in the building. With ``fields``, expressions over
+    ``props``, only these arrive, as a struct: they are taken where the objects are
+    read, so nothing else is exchanged. ``types`` is an array of the types that can be
+    asked for; objects of other types are left out before the join.
     """
-    target = objs.where(F.col("object_name").isNotNull()).select(
+    target = objs.where(F.col("object_name").isNotNull())
+    if types is not None:
+        target = target.where(F.array_contains(types, F.col("object_type")))
+    body = F.struct(*[c.alias(name) for name, c in fields.items()]) if fields else F.col("props")
+    target = target.select(
         "building_id",
         F.col("object_type").alias(type_col),
         F.col("object_name").alias(name_col),
-        F.col("props").alias(as_col),
+        body.alias(as_col),
     )
     return df.join(target, ["building_id", type_col, name_col], how)
 
 
+def asked_types(objs: DataFrame, *keys: str) -> Column:
+    """The distinct types that properties of ``objs`` name, as a subquery of one small array."""
+    named = F.array_compact(F.array(*[p(key) for key in keys]))
+    return objs.agg(F.array_distinct(F.flatten(F.collect_set(named)))).scalar()
+
+
 def zone_hvac(objs: DataFrame) -> DataFrame:
     """Terminal unit and reheat coil of a zone, by way of its equipment list.
 
@@ -365,27 +385,36 @@ def zone_hvac(objs: DataFrame) -> DataFrame:
         .join(terminals.where(nonempty(F.col("terminal_type"))), ["building_id", "_unit"])
         .select("building_id", "zone", "_conn", "_item", "terminal_type", "terminal_name")
     )
-    at_terminal = resolve_ref(reached, objs, "terminal_type", "terminal_name", "_t", "inner").select(
+    terminal_types = asked_types(of_type(objs, AIR_TERMINAL_UNIT), "air_terminal_object_type")
+    wanted = {
+        "max_flow_rate": p("maximum_air_flow_rate"),
+        "min_flow_fraction": p("constant_minimum_air_flow_fraction"),
+        "coil_type": p("reheat_coil_object_type"),
+        "coil_name": p("reheat_coil_name"),
+    }
+    at_terminal = resolve_ref(reached, objs, "terminal_type", "terminal_name", "_t", "inner", wanted, terminal_types).select(
         "building_id",
         "zone",
         F.struct("_conn", "_item").alias("_order"),
         F.struct(
             F.col("terminal_type").alias("type"),
             F.col("terminal_name").alias("name"),
-            prop(F.col("_t"), "maximum_air_flow_rate").alias("max_flow_rate"),
-            prop(F.col("_t"), "constant_minimum_air_flow_fraction").alias("min_flow_fraction"),
+            F.col("_t.max_flow_rate").alias("max_flow_rate"),
+            F.col("_t.min_flow_fraction").alias("min_flow_fraction"),
         ).alias("terminal_unit"),
-        prop(F.col("_t"), "reheat_coil_object_type").alias("coil_type"),
-        prop(F.col("_t"), "reheat_coil_name").alias("coil_name"),
+        "_t.coil_type",
+        "_t.coil_name",
     )
-    at_coil = resolve_ref(at_terminal, objs, "coil_type", "coil_name", "_c")
+    coil_types = asked_types(objs.where(F.array_contains(terminal_types, F.col("object_type"))), "reheat_coil_object_type")
+    wanted = {"efficiency": p("efficiency"), "capacity": p("nominal_capacity")}
+    at_coil = resolve_ref(at_terminal, objs, "coil_type", "coil_name", "_c", "left", wanted, coil_types)
     coil = F.when(
         F.col("_c").isNotNull() & nonempty(F.col("coil_type")),
         F.struct(
             F.col("coil_type").alias("type"),
             F.col("coil_name").alias("name"),
-            prop(F.col("_c"), "efficiency").alias("efficiency"),
-            prop(F.col("_c"), "nominal_capacity").alias("capacity"),
+            F.col("_c.efficiency").alias("efficiency"),
+            F.col("_c.capacity").alias("capacity"),
         ),
     )
     return (
@@ -501,15 +530,16 @@ def zone_setpoints(objs: DataFrame) -> DataFrame:
         .where(nonempty(F.col("type")) & nonempty(F.col("name")))
     )
     schedule = first_prop(
-        F.col("_p"),
+        F.col("props"),
         [
             "setpoint_temperature_schedule_name",
             "cooling_setpoint_temperature_schedule_name",
             "heating_setpoint_temperature_schedule_name",
         ],
     )
-    return resolve_ref(asked, objs, "type", "name", "_p", "inner").select(
-        "building_id", "zone", "slot", "type", "name", schedule.alias("schedule")
+    types = asked_types(of_type(objs, "ZoneControl:Thermostat"), *[f"control_{i}_object_type" for i in (1, 2, 3)])
+    return resolve_ref(asked, objs, "type", "name", "_p", "inner", {"schedule": schedule}, types).select(
+        "building_id", "zone", "slot", "type", "name", "_p.schedule"
     )
 
 

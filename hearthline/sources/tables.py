@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 from hearthline.functions.numbers import ref, text_or_null, to_double
 from hearthline.operators.columns import prefix_columns
 from hearthline.presets import TIME_COLUMNS
-from hearthline.sources.numbering import FILE, number_rows, with_scan_marks
+from hearthline.sources.numbering import BLOCK, FILE, MARK, number_rows, with_scan_marks
 
 CORRUPT = "_corrupt"
 
@@ -75,6 +77,7 @@ def read_table(
     position: str | None = None,
     position_start: int = 0,
     multi_line: bool = False,
+    rescued: str | None = None,
 ) -> DataFrame:
     """Scan a table; CSV text is coerced so that NaN, blank and inf come out right.
 
@@ -82,7 +85,9 @@ def read_table(
     ``schema`` for large CSV inputs: without one, types are inferred by an
     extra pass over the file. Quoted line breaks need ``multi_line``, with which a
     file is one task's work. CSV records with too many fields lose the surplus,
-    and shorter ones are padded with NULL: ``malformed_records`` lists both.
+    and shorter ones are padded with NULL; ``rescued`` names a column that holds the
+    whole text of such a record, from the same scan, so that nothing is lost and
+    ``load_report`` needs no scan of its own.
     """
     if fmt == "parquet":
         scan = spark.read.parquet(*([path] if isinstance(path, str) else path))
@@ -92,12 +97,17 @@ def read_table(
         return _numbered(scan, position, position_start) if position else scan
     scan = spark.read.option("header", True).option("multiLine", multi_line).csv(path)
     types = schema if schema is not None else _inferred(scan)
-    if not position:
-        return _typed(scan, types)
-    return _typed(_numbered(scan, position, position_start), types, keep=(position,))
+    keep = ()
+    if rescued:
+        scan = checked_records(spark, path, multi_line, marks=bool(position)).drop("file").withColumnRenamed("broken", rescued)
+        keep = (rescued,)
+    if position:
+        scan = number_rows(scan if rescued else with_scan_marks(scan), position, start=position_start).drop(FILE)
+        keep = (*keep, position)
+    return _typed(scan, types, keep=keep)
 
 
-def checked_records(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+def checked_records(spark: SparkSession, path: str | list[str], multi_line: bool = False, marks: bool = False) -> DataFrame:
     """The records of CSV files as text, with ``file`` and ``broken``, the whole text
     of a record that has more or fewer fields than its header, else NULL."""
     reader = spark.read.option("header", True).option("multiLine", multi_line)
@@ -107,7 +117,9 @@ def checked_records(spark: SparkSession, path: str | list[str], multi_line: bool
     # Spark asks for a field beside the record's text; this one never gives a value.
     never = F.when(F.length(ref(names[0])) < 0, ref(names[0]))
     broken = F.coalesce(F.col(CORRUPT), never).alias("broken")
-    return scan.select(F.col("_metadata.file_path").alias("file"), *[ref(n) for n in names], broken)
+    marked = with_scan_marks(scan) if marks else scan
+    file = F.col(FILE) if marks else F.col("_metadata.file_path")
+    return marked.select(file.alias("file"), *[ref(n) for n in names], broken, *([FILE, BLOCK, MARK] if marks else []))
 
 
 def malformed_records(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
@@ -160,6 +172,22 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tu
         writer.format(fmt).save(path)
 
 
+def header_conformance(spark: SparkSession, path: str | list[str], expected: Sequence[str]) -> DataFrame:
+    """Per CSV file and expected column: ``file``, ``column``, ``status``, ``place`` (from 1, NULL if missing).
+
+    Looks at the header line of every file, in tasks; an empty file has no header and
+    no rows here.
+    """
+    lines = with_scan_marks(spark.read.text(path)).where(F.col(BLOCK) == 0)
+    heads = lines.groupBy(FILE).agg(F.min_by("value", MARK).alias("head"))
+    names = F.transform(F.split("head", ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"), lambda n: F.regexp_replace(F.trim(n), '^"|"$', ""))
+    listed = heads.select(F.col(FILE).alias("file"), names.alias("names"), F.explode(F.array(*[F.lit(c) for c in expected])).alias("column"))
+    place = F.array_position("names", F.col("column"))
+    return listed.select(
+        "file", "column", F.when(place > 0, "present").otherwise("missing").alias("status"), F.when(place > 0, place).alias("place")
+    )
+
+
 def load_report(df: DataFrame, source: str, broken: str) -> DataFrame:
     """Per source: rows read, rows that could not be read, and a status.
 
