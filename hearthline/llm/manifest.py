@@ -39,7 +39,7 @@ def hashed(parts: Sequence[str]) -> str:
     return hashlib.sha256("".join(parts).encode("ascii")).hexdigest()
 
 
-def depth(nodes: int, most: int = LEVELS) -> int:
+def depth(nodes: int, most: int) -> int:
     """Levels until one node remains, ``most`` if a block is not all of its tree."""
     levels = 0
     while nodes > 1 and levels < most:
@@ -113,11 +113,11 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("tree", "block").sortWithinPartitions("tree", "block", "pos")
 
 
-def _block() -> Column:
-    return F.floor(F.col("pos") / FAN**LEVELS).cast("long").alias("block")
+def _block(most: int) -> Column:
+    return F.floor(F.col("pos") / FAN**most).cast("long").alias("block")
 
 
-def rounds_of(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def rounds_of(nodes: DataFrame, most: int) -> tuple[list[DataFrame], DataFrame]:
     """The nodes each round starts from, and the root of every tree.
 
     ``nodes`` has ``tree``, ``pos`` (0, 1, ...), ``n`` (nodes of the tree) and ``digest``.
@@ -127,20 +127,20 @@ def rounds_of(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         made = []
         for rows in _blocks(batches):
             n = int(rows["n"].iloc[0])
-            top, _ = risen(rows["digest"].tolist(), depth(n))
-            made.append((rows["tree"].iloc[0], rows["block"].iloc[0], -(-n // FAN**LEVELS), top))
+            top, _ = risen(rows["digest"].tolist(), depth(n, most))
+            made.append((rows["tree"].iloc[0], rows["block"].iloc[0], -(-n // FAN**most), top))
             if len(made) >= 10_000:
                 yield pd.DataFrame(made, columns=["tree", "pos", "n", "digest"])
                 made = []
         yield pd.DataFrame(made, columns=["tree", "pos", "n", "digest"])
 
     starts, tops = [nodes], []
-    most = nodes.agg(F.max("n")).first()[0] or 0
+    largest = nodes.agg(F.max("n")).first()[0] or 0
     while True:
-        made = stored(_dealt(starts[-1].select("tree", _block(), "pos", "n", "digest")).mapInPandas(rise, NODE), "manifest-round")
+        made = stored(_dealt(starts[-1].select("tree", _block(most), "pos", "n", "digest")).mapInPandas(rise, NODE), "manifest-round")
         tops.append(made.where("n = 1"))
-        most = -(-most // FAN**LEVELS)
-        if most <= 1:
+        largest = -(-largest // FAN**most)
+        if largest <= 1:
             break
         starts.append(made.where("n > 1"))
     roots = tops[0]
@@ -149,7 +149,7 @@ def rounds_of(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     return starts, roots.select("tree", F.col("digest").alias("subroot"))
 
 
-def _down(nodes: DataFrame, given: DataFrame, kept: Sequence[str], fold: str | None) -> DataFrame:
+def _down(nodes: DataFrame, given: DataFrame, most: int, kept: Sequence[str], fold: str | None) -> DataFrame:
     """Proofs of ``nodes`` from those of their blocks, with the columns ``kept``.
 
     ``given`` has ``tree``, ``pos`` (the block), and what :data:`GIVEN` names.
@@ -162,7 +162,7 @@ def _down(nodes: DataFrame, given: DataFrame, kept: Sequence[str], fold: str | N
         out, held = [], 0
         for rows in _blocks(batches):
             top, rows = rows.iloc[0], rows.iloc[1:]
-            levels = depth(int(rows["n"].iloc[0]))
+            levels = depth(int(rows["n"].iloc[0]), most)
             _, runs = risen(rows["digest"].tolist(), levels)
             proofs, paths = zip(*delivered(runs, levels, top["proof"], top["path"]))
             rows = rows.assign(proof=proofs, path=paths, subroot=top["subroot"], root=top["root"], folded_root=None)
@@ -179,7 +179,7 @@ def _down(nodes: DataFrame, given: DataFrame, kept: Sequence[str], fold: str | N
     columns = [c for c in ("n", "digest", *kept) if c in nodes.columns]
     columns = list(dict.fromkeys(columns))
     blank = [F.lit(None).cast("string").alias(c) for c in ("proof", "path", "subroot", "root")]
-    below = nodes.select("tree", _block(), "pos", *columns, *blank)
+    below = nodes.select("tree", _block(most), "pos", *columns, *blank)
     above = given.select(
         "tree",
         F.col("pos").alias("block"),
@@ -193,24 +193,33 @@ def _down(nodes: DataFrame, given: DataFrame, kept: Sequence[str], fold: str | N
     return _dealt(below.union(above)).mapInPandas(sink, schema)
 
 
-def proven(nodes: DataFrame, starts: list[DataFrame], given: DataFrame, kept: Sequence[str] = (), fold: str | None = None) -> DataFrame:
+def proven(
+    nodes: DataFrame, starts: list[DataFrame], given: DataFrame, most: int, kept: Sequence[str] = (), fold: str | None = None
+) -> DataFrame:
     """Proofs of all leaves, round by round from the top.
 
     ``given`` has one row per tree: its :data:`GIVEN` above the tree's own root.
     """
     below = None
     for i in range(len(starts) - 1, -1, -1):
-        last = starts[i].where(F.col("n") <= FAN**LEVELS).select("tree").distinct()
+        last = starts[i].where(F.col("n") <= FAN**most).select("tree").distinct()
         ends = given.join(last, "tree", "left_semi").withColumn("pos", F.lit(0).cast("long"))
         tops = ends if below is None else ends.unionByName(below.select(ends.columns))
         first = not i
-        below = _down(nodes if first else starts[i], tops, kept if first else (), fold if first else None)
+        below = _down(nodes if first else starts[i], tops, most, kept if first else (), fold if first else None)
         if not first:
             below = stored(below, "manifest-proofs")
     return below
 
 
-def manifest(docs: DataFrame, columns: Sequence[str], key: str = "doc_id", group: str = "source", claimed: Column | None = None) -> DataFrame:
+def manifest(
+    docs: DataFrame,
+    columns: Sequence[str],
+    key: str = "doc_id",
+    group: str = "source",
+    claimed: Column | None = None,
+    levels: int = LEVELS,
+) -> DataFrame:
     """Per row: ``key``, ``leaf``, ``subroot``, ``root``, ``proof``, ``path``, ``folded_root``, ``verified``.
 
     A leaf is the digest of ``columns``. The leaves of one ``group`` ascend by ``key`` (NULL
@@ -221,7 +230,8 @@ def manifest(docs: DataFrame, columns: Sequence[str], key: str = "doc_id", group
     other nodes on each level up to the root, from left to right, and ``path`` two digits
     per level: the node's place in its run and the run's length. ``claimed`` is another
     digest to be checked against the proof (by default the leaf): ``folded_root`` is what
-    it leads to, and ``verified`` whether that is the root.
+    it leads to, and ``verified`` whether that is the root. ``levels`` are folded per round,
+    in blocks of ``FAN ** levels`` nodes.
 
     Texts are hashed where they are read; only digests are exchanged. Repeated rows are
     leaves of their own. An empty table gives no rows. Only the named columns are read.
@@ -239,18 +249,18 @@ def manifest(docs: DataFrame, columns: Sequence[str], key: str = "doc_id", group
     leaves = packed(placed, ["group"]).join(trees, PACKED).select("tree", "pos", "n", "digest", "key", "claimed")
     leaves = stored(leaves, "manifest-leaves")
 
-    starts, subroots = rounds_of(leaves)
+    starts, subroots = rounds_of(leaves, levels)
     subroots = stored(subroots, "manifest-subroots")
     count = subroots.agg(F.count(F.lit(1)).alias("n"))
     whole = subroots.crossJoin(F.broadcast(count)).select(
         F.lit(0).cast("long").alias("tree"), F.col("tree").alias("pos"), "n", F.col("subroot").alias("digest")
     )
-    whole_starts, root = rounds_of(whole)
+    whole_starts, root = rounds_of(whole, levels)
     nothing = F.lit("")
     top = root.select("tree", nothing.alias("proof"), nothing.alias("path"), F.lit(None).cast("string").alias("subroot"), F.col("subroot").alias("root"))
-    above = stored(proven(whole, whole_starts, top).select("pos", "proof", "path", "root"), "manifest-above")
+    above = stored(proven(whole, whole_starts, top, levels).select("pos", "proof", "path", "root"), "manifest-above")
     given = above.withColumnRenamed("pos", "tree").join(subroots, "tree").select("tree", "proof", "path", "subroot", "root")
-    found = proven(leaves, starts, given, ["key", "digest", "claimed"], "claimed")
+    found = proven(leaves, starts, given, levels, ["key", "digest", "claimed"], "claimed")
     return found.select(
         F.col("key").alias(key),
         F.col("digest").alias("leaf"),
