@@ -10,7 +10,7 @@ from hearthline.llm.alignment import edits_within, similarity
 from hearthline.llm.components import components
 from hearthline.llm.decontamination import GAP, MATCH, MISMATCH, leaks, most_score, smith_waterman, without_leaks
 from hearthline.llm.neardup import near_classes, without_near_copies
-from hearthline.llm.passages import chains, shared_passages
+from hearthline.llm.passages import WIDTH, aligned, chains, seed_places, shared_passages
 from hearthline.llm.queries import op1_benchmark_leaks, op2_near_duplicates, op4_shared_passages
 from hearthline.llm.shingles import occurrences, runs, word_hashes
 
@@ -197,6 +197,24 @@ def test_chains_are_worth_as_much_as_by_brute_force():
         assert best == pytest.approx(slow_chain(matches.tolist(), 0.05))
 
 
+def test_edited_passages_are_found():
+    draw = np.random.default_rng(5)
+    for size, edits in ((60, 6), (80, 8), (100, 10), (200, 40)):
+        found = 0
+        for _ in range(100):
+            a = draw.integers(1, 2**63, size + 150).astype(np.uint64)
+            b = draw.integers(1, 2**63, size + 120).astype(np.uint64)
+            b[70 : 70 + size] = a[80 : 80 + size]
+            b[70 + draw.choice(size, edits, replace=False)] += np.uint64(1)
+            with np.errstate(over="ignore"):
+                (here, grams), (there, others) = seed_places(a), seed_places(b)
+            _, i, j = np.intersect1d(grams, others, return_indices=True)
+            matches = np.array(sorted(zip(here[i].tolist(), there[j].tolist(), strict=True)), np.int64).reshape(-1, 2)
+            kept = [c for c in chains(matches) if len(c) >= 2] if len(matches) > 1 else []
+            found += any(aligned(a, b, c, WIDTH, 50, 0.8) for c in kept)
+        assert found >= 90, (size, edits, found)
+
+
 def test_planted_passages(spark):
     passage, other = prose(70), prose(60)
     texts = [" ".join([*prose(CHANCE.randint(20, 200)), *edited(passage, i % 2), *prose(50)]) for i in range(12)]
