@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthline.llm.decontamination import leaks
@@ -67,17 +67,19 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _span_digest(find_personal_data(docs, into="found"), ("email", "ip", "card", "phone"))
+    score = F.array_join(F.transform("found", lambda s: F.format_number(s["score"], 2)), ",").alias("scores")
+    return _span_digest(find_personal_data(docs, into="found"), ("email", "ip", "card", "phone"), score)
 
 
-def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """Counts, checksum of the given kinds' spans, and all spans as text."""
+def _span_digest(found: DataFrame, kinds: tuple[str, ...], *more: Column) -> DataFrame:
+    """Counts, checksum of the given kinds' spans, all spans as text, and what is asked for besides."""
     base = F.filter(F.col("found"), lambda s: s["kind"].isin(*kinds))
     return found.select(
         "doc_id",
         *(count_of(F.col("found"), kind).alias(f"n_{kind}") for kind in kinds),
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("found")).alias("spans"),
+        *more,
     )
 
 

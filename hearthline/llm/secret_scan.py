@@ -19,8 +19,9 @@ ASSIGN_VALUE = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 
-#: Strings that may be secrets without any context.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Strings that may be secrets without any context: whole runs, then their parts between
+#: slashes, then those between any signs. Each is judged by itself.
+CANDIDATES = (r"[A-Za-z0-9+/_=-]{20,}", r"[A-Za-z0-9+_=-]{20,}", r"[A-Za-z0-9]{20,}")
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 #: Character classes of candidates, the first that fits counts: name, pattern of the
 #: whole string, and the bits per character that a window must reach.
@@ -28,6 +29,8 @@ CLASSES = (
     ("hex", r"^(?=.*[0-9])(?=.*[A-Fa-f])(?:[0-9a-f]+|[0-9A-F]+)$", 3.0),
     ("alphanumeric", r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]+$", 3.7),
     ("symbols", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z]).*[+/_=-]", 3.9),
+    ("one case", r"^(?=(?:.*?[0-9]){4})(?=(?:.*?[A-Za-z]){4})(?:[a-z0-9+_=-]+|[A-Z0-9+_=-]+)$", 4.0),
+    ("letters", r"^(?=(?:.*?[a-z][A-Z]){4})[A-Za-z]+$", 3.9),
 )
 #: Candidates that are no secrets: identifiers of a fixed form, placeholders, alphabets.
 ALLOWED = (
@@ -75,7 +78,9 @@ def window_entropy(text: Column, window: int) -> Column:
     return F.aggregate(moves, start, step, lambda state: state["best"])
 
 
-def entropy_spans(text: Column, window: int, classes: Sequence[tuple[str, str, float]], allowed: Sequence[str]) -> Column:
+def entropy_spans(
+    text: Column, candidate: str, window: int, classes: Sequence[tuple[str, str, float]], allowed: Sequence[str]
+) -> Column:
     """Candidates with a window as rich as their class asks for, without allowed ones."""
 
     def secret(span: Column) -> Column:
@@ -87,7 +92,7 @@ def entropy_spans(text: Column, window: int, classes: Sequence[tuple[str, str, f
             needed = F.when(~found.rlike(pattern), needed)
         return F.when(needed.isNotNull(), F.coalesce(window_entropy(found, window) >= needed, F.lit(False))).otherwise(False)
 
-    return F.filter(matches(text, "entropy", CANDIDATE), secret)
+    return F.filter(matches(text, "entropy", candidate), secret)
 
 
 def find_secrets(
@@ -96,6 +101,7 @@ def find_secrets(
     window: int = 20,
     classes: Sequence[tuple[str, str, float]] = CLASSES,
     allowed: Sequence[str] = ALLOWED,
+    candidates: Sequence[str] = CANDIDATES,
     into: str = "secrets",
 ) -> DataFrame:
     """Adds the column ``into``: ordered spans of the secrets in each whole text.
@@ -103,8 +109,9 @@ def find_secrets(
     Kinds: ``assign`` (a name that promises a secret, and a value), ``access`` (access
     key ids), ``hex`` (long hexadecimal strings), and ``entropy``: strings of which some
     ``window`` characters reach the entropy of their character class, unless a pattern
-    in ``allowed`` matches them or another span covers part of them. NULL or empty
-    texts have an empty list; rows keep their number and order of columns, and a column
+    in ``allowed`` matches them or another span covers part of them. Where a run is none,
+    its parts are tried (``candidates``, coarse ones first), so an allowed word beside a
+    secret does not hide it. NULL or empty texts have an empty list; rows keep their number and order of columns, and a column
     that has the name ``into`` already is replaced. Only Spark functions are used and no
     rows are exchanged.
     """
@@ -115,6 +122,7 @@ def find_secrets(
         matches(whole, "hex", HEX),
     )
     named = docs.withColumn(into, base)
-    added = entropy_spans(whole, window, classes, allowed)
-    both = F.concat(F.col(into), apart_from(added, F.col(into)))
-    return named.withColumn(into, ordered(both, KINDS))
+    for candidate in candidates:
+        added = entropy_spans(whole, candidate, window, classes, allowed)
+        named = named.withColumn(into, F.concat(F.col(into), apart_from(added, F.col(into))))
+    return named.withColumn(into, ordered(F.col(into), KINDS))
