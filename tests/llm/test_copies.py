@@ -6,11 +6,11 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from frames import SMALL, awkward, documents, empty, no_items
-from hearthline.llm.alignment import edits_within, similarity
+from hearthline.llm.alignment import edits_between, edits_within, similarity
 from hearthline.llm.components import components
 from hearthline.llm.decontamination import GAP, MATCH, MISMATCH, leaks, most_score, smith_waterman, without_leaks
 from hearthline.llm.neardup import near_classes, without_near_copies
-from hearthline.llm.passages import WIDTH, aligned, chains, seed_places, shared_passages
+from hearthline.llm.passages import WIDTH, aligned, chains, lone_parts, seed_places, shared_passages
 from hearthline.llm.queries import op1_benchmark_leaks, op2_near_duplicates, op4_shared_passages
 from hearthline.llm.shingles import occurrences, runs, word_hashes
 
@@ -48,6 +48,21 @@ def test_banded_edits():
     assert similarity(np.zeros(0), np.zeros(0), 0.8) == 1.0
 
 
+def test_edits_by_columns_are_the_least():
+    chance = random.Random(6)
+    for _ in range(400):
+        size, kinds = chance.choice((5, 40, 150)), chance.choice((2, 5, 400))
+        a = np.array([chance.randrange(kinds) for _ in range(chance.randint(0, size))])
+        b = np.array([chance.randrange(kinds) for _ in range(chance.randint(0, size))])
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a.tolist(), 1):
+            last, row = row, [i]
+            for j, y in enumerate(b.tolist(), 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        assert edits_between(a, b, size) == row[-1]
+        assert edits_between(a, b, row[-1] - 1) is None
+
+
 def test_local_alignment():
     chance = random.Random(1)
     for _ in range(200):
@@ -215,6 +230,25 @@ def test_edited_passages_are_found():
         assert found >= 90, (size, edits, found)
 
 
+def test_repeated_lines_are_named_at_each_place():
+    ends = np.array([(r * 60 + e, s * 70 + e) for r in range(30) for s in range(40) for e in (0, 45)])
+    parts = lone_parts(ends, 50, 5)
+    assert {p[0, 0] for p in parts} == {r * 60 for r in range(30)} and {p[0, 1] for p in parts} == {s * 70 for s in range(40)}
+    assert len(parts) <= 70 and all(len(p) == 2 for p in parts)
+
+
+def test_repeated_lines_of_two_texts(spark):
+    line = prose(55)
+    texts = [" ".join(w for _ in range(n) for w in [*line, *prose(60)]) for n in (1, 7, 9)]
+    rows = shared_passages(documents(spark, texts)).collect()
+    places = defaultdict(set)
+    for r in rows:
+        assert r.similarity >= 0.8 and r.end_word - r.first_word >= 50
+        places[r.doc_id].add(r.first_word // 115)
+        places[r.other_id].add(r.other_first_word // 115)
+    assert places == {0: {0}, 1: set(range(7)), 2: set(range(9))}
+
+
 def test_planted_passages(spark):
     passage, other = prose(70), prose(60)
     texts = [" ".join([*prose(CHANCE.randint(20, 200)), *edited(passage, i % 2), *prose(50)]) for i in range(12)]
@@ -248,9 +282,8 @@ def test_passages_query_names_all_documents_with_a_shared_run(spark):
     met = defaultdict(set)
     for d, t in texts.items():
         words = t.lower().split()
-        if len(set(words)) > 20:
-            for i in range(len(words) - 49):
-                met[tuple(words[i : i + 50])].add(d)
+        for i in range(len(words) - 49):
+            met[tuple(words[i : i + 50])].add(d)
     expected = {d for found in met.values() if len(found) > 1 for d in found}
     assert expected <= {d for r in op4_shared_passages(spark, SMALL).collect() for d in (r.doc_id, r.other_id)}
 
