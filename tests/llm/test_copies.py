@@ -10,7 +10,7 @@ from hearthline.llm.alignment import edits_between, edits_within, similarity
 from hearthline.llm.components import components
 from hearthline.llm.decontamination import GAP, MATCH, MISMATCH, leaks, most_score, smith_waterman, without_leaks
 from hearthline.llm.neardup import near_classes, without_near_copies
-from hearthline.llm.passages import WIDTH, aligned, chains, lone_parts, seed_places, shared_passages
+from hearthline.llm.passages import WIDTH, aligned, chains, common_tokens, lone_parts, seed_places, shared_passages
 from hearthline.llm.queries import op1_benchmark_leaks, op2_near_duplicates, op4_shared_passages
 from hearthline.llm.shingles import occurrences, runs, word_hashes
 
@@ -277,6 +277,34 @@ def test_passages_of_which_every_part_is_frequent(spark):
     assert {(r.first_word, r.end_word) for r in rows if {r.doc_id, r.other_id} == {4, 5}} == {(70, 130)}
 
 
+def test_edited_passages_of_which_every_part_is_frequent(spark):
+    passages = [prose(60) for _ in range(6)]
+    pieces = [" ".join([*prose(60), *p[n : n + 24], *prose(60)]) for p in passages for n in (0, 12, 24, 36)]
+    changed = [[*p[:18], *prose(1), *p[19:41], *prose(1), *p[42:]] for p in passages]
+    middle = [" ".join([*prose(80), *p, *prose(80)]) for pair in zip(passages, changed, strict=True) for p in pair]
+    texts = [*pieces, *middle, *pieces]
+    rows = shared_passages(documents(spark, texts).coalesce(1)).collect()
+    found = {(min(r.doc_id, r.other_id), max(r.doc_id, r.other_id)) for r in rows}
+    first = len(pieces)
+    assert {(first + 2 * i, first + 2 * i + 1) for i in range(6)} <= found
+    assert all(r.similarity >= 0.8 and r.end_word - r.first_word >= 50 for r in rows)
+
+
+def test_common_tokens_by_brute_force():
+    draw = np.random.default_rng(8)
+    rows = [np.unique(draw.integers(0, 60, 30)).astype(np.uint32) for _ in range(60)]
+    value, comp = np.array([5**20, 7**20, 11**17], np.uint64)[draw.integers(0, 3, 60)], draw.integers(0, 20, 60)
+    for need in (0, 1, 9, 14):
+        pairs = [p for i, j in common_tokens([r.tobytes() for r in rows], value, comp, lambda i, j: i != j, need) for p in zip(i, j, strict=True)]
+        expected = {
+            (min(i, j), max(i, j))
+            for i in range(60)
+            for j in range(i)
+            if value[i] == value[j] and comp[i] != comp[j] and len(np.intersect1d(rows[i], rows[j])) >= need
+        }
+        assert len(pairs) == len(expected) and {(min(p), max(p)) for p in pairs} == expected
+
+
 def test_passages_query_names_all_documents_with_a_shared_run(spark):
     texts = dict(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect())
     met = defaultdict(set)
