@@ -26,6 +26,7 @@ PART = "_hl_part"
 CHUNK = "_hl_chunk"
 _PLACE = "_hl_place"
 _ROW = "_hl_row"
+FEW_SERIES = 100_000
 
 
 def in_order(df: DataFrame, order_by: Sequence[str], parts: int | None = None) -> DataFrame:
@@ -62,6 +63,15 @@ def _indexed(copy: DataFrame) -> DataFrame:
     return copy.withColumn(_ROW, _by_part(before) + F.col(_PLACE))
 
 
+def _sent_if_few(begins: DataFrame) -> DataFrame:
+    """One stored row per series, sent to all tasks if there are at most ``FEW_SERIES``.
+
+    An exchange by series would put each of a few long ones into one task. Where there are more,
+    the join exchanges both sides.
+    """
+    return F.broadcast(begins) if begins.limit(FEW_SERIES + 1).count() <= FEW_SERIES else begins
+
+
 def with_position(
     df: DataFrame,
     order_by: Sequence[str],
@@ -80,7 +90,7 @@ def with_position(
     rows = _indexed(in_order(packed(df, keys), [*keys, *order_by], parts))
     position = F.col(_ROW)
     if keys:
-        rows = rows.join(rows.groupBy(PACKED).agg(F.min(_ROW).alias("_begins")), PACKED)
+        rows = rows.join(_sent_if_few(stored(rows.groupBy(PACKED).agg(F.min(_ROW).alias("_begins")), "begins")), PACKED)
         position = position - F.col("_begins")
     return rows.select(*[ref(c) for c in df.columns], (position + start).alias(name))
 

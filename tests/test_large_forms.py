@@ -52,6 +52,22 @@ def brute_runs(pdf):
     return sorted(tuple(r) for r in out if r[2] >= 2)  # the missing key shows as "none"
 
 
+def test_long_series_are_not_exchanged_whole(hot, monkeypatch):
+    df, pdf = hot
+    spark = df.sparkSession
+    want = pdf.groupby("k", dropna=False).cumcount().sum()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few, sent in ((22, True), (21, False)):  # the series of the table are 22
+            monkeypatch.setattr(position, "FEW_SERIES", few)
+            got = position.with_position(df, ["o"], keys=["k"])
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) is sent and ("SortMergeJoin" in plan) is not sent
+            assert got.agg(F.sum("timestep")).first()[0] == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_positions_by_local_time(spark):
     """Clock times order as written, whatever the session's zone does in spring."""
     before = spark.conf.get("spark.sql.session.timeZone")
