@@ -1,6 +1,7 @@
 """Near-duplicates, benchmark leaks and shared passages against brute force."""
 
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -305,6 +306,37 @@ def test_common_tokens_by_brute_force():
         assert len(pairs) == len(expected) and {(min(p), max(p)) for p in pairs} == expected
 
 
+def test_common_tokens_of_which_one_row_is_fresh():
+    draw = np.random.default_rng(9)
+    rows = [np.unique(draw.integers(0, 60, 30)).astype(np.uint32) for _ in range(60)]
+    value, comp, fresh = draw.integers(0, 3, 60).astype(np.uint64), draw.integers(0, 20, 60), draw.random(60) < 0.3
+    pairs = [p for i, j in common_tokens([r.tobytes() for r in rows], value, comp, lambda i, j: i != j, 9, fresh) for p in zip(i, j, strict=True)]
+    expected = {
+        (j, i)
+        for i in range(60)
+        for j in range(i)
+        if (fresh[i] or fresh[j]) and value[i] == value[j] and comp[i] != comp[j] and len(np.intersect1d(rows[i], rows[j])) >= 9
+    }
+    assert len(pairs) == len(expected) and {(min(p), max(p)) for p in pairs} == expected
+
+
+def test_memory_of_common_tokens():
+    draw = np.random.default_rng(10)
+    rows = draw.integers(0, 2**32, (4_000, 110), np.uint32)
+    rows[:2_000, :40] = rows[0, :40]  # alike surroundings in one component, and of one row in another one
+    rows[3_000, :40] = rows[0, :40]
+    comp = np.arange(4_000)
+    comp[:2_000] = 0
+    listed = [r.tobytes() for r in rows]
+    fits = lambda i, j: i != j
+    tracemalloc.start()
+    found = sum(len(i) for i, j in common_tokens(listed, np.zeros(4_000, np.uint64), comp, fits, 18))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 2_000
+    assert most < 45 * rows.size  # bytes a token
+
+
 def test_passages_query_names_all_documents_with_a_shared_run(spark):
     texts = dict(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect())
     met = defaultdict(set)
