@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from frames import SMALL, awkward, documents, empty, no_items
+from hearthline.llm import sizes
 from hearthline.llm.alignment import edits_between, edits_within, similarity
 from hearthline.llm.components import components
 from hearthline.llm.decontamination import GAP, MATCH, MISMATCH, leaks, most_score, smith_waterman, without_leaks
@@ -14,6 +15,7 @@ from hearthline.llm.neardup import near_classes, without_near_copies
 from hearthline.llm.passages import WIDTH, aligned, chains, common_tokens, lone_parts, seed_places, shared_passages
 from hearthline.llm.queries import op1_benchmark_leaks, op2_near_duplicates, op4_shared_passages
 from hearthline.llm.shingles import occurrences, runs, word_hashes
+from pyspark.sql import functions as F
 
 CHANCE = random.Random(6)
 VOCABULARY = ["".join(CHANCE.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
@@ -337,6 +339,25 @@ def test_memory_of_common_tokens():
     assert most < 45 * rows.size  # bytes a token
 
 
+def test_long_lists_are_not_sent(spark, monkeypatch):
+    frame = spark.createDataFrame([(1, list(range(50))), (2, list(range(51)))], "node long, places array<int>")
+    hinted = lambda most: "ResolvedHint" in sent(most)._jdf.queryExecution().analyzed().toString()
+
+    def sent(most):
+        monkeypatch.setattr(sizes, "MOST_NUMBERS", most)
+        return sizes.sent_if_small(frame, numbers=F.size("places"))
+
+    assert hinted(101) and not hinted(100)
+
+
+def test_passages_without_broadcasts(spark, monkeypatch):
+    passage, other = prose(70), prose(90)
+    texts = [" ".join([*prose(90), *passage[:k], *prose(1), *passage[k:], *prose(90), *other[k:]]) for k in (10, 20, 30, 40, 50, 60)]
+    sent = {tuple(r) for r in shared_passages(documents(spark, texts)).collect()}
+    monkeypatch.setattr(sizes, "MOST_NUMBERS", 0)
+    assert sent and sent == {tuple(r) for r in shared_passages(documents(spark, texts)).collect()}
+
+
 def test_passages_query_names_all_documents_with_a_shared_run(spark):
     texts = dict(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect())
     met = defaultdict(set)
