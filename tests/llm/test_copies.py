@@ -12,7 +12,9 @@ from hearthline.llm.alignment import edits_between, edits_within, similarity
 from hearthline.llm.components import components
 from hearthline.llm.decontamination import GAP, MATCH, MISMATCH, leaks, most_score, smith_waterman, without_leaks
 from hearthline.llm.neardup import near_classes, without_near_copies
-from hearthline.llm.passages import WIDTH, aligned, chains, common_tokens, lone_parts, seed_places, shared_passages
+from hearthline.llm.passages import (
+    FAR, WIDTH, Surroundings, aligned, chains, common_tokens, connecting, edits_on_the_way, lone_parts, seed_places, shared_passages,
+)
 from hearthline.llm.queries import op1_benchmark_leaks, op2_near_duplicates, op4_shared_passages
 from hearthline.llm.shingles import occurrences, runs, word_hashes
 from pyspark.sql import functions as F
@@ -339,6 +341,51 @@ def test_memory_of_common_tokens():
     assert most < 45 * rows.size  # bytes a token
 
 
+def test_edits_on_the_way_by_brute_force():
+    draw = np.random.default_rng(11)
+    size, band, share = 20, 6, 0.2
+    a = draw.integers(0, 4, (size, 60)).astype(np.int32)
+    b = a.copy()
+    b[draw.random(a.shape) < 0.2] = 9
+    b[:, ::2] = np.roll(b[:, ::2], 2, axis=0)
+    a[15:, 3], b[14:, 4] = -1, -1  # texts that end
+    found = edits_on_the_way(a, b, band, share)
+    for k in range(a.shape[1]):
+        x, y = a[:, k][a[:, k] >= 0], b[:, k][b[:, k] >= 0]
+        for i in range(1, len(x) + 1):
+            ways = [slow_edits(x[: i - 1].tolist(), y[: j - 1].tolist()) - share * max(j - i, 0) for j in range(max(i - band, 1), min(i + band, len(y)) + 1) if x[i - 1] == y[j - 1]]
+            if min(ways, default=FAR) < band:
+                assert found[i, k] == pytest.approx(min(ways), abs=0.02)
+
+
+def test_alike_entries_are_connected_by_few_pairs():
+    draw = np.random.default_rng(12)
+    line = draw.integers(0, 10**6, 116)
+    rows, places, comp = [], [], []
+    for i in range(300):
+        around = draw.integers(10**6, 10**9, 121)
+        around[30:100] = line[30:100]
+        if i % 3 == 2:  # shares a stretch that is too short
+            around[:45], around[75:] = (draw.integers(10**6, 10**9, n) for n in (45, 46))
+        around[draw.choice([*range(32, 56), *range(65, 98)], 5, replace=False)] += 1
+        rows.append(around.astype(np.int32).tobytes())
+        places.append(1_000)
+        comp.append(i)
+    near = Surroundings(rows, np.array(places), 50, 0.8, WIDTH)
+    value = np.repeat(np.array([5**20, 7**20], np.uint64), [40, 260])  # few rows of one value, and many
+    found = connecting(near, value, np.array(comp), np.ones(300, bool), lambda i, j: i != j)
+    alike = [{i for i in part if i % 3 < 2} for part in (range(40), range(40, 300))]
+    assert len(found) == sum(map(len, alike)) - 2
+    groups = {i: {i} for i in range(300)}
+    for i, j, matches in found:
+        assert {i, j} <= alike[0] or {i, j} <= alike[1]
+        assert all(0 <= 58 + m < 117 for m in np.ravel(matches))
+        both = groups[i] | groups[j]
+        for k in both:
+            groups[k] = both
+    assert {frozenset(g) for g in groups.values() if len(g) > 1} == set(map(frozenset, alike))
+
+
 def test_long_lists_are_not_sent(spark, monkeypatch):
     frame = spark.createDataFrame([(1, list(range(50))), (2, list(range(51)))], "node long, places array<int>")
     hinted = lambda most: "ResolvedHint" in sent(most)._jdf.queryExecution().analyzed().toString()
@@ -374,3 +421,16 @@ def test_passages_of_awkward_rows(spark):
     assert {(r.doc_id, r.other_id) for r in rows} == {(6, 5)}
     assert max(r.end_word - r.first_word for r in rows) == 40_000
     assert shared_passages(empty(spark)).count() == 0
+
+
+def test_pairs_of_alike_passages_follow_the_documents(spark):
+    passage = prose(60)
+    pieces = [" ".join([*prose(60), *passage[n : n + 24], *prose(60)]) for n in (0, 12, 24, 36)]
+    middle = [" ".join([*prose(80), *passage[:18], *prose(1), *passage[19:41], *prose(1), *passage[42:], *prose(80)]) for _ in range(40)]
+    rows = shared_passages(documents(spark, [*pieces, *middle, *pieces]).coalesce(1)).collect()
+    pairs = {(r.doc_id, r.other_id) for r in rows if {r.doc_id, r.other_id} <= set(range(4, 44))}
+    group = {4}
+    while more := {d for pair in pairs if group & set(pair) for d in pair} - group:
+        group |= more
+    assert group == set(range(4, 44))
+    assert len(pairs) < 6 * len(middle)  # all pairs are 780
