@@ -7,13 +7,13 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from frames import SMALL, awkward, documents, empty, no_items
-from hearthline.llm import sizes
+from hearthline.llm import passages, sizes
 from hearthline.llm.alignment import edits_between, edits_within, similarity
 from hearthline.llm.components import components
 from hearthline.llm.decontamination import GAP, MATCH, MISMATCH, leaks, most_score, smith_waterman, without_leaks
 from hearthline.llm.neardup import near_classes, without_near_copies
 from hearthline.llm.passages import (
-    FAR, WIDTH, Surroundings, aligned, chains, common_tokens, connecting, edits_on_the_way, lone_parts, seed_places, shared_passages,
+    FAR, WIDTH, Surroundings, aligned, chains, common_tokens, connecting, edits_on_the_way, lone_parts, packs_of, seed_places, shared_passages,
 )
 from hearthline.llm.queries import op1_benchmark_leaks, op2_near_duplicates, op4_shared_passages
 from hearthline.llm.shingles import occurrences, runs, word_hashes
@@ -386,6 +386,24 @@ def test_alike_entries_are_connected_by_few_pairs():
     assert {frozenset(g) for g in groups.values() if len(g) > 1} == set(map(frozenset, alike))
 
 
+def test_packs_meet_where_one_entry_is_fresh(monkeypatch):
+    monkeypatch.setattr(passages, "PACK", 10)
+    draw = np.random.default_rng(13)
+    gram = np.repeat(np.arange(6), [5, 10, 11, 450, 30, 25])
+    fresh = draw.random(len(gram)) < np.array([0.5, 0.3, 0.3, 0.01, 0.9, 0])[gram]
+    pack, packs = packs_of(gram, fresh)
+    held = defaultdict(list)
+    for i in range(len(gram)):
+        for q in range(packs[i]):
+            held[gram[i], min(pack[i], q), max(pack[i], q)].append(i)
+    assert max(map(len, held.values())) <= 20
+    pairs = [(i, j) for (_, low, high), of in held.items() for i in of for j in of if i < j and (low == high or pack[i] != pack[j]) and (fresh[i] or fresh[j])]
+    expected = {(i, j) for i in range(len(gram)) for j in range(i) if gram[i] == gram[j] and (fresh[i] or fresh[j])}
+    assert len(pairs) == len(expected) and {(j, i) for i, j in pairs} == expected
+    rare = gram == 3  # of 450 entries few are fresh: the others stand there once for each pack of fresh ones
+    assert packs[rare].sum() < 2 * rare.sum()
+
+
 def test_long_lists_are_not_sent(spark, monkeypatch):
     frame = spark.createDataFrame([(1, list(range(50))), (2, list(range(51)))], "node long, places array<int>")
     hinted = lambda most: "ResolvedHint" in sent(most)._jdf.queryExecution().analyzed().toString()
